@@ -13,6 +13,7 @@ from .histogram_topk import histogram_topk
 from .jaccard_join import jaccard_components
 from .language_profiles import language_ids
 from .learned_partitions import nearest
+from .maxent_scores import lm_scores
 from .secret_ledger import secret_spans
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -30,6 +31,10 @@ def op3_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_topk(table(spark, sf_dir, "embeddings"))
 
 
+def op4_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_source_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_budgets.mixed(table(spark, sf_dir, "documents"))
 
@@ -102,5 +107,5 @@ select source, lang, tokenizer, count(*)::bigint as docs, sum(tokens)::bigint as
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_bit_planes, op2_rank_profiles, op3_histogram_topk, op5_source_budgets, op6_secret_ledger, op7_learned_partitions, op8_token_rollups, op9_jaccard_join, op10_bpe_automaton)
+    for f in (op1_bit_planes, op2_rank_profiles, op3_histogram_topk, op4_maxent_scores, op5_source_budgets, op6_secret_ledger, op7_learned_partitions, op8_token_rollups, op9_jaccard_join, op10_bpe_automaton)
 }

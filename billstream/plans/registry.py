@@ -1,5 +1,384 @@
-"""The registered queries: name -> callable (spark, sf_dir)."""
+"""The registered queries: name -> callable (spark, sf_dir). Money leaves as doubles."""
 
 from __future__ import annotations
 
+from datetime import date
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from billstream.functions.expressions import gross_amount_in, invoice_number_in, normalized_amount
+from billstream.operators import decide, learning, ledger, matching, outbound, parties, reminders, reports, workflow
+from billstream.plans.fixtures import AS_OF, fixture
+from billstream.session import scratch
+from billstream.sources import bank, invoices as documents
+from billstream.streaming import intake
+
 QUERIES = {}
+TODAY = date.fromisoformat(AS_OF)
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """Decimals as doubles."""
+    return df.select(*(F.col(f"`{c}`").cast("double").alias(c) if t.startswith("decimal") else F.col(f"`{c}`") for c, t in df.dtypes))
+
+
+def records(spark: SparkSession, sf_dir: str, view: str = "fx_invoice") -> DataFrame:
+    """The view as invoice records."""
+    rows = fixture(spark, sf_dir, view)
+    lines = fixture(spark, sf_dir, "fx_line").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("description"))).alias("lines"))
+    null = lambda name: F.lit(None).cast("string").alias(name)
+    return rows.join(lines, "k").select(
+        "arrival", "k", F.lit("UBL").alias("format"), F.lit("purchase").alias("direction"), "invoice_number", F.col("issue_date").cast("string").alias("issue_date"), null("due_date"), F.lit("EUR").alias("currency"),
+        F.struct(F.col("supplier_name").alias("name"), F.col("supplier_siren").alias("siren"), null("vat_number"), null("email"), F.col("supplier_iban").alias("iban")).alias("supplier"),
+        F.struct(F.col("customer_name").alias("name"), null("siren"), null("vat_number"), null("email"), null("address")).alias("customer"),
+        "lines", null("raw_text"), "net_amount", "vat_amount", "gross_amount", F.lit(False).alias("needs_manual_extraction"), F.col("bank_changed").alias("supplier_bank_details_changed"),
+        F.when(F.col("vat_uncertain"), "uncertain").alias("vat_treatment"), null("source_file"), null("source_path"),
+    )
+
+
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decide.decided(records(spark, sf_dir))
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the invoices table: the decided first arrivals."""
+    return decide.accepted(decide.decided(records(spark, sf_dir, "fx_invoice0")))
+
+
+def approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workflow.approvals(stored(spark, sf_dir), fixture(spark, sf_dir, "fx_decision"))
+
+
+def after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workflow.invoices_after(stored(spark, sf_dir), fixture(spark, sf_dir, "fx_decision"))
+
+
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, name and, for nine of ten, an e-mail address."""
+    email = F.when(F.col("c_custkey") % 10 != 0, F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@example.com")))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), email.alias("email"))
+
+
+def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales invoices as stored, numbered by year."""
+    rows = fixture(spark, sf_dir, "fx_outbound").drop("customer_name", "customer_email").withColumn("gross_amount", F.round(F.col("net_amount") * F.lit(1.2).cast("decimal(3,2)"), 2).cast("decimal(18,2)"))
+    return outbound.numbered(rows.withColumn("year", F.year("issue_date")))
+
+
+# Decisions
+
+
+@query
+def fingerprints(spark, sf_dir):
+    return decide.fingerprinted(records(spark, sf_dir)).select("arrival", "fingerprint")
+
+
+@query
+def duplicates(spark, sf_dir):
+    return decide.duplicates_marked(records(spark, sf_dir)).where("duplicate").select("arrival", "fingerprint")
+
+
+@query
+def account_rules(spark, sf_dir):
+    return plain(decide.proposed(records(spark, sf_dir)).select("arrival", "proposal.*"))
+
+
+@query
+def findings(spark, sf_dir):
+    return decisions(spark, sf_dir).select("arrival", F.explode("findings").alias("f")).select("arrival", "f.*")
+
+
+@query
+def risk_scores(spark, sf_dir):
+    return decisions(spark, sf_dir).select("arrival", "risk_score")
+
+
+@query
+def invoice_decisions(spark, sf_dir):
+    return plain(decisions(spark, sf_dir).select("arrival", "fingerprint", "status", "risk_score", F.col("proposal.account").alias("account"), F.col("proposal.confidence").alias("confidence"), "payment_authorized", "human_review_required"))
+
+
+@query
+def invoices_accepted(spark, sf_dir):
+    rows = decide.accepted(decisions(spark, sf_dir))
+    again = documents.from_raw_json(F.col("raw_json"))
+    return plain(rows.withColumn("raw_number", again.getField("invoice_number")).withColumn("raw_lines", F.size(again.getField("lines"))).drop("raw_json", "source_file", "source_path", "due_date"))
+
+
+@query
+def audit_events(spark, sf_dir):
+    return decide.audit_events(decisions(spark, sf_dir)).unionByName(workflow.approval_events(approvals(spark, sf_dir)))
+
+
+@query
+def reviews_open(spark, sf_dir):
+    return decide.reviews(decisions(spark, sf_dir))
+
+
+@query
+def dashboard_kpis(spark, sf_dir):
+    return reports.dashboard_kpis(after(spark, sf_dir))
+
+
+@query
+def latest_invoices(spark, sf_dir):
+    return reports.latest_invoices(after(spark, sf_dir))
+
+
+# Learning and workflow
+
+
+@query
+def learned_mappings(spark, sf_dir):
+    return learning.learned(approvals(spark, sf_dir))
+
+
+@query
+def learned_top_account(spark, sf_dir):
+    top = learning.top_accounts(learning.learned(approvals(spark, sf_dir)))
+    return plain(top.withColumn("confidence", decide.learned_confidence(F.col("validations"))))
+
+
+@query
+def account_proposals(spark, sf_dir):
+    top = learning.top_accounts(learning.learned(approvals(spark, sf_dir)))
+    return plain(decide.proposed(records(spark, sf_dir), top).select("arrival", "proposal.*"))
+
+
+@query
+def account_proposals_asof(spark, sf_dir):
+    asks = fixture(spark, sf_dir, "fx_invoice0").where("supplier_name is not null").select("supplier_name", "arrival", (F.col("arrival") * 10 - 5).alias("seq"))
+    return learning.top_accounts_asof(approvals(spark, sf_dir), asks)
+
+
+@query
+def invoices_after_decisions(spark, sf_dir):
+    return after(spark, sf_dir).select("id", "status", "approved_account", "approved_by", "rejected_by", "rejection_reason")
+
+
+@query
+def reviews_resolved(spark, sf_dir):
+    open_ = decide.reviews(decide.decided(records(spark, sf_dir, "fx_invoice0")))
+    return workflow.reviews_after(open_, fixture(spark, sf_dir, "fx_decision"))
+
+
+@query
+def ledger_entries(spark, sf_dir):
+    return plain(ledger.ledger_entries(after(spark, sf_dir)))
+
+
+@query
+def ledger_balance(spark, sf_dir):
+    return plain(ledger.unbalanced(ledger.ledger_entries(after(spark, sf_dir))))
+
+
+# Parties
+
+
+@query
+def suppliers_merged(spark, sf_dir):
+    return parties.suppliers(records(spark, sf_dir))
+
+
+@query
+def customers_merged(spark, sf_dir):
+    return parties.customers(records(spark, sf_dir))
+
+
+@query
+def bank_detail_changes(spark, sf_dir):
+    return parties.bank_detail_changes(records(spark, sf_dir))
+
+
+@query
+def customers_sorted(spark, sf_dir):
+    return customers(spark, sf_dir).select("id", "name").orderBy("name", "id")
+
+
+# Bank
+
+
+@query
+def bank_matches(spark, sf_dir):
+    return plain(matching.bank_matches(fixture(spark, sf_dir, "fx_bank").withColumnRenamed("tx_id", "id"), stored(spark, sf_dir)))
+
+
+@query
+def stream_bank_match(spark, sf_dir):
+    lines = scratch(spark, "bank_lines")
+    rows = fixture(spark, sf_dir, "fx_bank").withColumnRenamed("tx_id", "id")
+    rows.write.parquet(lines)
+    out = scratch(spark, "bank_matched")
+    intake.match_stream(spark.readStream.schema(rows.schema).parquet(lines), stored(spark, sf_dir), out, scratch(spark, "stream")).awaitTermination()
+    return plain(spark.read.parquet(out))
+
+
+# Sales
+
+
+@query
+def outbound_invoices(spark, sf_dir):
+    requests = fixture(spark, sf_dir, "fx_outbound").select("id", "customer_id", "issue_date", "net_amount")
+    made, _ = outbound.sales_invoices(requests, customers(spark, sf_dir))
+    return plain(made.select("id", "customer_id", "invoice_number", "issue_date", "due_date", "net_amount", "vat_amount", "gross_amount", "currency", "status"))
+
+
+@query
+def outbound_numbers(spark, sf_dir):
+    return sales(spark, sf_dir).select("id", "n", "invoice_number")
+
+
+@query
+def sequences_next(spark, sf_dir):
+    return outbound.sequences_after(sales(spark, sf_dir))
+
+
+@query
+def overdue_outbound(spark, sf_dir):
+    return reminders.overdue(sales(spark, sf_dir), customers(spark, sf_dir), TODAY).select("id", "invoice_number", "due_date", "customer_name", "customer_email").orderBy("due_date", "id")
+
+
+@query
+def reminder_drafts(spark, sf_dir):
+    return reminders.reminder_drafts(reminders.overdue(sales(spark, sf_dir), customers(spark, sf_dir), TODAY))[0]
+
+
+@query
+def reminder_levels(spark, sf_dir):
+    return reminders.reminder_levels(reminders.overdue(sales(spark, sf_dir), customers(spark, sf_dir), TODAY), TODAY).select("id", "days_late", "reminder_level")
+
+
+@query
+def due_schedule(spark, sf_dir):
+    return plain(reports.due_schedule(fixture(spark, sf_dir, "fx_outbound"), TODAY))
+
+
+@query
+def amount_bands(spark, sf_dir):
+    return plain(reports.amount_bands(fixture(spark, sf_dir, "fx_invoice")))
+
+
+@query
+def retention_filter(spark, sf_dir):
+    return reports.retained(fixture(spark, sf_dir, "fx_invoice"), date(2004, 1, 1)).select("arrival", "issue_date")
+
+
+# Text
+
+
+@query
+def text_invoice_number(spark, sf_dir):
+    return fixture(spark, sf_dir, "fx_text").select("k", invoice_number_in(F.col("text")).alias("invoice_number"))
+
+
+@query
+def text_gross_amount(spark, sf_dir):
+    return fixture(spark, sf_dir, "fx_text").select("k", gross_amount_in(F.col("text")).alias("gross_amount"))
+
+
+@query
+def normalize_amount(spark, sf_dir):
+    text = F.regexp_extract("text", ": ([0-9,.]+) EUR$", 1)
+    return fixture(spark, sf_dir, "fx_text").select("k", normalized_amount(text).alias("amount"))
+
+
+@query
+def src_invoice_text(spark, sf_dir):
+    return documents.invoice_text(fixture(spark, sf_dir, "fx_text"))
+
+
+# Files
+
+
+@query
+def src_invoice_json(spark, sf_dir):
+    path = scratch(spark, "invoice_json")
+    records(spark, sf_dir).drop("arrival", "k").write.json(path)
+    return plain(documents.read_json(spark, path).select("invoice_number", "issue_date", "currency", F.col("supplier.name").alias("supplier_name"), "net_amount", "vat_amount", "gross_amount", F.size("lines").alias("n_lines")))
+
+
+def _xml(spark, sf_dir) -> DataFrame:
+    """Documents: UBL for two of three invoices, CII for the third."""
+    rows = fixture(spark, sf_dir, "fx_invoice0")
+    tag = lambda name, value, prefix="cbc:": F.concat(F.lit(f"<{prefix}{name}>"), F.coalesce(value.cast("string"), F.lit("")), F.lit(f"</{prefix}{name}>"))
+    c = F.col
+    number = F.when(c("invoice_number").isNotNull(), tag("ID", c("invoice_number"))).otherwise("")
+    ubl = F.concat(
+        F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<Invoice xmlns="urn:test:ubl" xmlns:cbc="urn:test:cbc" xmlns:cac="urn:test:cac">'), number, tag("IssueDate", c("issue_date")), tag("DocumentCurrencyCode", F.lit("EUR")),
+        F.lit("<cac:AccountingSupplierParty>"), tag("RegistrationName", c("supplier_name")), F.lit("</cac:AccountingSupplierParty><cac:AccountingCustomerParty>"), tag("RegistrationName", c("customer_name")), F.lit("</cac:AccountingCustomerParty>"),
+        tag("TaxAmount", c("vat_amount")), tag("TaxExclusiveAmount", c("net_amount")), tag("PayableAmount", c("gross_amount")), F.lit("</Invoice>"),
+    )
+    ram = lambda name, value: tag(name, value, "ram:")
+    cii = F.concat(
+        F.lit('<rsm:CrossIndustryInvoice xmlns:rsm="urn:test:rsm" xmlns:ram="urn:test:ram"><ram:Guideline><ram:ID>urn:guideline</ram:ID></ram:Guideline><rsm:ExchangedDocument>'), ram("ID", c("invoice_number")),
+        F.lit("<ram:IssueDateTime>"), ram("DateTimeString", F.date_format("issue_date", "yyyyMMdd")), F.lit("</ram:IssueDateTime></rsm:ExchangedDocument><ram:SellerTradeParty>"), ram("Name", c("supplier_name")),
+        F.lit("</ram:SellerTradeParty><ram:BuyerTradeParty>"), ram("Name", c("customer_name")), F.lit("</ram:BuyerTradeParty>"), ram("InvoiceCurrencyCode", F.lit("EUR")), ram("TaxBasisTotalAmount", c("net_amount")),
+        ram("TaxTotalAmount", c("vat_amount")), ram("GrandTotalAmount", c("gross_amount")), F.lit("</rsm:CrossIndustryInvoice>"),
+    )
+    return rows.select("k", F.when((c("k") % 3 == 0) & c("invoice_number").isNotNull(), cii).otherwise(ubl).alias("xml"))
+
+
+@query
+def src_invoice_xml(spark, sf_dir):
+    read, _ = documents.invoice_xml(_xml(spark, sf_dir))
+    return plain(read.select("k", "format", "invoice_number", "issue_date", "currency", F.col("supplier.name").alias("supplier_name"), F.col("customer.name").alias("customer_name"), "net_amount", "vat_amount", "gross_amount"))
+
+
+@query
+def invoice_format_tag(spark, sf_dir):
+    read, _ = documents.invoice_xml(_xml(spark, sf_dir))
+    return read.groupBy("format").agg(F.count("*").alias("n"))
+
+
+@query
+def src_bank_csv(spark, sf_dir):
+    path = scratch(spark, "bank_csv")
+    rows = fixture(spark, sf_dir, "fx_bank")
+    rows.select(F.lit("2026-08-20").alias("date"), F.col("tx_id").cast("string").alias("libelle"), F.replace(F.col("amount").cast("string"), F.lit("."), F.lit(",")).alias("montant"), "reference").write.option("header", True).option("ignoreTrailingWhiteSpace", False).csv(path)
+    good, _ = bank.read_bank_csv(spark, path)
+    return plain(good)
+
+
+@query
+def route_by_extension(spark, sf_dir):
+    extension = F.element_at(F.array(*map(F.lit, (".pdf", ".XML", ".ubl", ".Cii", ".txt", ""))), (F.col("k") % 6 + 1).cast("int"))
+    return documents.routed(fixture(spark, sf_dir, "fx_invoice0").select("k", F.concat(F.lit("doc"), F.col("k").cast("string"), extension).alias("source_file")))
+
+
+@query
+def write_outbound_xml(spark, sf_dir):
+    requests = fixture(spark, sf_dir, "fx_outbound").select("id", "customer_id", "issue_date", "net_amount").withColumn("description", F.lit("Prestation"))
+    made, _ = outbound.sales_invoices(requests, customers(spark, sf_dir))
+    xml = outbound.invoice_xml(made)
+    at = lambda p: F.xpath_string("xml", F.lit(p))
+    return xml.select("id", at("/Invoice/ID").alias("number"), at("/Invoice/DueDate").alias("due"), at("/Invoice/BuyerName").alias("buyer"), at("/Invoice/PayableAmount").alias("payable"))
+
+
+def _arriving(spark, sf_dir) -> str:
+    """The invoices as JSON files, split in two by arrival."""
+    path = scratch(spark, "arriving")
+    rows = records(spark, sf_dir).drop("k")
+    for later in (False, True):
+        rows.where((F.col("arrival") >= 100_000_000) == later).coalesce(1).write.mode("append").json(path)
+    return path
+
+
+@query
+def stream_intake(spark, sf_dir):
+    target = scratch(spark, "intake")
+    intake.intake(spark, _arriving(spark, sf_dir), target, scratch(spark, "stream")).awaitTermination()
+    return spark.read.parquet(f"{target}/decisions").select("arrival", "fingerprint", "status", "risk_score")
+
+
+@query
+def stream_dedup(spark, sf_dir):
+    path, out = _arriving(spark, sf_dir), scratch(spark, "deduplicated")
+    stream = spark.readStream.schema(intake.ARRIVING).json(path).withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000)))
+    intake.recent_only(stream, "at").select("fingerprint").writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("fingerprint string").parquet(out)

@@ -80,6 +80,7 @@ def findings(policy: Policy = POLICY) -> Column:
     supplier, number = filled(F.col("supplier.name")), filled(F.col("invoice_number"))
     sums = F.concat(F.lit("HT+TVA="), two_decimals(net + vat), F.lit("; TTC="), two_decimals(gross))
     account = F.concat(F.lit("Compte "), F.coalesce("proposal.account", F.lit("None")), F.lit(" — confiance "), percent(F.col("proposal.confidence")), F.lit("%"))
+    # Agents, codes, severities and messages.
     return F.array_compact(
         F.array(
             finding("FOURNISSEURS", "supplier", "error", supplier, either(supplier, "Fournisseur identifié", "Fournisseur à compléter")),

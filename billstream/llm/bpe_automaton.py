@@ -126,7 +126,7 @@ class TokenAutomaton:
                     key = path[-1] << 32 | token
                     fits = table.get(key)
                     if fits is None:
-                        if len(table) > 2_000_000:
+                        if len(table) > 1_000_000:
                             table.clear()
                         fits = table[key] = self.arc(path[-1], token)
                 if fits:
@@ -147,7 +147,7 @@ class TokenAutomaton:
 class ByteBpe:
     """A byte-level BPE vocabulary file: pre-split, special tokens, automaton."""
 
-    def __init__(self, path: str, cached: int = 500_000):
+    def __init__(self, path: str, cached: int = 150_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, to_byte = spec["model"]["vocab"], byte_symbols()

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import Recent, fold
 
 PROFILE_SIZE = 2000
+#: About so many rows of a language are learned from, chosen by a hash of their id; all of a language that has no more.
+FIT_ROWS = 5000
 DOCUMENT_SIZE = 1000
 ORDERS = (1, 2, 3)
 #: How fast confidence falls with a language's mean displacement behind the best one's.
@@ -34,9 +36,10 @@ UNDETERMINED = "und"
 def ngrams(piece: str) -> list[str]:
     """The n-grams of the words in a piece of text without spaces."""
     out = []
-    for word in LETTERS.findall(piece.lower()):
+    piece = piece.lower()
+    for word in [piece] if piece.isalpha() else LETTERS.findall(piece):
         padded = f"_{word}_"
-        out += list(word)
+        out += word
         for n in ORDERS[1:]:
             out += [padded[i : i + n] for i in range(len(padded) - n + 1)]
     return out
@@ -78,9 +81,12 @@ class Profiles:
     missing: int
 
     @staticmethod
-    def learned(docs: DataFrame, size: int = PROFILE_SIZE, held: int = 300_000) -> Profiles:
-        """From the columns text and lang of all rows where neither is null. What comes to the driver is size n-grams a language."""
-        counts = docs.where("text is not null and lang is not null").select("lang", "text").mapInPandas(_counted(held), "lang string, ngram string, n long").groupBy("lang", "ngram").agg(F.sum("n").alias("n"))
+    def learned(docs: DataFrame, size: int = PROFILE_SIZE, held: int = 300_000, fit_rows: int = FIT_ROWS) -> Profiles:
+        """From the columns text and lang of about fit_rows rows a language where neither is null, whole texts. What comes to the driver is size n-grams a language."""
+        usable = docs.where("text is not null and lang is not null").select("doc_id", "lang", "text")
+        share = usable.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(fit_rows)) / F.count("*")).alias("share"))
+        place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+        counts = usable.join(F.broadcast(share), "lang").where(place < F.col("share")).select("lang", "text").mapInPandas(_counted(held), "lang string, ngram string, n long").groupBy("lang", "ngram").agg(F.sum("n").alias("n"))
         place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "ngram"))
         top = counts.withColumn("place", place).where(F.col("place") <= size).collect()
         languages = sorted({r.lang for r in top})
@@ -96,10 +102,10 @@ class Profiles:
             ranks[languages.index(r.lang), index[r.ngram]] = r.place - 1
         return Profiles(languages, index, ranks, size)
 
-    def judge(self, cached: int = 500_000):
+    def judge(self, cached: int = 100_000):
         """text -> (language, confidence)."""
         index, known = self.index, len(self.index)
-        of_piece = Recent(lambda p: np.array([index[g] for g in ngrams(p) if g in index], np.int32), cached)
+        of_piece = Recent(lambda p: np.array([i for i in map(index.get, ngrams(p)) if i is not None], np.int32).tobytes(), cached)
         scale = SHARPNESS / max(self.missing, 1)
 
         def of(text: str | None) -> tuple[str, float]:
@@ -107,8 +113,10 @@ class Profiles:
                 return UNDETERMINED, 0.0
             found = Counter(text.split())
             ids = list(map(of_piece.__getitem__, found))
-            n = np.bincount(np.concatenate(ids), np.repeat(np.fromiter(found.values(), np.float64, len(found)), list(map(len, ids))), known)
-            top = np.argsort(-n, kind="stable")[: min(DOCUMENT_SIZE, np.count_nonzero(n))]  # ties go to the n-gram more common overall
+            times = np.repeat(np.fromiter(found.values(), np.float64, len(found)), np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
+            n = np.bincount(np.frombuffer(b"".join(ids), np.int32), times, known)
+            there = np.flatnonzero(n)
+            top = there[np.argsort(-n[there], kind="stable")[:DOCUMENT_SIZE]]  # ties go to the n-gram more common overall
             if not len(top):
                 return self.languages[0], 1.0 / len(self.languages)
             far = np.abs(self.ranks[:, top] - np.arange(len(top), dtype=np.float32)).sum(1, dtype=np.float64) / len(top)

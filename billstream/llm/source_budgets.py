@@ -64,8 +64,8 @@ def shared(nodes: DataFrame, parents: list[str], node: str, amount: str, capacit
 def leaf_budgets(leaves: DataFrame, share: float, epochs: int) -> DataFrame:
     """domain, lang, source, tokens, budget (whole tokens) for leaves (domain, lang, source, tokens): one row a source."""
     at = leaves.withColumn("cap", (F.col("tokens") * epochs).cast("double"))
-    everything = at.agg(F.sum("tokens").alias("t"))
-    domains = at.groupBy("domain").agg(F.sum("cap").alias("cap")).join(F.broadcast(everything)).withColumn("amount", F.col("t") * share)
+    domains = at.groupBy("domain").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("t"))
+    domains = domains.withColumn("amount", F.sum("t").over(W.partitionBy(F.lit(0))) * share)
     domains = shared(domains, [], "domain", "amount", "cap", weight("domain", DOMAIN_WEIGHTS), "of_domain").select("domain", "of_domain")
     langs = at.groupBy("domain", "lang").agg(F.sum("cap").alias("cap")).join(domains, "domain")
     langs = shared(langs, ["domain"], "lang", "of_domain", "cap", weight("lang", LANGUAGE_WEIGHTS), "of_lang").select("domain", "lang", "of_lang")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import exists, scratch
+from .common import exists, scratch, staged
 
 #: Kind, pattern, group whose length counts, least length. The first three kinds are the base.
 BASE_KINDS = (
@@ -32,6 +32,8 @@ MORE_KINDS = (
 )
 RULES = BASE_KINDS + MORE_KINDS
 N_BASE = len(BASE_KINDS)
+#: Up to so many rows, or bytes of spans, a side of a join is sent to all tasks; beyond, the join shuffles.
+SENT_ROWS, SENT_BYTES = 500_000, 32 << 20
 NO_SPANS = hashlib.sha256(b"").hexdigest()
 FINDINGS = "blob binary, rule_version string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
@@ -86,12 +88,18 @@ def scan_unseen(docs: DataFrame, ledger: str, doc_id: str = "doc_id", text: str
     """Scan the blobs of docs that the ledger lacks at this rule version and append them. Returns how many."""
     spark, version = docs.sparkSession, rule_version()
     versions = _blobs(docs, doc_id, text)
-    # One document of each blob is opened. The text goes through one shuffle, by document, so copies of one text never meet in a task.
+    # One document of each blob is opened, none of a blob that the ledger has. The others are told apart without their text.
     first = versions.groupBy("blob").agg(F.min("doc_id").alias("first"))
     if exists(spark, ledger):
         first = first.join(read_ledger(spark, ledger).where(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
-    first = first.withColumnRenamed("blob", "of")
-    todo = versions.join(first.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("blob") == F.col("of")), "left_semi")
+    first = first.select(F.col("blob").alias("of"), "first")
+    opened = F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("blob") == F.col("of"))
+    others = versions.select("doc_id", "blob").join(first, F.col("blob") == F.col("of"), "left").where(F.col("of").isNull() | ~F.col("doc_id").eqNullSafe(F.col("first")))
+    others = staged(others.select(F.col("doc_id").alias("first"), F.col("blob").alias("of")), "other_versions")
+    if others.count() <= SENT_ROWS:
+        todo = versions.join(F.broadcast(others), opened, "left_anti")
+    else:  # the text goes through one shuffle, by document, so that copies of one text never meet in a task
+        todo = versions.join(first.hint("shuffle_hash"), opened, "left_semi")
     run = f"{ledger}/{uuid.uuid4().hex}"
     todo.select("blob", "text").mapInPandas(_scan(version), FINDINGS).write.parquet(run)
     return spark.read.schema(FINDINGS).parquet(run).count()
@@ -133,6 +141,9 @@ def redacted(docs: DataFrame, ledger: str | None = None, mark: str = "[secret]")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([without(t, s, mark) for t, s in zip(text, spans, strict=True)])
 
+    size = known.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("__spans")), F.lit(0)).alias("bytes")).first()
+    if size.n <= SENT_ROWS and size.bytes <= SENT_BYTES:
+        known = F.broadcast(known)
     joined = docs.withColumn("__blob", F.unhex(F.sha2(F.col("text").cast("binary"), 256))).join(known, "__blob", "left")
     # Texts without findings don't go through Python.
     kept = joined.where("__spans is null").select(*docs.columns)

@@ -12,9 +12,10 @@ similarity of 0.8 or more. The join is exact and lists no pairs within groups:
    ones of all (of near copies, it tends to be the original). A node joins the
    group of a leader that it links with.
 4. The matrix has, for each group, the union of its members' prefix tokens. A
-   node and a group that share tokens get a bound of their overlap: the shared
-   tokens of the node's prefix and all tokens behind the prefix. Groups that
-   could not hold a linked set by that bound, or by size, stay closed.
+   node asks the groups that have its first tokens, and gets a bound of its
+   overlap with each: the shared ones and all its tokens behind those. Groups
+   that could not hold a linked set as large as the node by that bound, or by
+   size, stay closed.
 5. The others are opened: the node is held against the union of the members'
    whole sets, in chunks of bounded size, and then against the members.
 6. Links of 3 and 5 and classes give the components.
@@ -34,25 +35,31 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import Temporary, staged
 from .components import components
-from .shingles import Shingler, set_key
+from .shingles import set_key, shingle_sets
 
 PERCENT = 80
-SLOTS = 1 << 24  # of the sketch and the bitmaps
-SLICE = 1 << 16
-COMMON = 32
-EXTRA = 10  # per cent of a set by which a group's prefixes are longer than a query's
+SLOTS = 1 << 24  # of the sketch
+BITS = 1 << 27  # of a bitmap
+SLICE = 1 << 16  # bytes
+COMMON = 32  # documents with a token that make it a common one, besides what a slot holds by chance
+EXTRA = 4  # per cent of a set, and tokens, by which a group's prefixes are longer than a query's
 CHUNK_MEMBERS = 256
 CHUNK_QUERIES = 1024
 SHIFT = np.uint64(40)  # a token's slot: its first 24 bits
 
 
-def query_prefix(n: int) -> int:
+def prefix(n: int) -> int:
     """How many first tokens of a set of n are compared: among them is a token of any set that it links with."""
     return n - (-(-PERCENT * n // 100)) + 1
 
 
+def short_prefix(n: int) -> int:
+    """The same for sets that are as large or larger, whose own prefix is compared."""
+    return n - (-(-2 * PERCENT * n // (100 + PERCENT))) + 1
+
+
 def _slices(counts: np.ndarray, dtype) -> Iterator[pa.RecordBatch]:
     used = np.flatnonzero(counts.reshape(-1, SLICE).any(1))
     if len(used):
@@ -60,47 +67,71 @@ def _slices(counts: np.ndarray, dtype) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array(packed, pa.binary())], names=["slice", "counts"])
 
 
-def _gathered(slices: DataFrame, width: str, combine, top: int) -> np.ndarray:
-    """One array of SLOTS bytes from the tasks' slices. A slice is added up in one task, a piece a task; what comes back has a fixed size."""
+def _gathered(slices: DataFrame, merged, size: int) -> np.ndarray:
+    """One array of size bytes from the tasks' slices, each merged in one task from a piece a task; what comes back has a fixed size."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(SLICE, np.int64)
-        for c in pdf["counts"]:
-            total = combine(total, np.frombuffer(zstandard.decompress(c), width).astype(np.int64))
-        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "counts": [zstandard.compress(np.minimum(total, top).astype(np.uint8).tobytes(), 3)]})
+        whole = merged(zstandard.decompress(c) for c in pdf["counts"])
+        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "counts": [zstandard.compress(whole.astype(np.uint8).tobytes(), 3)]})
 
-    out = np.zeros(SLOTS, np.uint8)
+    out = np.zeros(size, np.uint8)
     for r in slices.groupBy("slice").applyInPandas(add, "slice int, counts binary").collect():
         out[r.slice * SLICE : (r.slice + 1) * SLICE] = np.frombuffer(zstandard.decompress(r.counts), np.uint8)
     return out
 
 
-def _slot_of(ids: np.ndarray) -> np.ndarray:
-    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> SHIFT).astype(np.int64)
+def sketch(slices: DataFrame, steps: tuple[int, ...]) -> np.ndarray:
+    """How many of the steps each slot's total reaches."""
+
+    def merged(pieces) -> np.ndarray:
+        total = np.zeros(SLICE, np.int64)
+        for c in pieces:
+            total += np.frombuffer(c, "<i4")
+        return sum((total >= step).astype(np.uint8) for step in steps)
+
+    return _gathered(slices, merged, SLOTS)
+
+
+def _bit_of(ids: np.ndarray) -> np.ndarray:
+    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 27)).astype(np.int64)
+
+
+def among(ids: np.ndarray, marked: np.ndarray) -> np.ndarray:
+    """Which ids may be among those that a bitmap was made of."""
+    bit = _bit_of(ids)
+    return (marked[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
 
 
 def bitmap(ids: DataFrame) -> np.ndarray:
-    """Marks the slots of the ids (one long column): an id whose slot isn't marked is not among them."""
+    """BITS bits, those of the ids (one long column) set: an id whose bit isn't set is not among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(SLOTS, np.uint8)
-        for batch in batches:
-            seen[_slot_of(batch.column(0).to_numpy())] = 1
-        yield from _slices(seen, np.uint8)
+        bits = [np.unique(_bit_of(batch.column(0).to_numpy())) for batch in batches]
+        bits = np.unique(np.concatenate(bits)) if bits else np.empty(0, np.int64)
+        number, first = np.unique(bits // (8 * SLICE), return_index=True)
+        for k, own in zip(number.tolist(), np.split(bits, first[1:]), strict=False):
+            piece = np.zeros(8 * SLICE, np.uint8)
+            piece[own - k * 8 * SLICE] = 1
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([zstandard.compress(np.packbits(piece, bitorder="little").tobytes(), 1)], pa.binary())], names=["slice", "counts"])
 
-    return _gathered(ids.mapInArrow(run, "slice int, counts binary"), "u1", np.maximum, 1)
+    def merged(pieces) -> np.ndarray:
+        whole = np.zeros(SLICE, np.uint8)
+        for c in pieces:
+            whole |= np.frombuffer(c, np.uint8)
+        return whole
+
+    return _gathered(ids.mapInArrow(run, "slice int, counts binary"), merged, BITS // 8)
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, n, key of each document; at the end the task's token counts."""
-    shingler, counts = Shingler(), np.zeros(SLOTS, np.int32)
+    counts = np.zeros(SLOTS, np.int32)
     for batch in batches:
         n, keys = [], []
-        for t in batch.column(1):
-            h = shingler(t.as_py())
+        for h in shingle_sets(batch.column(1)):
             n.append(len(h))
             keys.append(set_key(h) if len(h) else None)
-            np.add.at(counts, (h >> SHIFT).astype(np.int64), 1)
+            np.add.at(counts, (h >> SHIFT).astype(np.int64), 1)  # in place: a histogram of the batch would take twice the sketch's memory
         none = pa.nulls(len(n))
         yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names=["doc_id", "n", "key", "slice", "counts"])
     for s in _slices(counts, "<i4"):
@@ -108,56 +139,77 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), s.column(0), s.column(1)], names=["doc_id", "n", "key", "slice", "counts"])
 
 
-def _prefixes(held):
-    """node, n, token, place (from 1), last (the last token of the query prefix), bare (share of rare tokens): the prefix tokens of each node."""
+#: The prefix tokens of each node; with the first also n, asks (how many of them it asks groups about), last (the last of these), end (the last of all) and bare (share of rare tokens).
+PREFIXES = "token long, node long, place int, n int, asks int, last long, end long, bare int"
+
+
+def _marked(batch: pa.RecordBatch, marked: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """id and set of the rows whose id is marked."""
+    ids = batch.column(0).to_numpy()
+    rows = np.flatnonzero(among(ids, marked))
+    for i, h in zip(rows.tolist(), shingle_sets(batch.column(1).take(pa.array(rows))), strict=True):
+        if len(h):
+            yield int(ids[i]), h
+
 
+def _prefixes(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, marked = held.value
-        shingler = Shingler()
+        level, marked = held.value
+        rows, nodes, size = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            far = np.array([len(r) for r in rows])
+            first = np.cumsum(far) - far
+            own = np.array(nodes, np.int64).reshape(-1, 6)
+            at_first = np.ones(far.sum(), bool)
+            at_first[first] = False
+            spread = [np.zeros(far.sum(), np.int64) for _ in range(5)]
+            for k, x in enumerate(spread):
+                x[first] = own[:, k + 1]
+            return pa.record_batch(
+                [pa.array(np.concatenate(rows)), pa.array(np.repeat(own[:, 0], far)), pa.array((np.arange(far.sum()) - np.repeat(first, far) + 1).astype(np.int32)), *(pa.array(x.astype(t), mask=at_first) for x, t in zip(spread, (np.int32, np.int32, np.int64, np.int64, np.int32), strict=True))],
+                names=[c.split(" ")[0] for c in PREFIXES.split(", ")],
+            )
+
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            rows = np.flatnonzero(marked[_slot_of(ids)])
-            out = []
-            for i in rows.tolist():
-                h = shingler(batch.column(1)[i].as_py())
-                if not (n := len(h)):
-                    continue
-                often = counts[(h >> SHIFT).astype(np.int64)]
-                p = query_prefix(n)
+            for node, h in _marked(batch, marked):
+                n, often = len(h), level[(h >> SHIFT).astype(np.int64)]
+                p = prefix(n)
                 # Order keys: common tokens have the top bit, others don't; the other bits are the hash's.
-                key = (h >> np.uint64(1)) | ((often >= COMMON).astype(np.uint64) << np.uint64(63))
-                far = min(n, p + EXTRA * n // 100)
-                first = np.sort(np.partition(key, far - 1)[:far])
-                bare = int(1000 * np.count_nonzero(often < 8) // n)
-                out.append((np.full(far, ids[i]), np.full(far, n, np.int32), first.view(np.int64), np.arange(1, far + 1, dtype=np.int32), np.full(far, first[p - 1].view(np.int64)), np.full(far, first[-1].view(np.int64)), np.full(far, bare, np.int32)))
-                if sum(len(x[0]) for x in out[-64:]) > 50_000 or len(out) >= 2000:
-                    yield _batch(out)
-                    out = []
-            if out:
-                yield _batch(out)
+                key = (h >> np.uint64(1)) | ((often >= 2).astype(np.uint64) << np.uint64(63))
+                far = min(n, p + EXTRA * n // 100 + EXTRA)
+                first = np.sort(np.partition(key, far - 1)[:far]).view(np.int64)
+                rows.append(first)
+                # All rare tokens of the prefix give a good bound; common ones are asked about only as far as they must be.
+                asks = max(short_prefix(n), min(p, int(np.count_nonzero(first >= 0))))
+                nodes.append((node, n, asks, first[asks - 1], first[-1], 1000 * np.count_nonzero(often == 0) // n))
+                size += far
+                if size > 200_000:
+                    yield flush()
+                    rows, nodes, size = [], [], 0
+        if rows:
+            yield flush()
 
     return run
 
 
-PREFIXES = "node long, n int, token long, place int, last long, end long, bare int"
-_NAMES = [c.split(" ")[0] for c in PREFIXES.split(", ")]
+def _shared(held):
+    """The rows whose token is marked."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(among(batch.column(0).to_numpy(), held.value)))
 
-def _batch(out) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=_NAMES)
+    return run
 
 
 def _sets(held):
     """node, set: the packed sets of the marked nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked, shingler = held.value, Shingler()
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            rows = np.flatnonzero(marked[_slot_of(ids)]).tolist()
-            sets = [shingler(batch.column(1)[i].as_py()) for i in rows]
-            keep = [k for k, h in enumerate(sets) if len(h)]
-            yield pa.record_batch([pa.array(ids[[rows[k] for k in keep]] if keep else np.empty(0, np.int64)), pa.array([sets[k].tobytes() for k in keep], pa.binary())], names=["node", "set"])
+            found = list(_marked(batch, held.value))
+            yield pa.record_batch([pa.array([i for i, _ in found], pa.int64()), pa.array([h.tobytes() for _, h in found], pa.binary())], names=["node", "set"])
 
     return run
 
@@ -216,46 +268,59 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     with_id = texts.where("doc_id is not null and text is not null")
-    seen = staged(texts.mapInArrow(_described, "doc_id long, n long, key binary, slice int, counts binary"), "shingle_sets")
-    described = seen.where("slice is null").select("doc_id", "n", "key")
-    counts = _gathered(seen.where("slice is not null").select("slice", "counts"), "<i4", np.add, 255)
+    early, temporary = Temporary(spark), Temporary(spark)
+    seen = early.staged(texts.mapInArrow(_described, "doc_id long, n long, key binary, slice int, counts binary"), "shingle_sets")
+    described = staged(seen.where("slice is null").select("doc_id", "n", "key"), "described")
+    load = (described.agg(F.sum("n")).first()[0] or 0) // SLOTS
+    level = sketch(seen.where("slice is not null").select("slice", "counts"), (8 + 2 * load, COMMON + 4 * load))
     classes = described.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("node"))
     marked = bitmap(classes.where("node is not null").select("node"))
 
-    prefixes = staged(with_id.mapInArrow(_prefixes(spark.sparkContext.broadcast((counts, marked))), PREFIXES), "prefixes")
-    # Tokens of one node only are dropped; of the others, the leader.
-    tokens = prefixes.groupBy("token").agg(F.min(F.struct("bare", "node", "n")).alias("leader"), F.max("node").alias("most"), F.min("node").alias("least")).where("most > least").select("token", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n"))
-    shared = staged(prefixes.join(tokens, "token"), "shared_tokens")
+    prefixes = early.staged(with_id.mapInArrow(_prefixes(spark.sparkContext.broadcast((level, marked))), PREFIXES), "prefixes")
+    # Most tokens are one node's. They go before anything else of a row is moved.
+    twice = bitmap(prefixes.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"))
+    nodes = prefixes.where("place = 1").select("node", "n", "asks", "last", "end", "bare").dropDuplicates(["node", "n", "last"])
+    rows = prefixes.select("token", "node", "place").mapInArrow(_shared(spark.sparkContext.broadcast(twice)), "token long, node long, place int")
+    rows = early.staged(rows.join(nodes, "node"), "shared_tokens")
+    tokens = rows.groupBy("token").agg(F.min(F.struct("bare", "node", "n")).alias("leader"), F.max("node").alias("most"), F.min("node").alias("least")).where("most > least").select("token", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n"))
+    shared = temporary.staged(rows.join(tokens, "token"), "with_leaders")
+    early.drop()
 
     fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * PERCENT) & (F.col(y) * 100 >= F.col(x) * PERCENT)
-    stars = staged(shared.where((F.col("node") != F.col("leader")) & fits("n", "leader_n")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    sets = _sets_of(with_id, stars.select("a").unionByName(stars.select(F.col("b").alias("a"))))
+    # Pairs that share too few tokens for a link are left to step 4; a leader that leads some of the shared tokens only is met with four fifths.
+    met = shared.where((F.col("node") != F.col("leader")) & fits("n", "leader_n")).groupBy("leader", "node", "n", "leader_n").agg(F.count("*").alias("hits"), F.max("place").alias("place"))
+    lacking = (F.col("n") + F.col("leader_n")) * PERCENT / (100 + PERCENT) - (F.col("n") - F.floor(F.col("n") * (100 - PERCENT) / 100))
+    stars = temporary.staged(met.where(F.col("hits") >= lacking * 0.8).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    sets = _sets_of(temporary, with_id, stars.select("a").unionByName(stars.select(F.col("b").alias("a"))))
     of = lambda node, name: sets.select(F.col("node").alias(node), F.col("set").alias(name))
     pairs = stars.join(of("b", "set_b"), "b").join(of("a", "set_a"), "a")
-    star_links = staged(pairs.where(_sets_link("set_a", "set_b")).select("a", "b").distinct(), "star_links")
+    star_links = temporary.staged(pairs.where(_sets_link("set_a", "set_b")).select("a", "b").distinct(), "star_links")
 
     # A group is named by its leader; leaders that joined another leader's group take their members along.
     group = star_links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("group"))
     up = group.select(F.col("node").alias("group"), F.col("group").alias("up"))
-    group = staged(group.join(up, "group", "left").select("node", F.coalesce(F.least("up", "group"), "group").alias("group")), "groups")
-    member = shared.drop("leader", "leader_n").join(group, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    member = staged(member, "members")
+    group = temporary.staged(group.join(up, "group", "left").select("node", F.coalesce(F.least("up", "group"), "group").alias("group")), "groups")
+    member = shared.drop("bare", "leader", "leader_n").join(group, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    member = temporary.staged(member, "members")
 
     matrix = member.groupBy("token", "group").agg(F.min("n").alias("n_least"), F.max("n").alias("n_most"), F.min("end").alias("end"))
-    query = member.withColumn("p", F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).where("place <= p").select("token", F.col("node").alias("q"), F.col("group").alias("own"), F.col("n").alias("nq"), "place", "last", "p")
-    could = (F.col("own") > F.col("group")) & (F.col("n_most") * 100 >= F.col("nq") * PERCENT) & (F.col("nq") * 100 >= F.col("n_least") * PERCENT)
-    met = query.join(matrix, (query.token == matrix.token) & could).groupBy("q", "group", "nq", "p", "last").agg(F.count("*").alias("hits"), F.max("place").alias("place"), F.min("n_least").alias("n_least"), F.min("end").alias("end"))
-    # 0.8 of the union is 4/9 of the sum of the sizes, at least. Signed order of end and last is the reverse of the tokens' for common ones; flip the top bit to compare.
+    query = member.where("place <= asks").select("token", F.col("node").alias("q"), F.col("group").alias("own"), F.col("n").alias("nq"), "place", "last", "asks")
+    # Of a linked pair the smaller one asks; of two alike, the one of the later group.
+    alike = (F.col("n_least") == F.col("nq")) & (F.col("n_most") == F.col("nq"))
+    could = (F.col("own") != F.col("group")) & (F.col("n_most") >= F.col("nq")) & (F.col("nq") * 100 >= F.col("n_least") * PERCENT) & (~alike | (F.col("own") > F.col("group")))
+    met = query.join(matrix, (query.token == matrix.token) & could).groupBy("q", "group", "nq", "asks", "last").agg(F.count("*").alias("hits"), F.max("place").alias("place"), F.min("n_least").alias("n_least"), F.min("end").alias("end"))
+    # Tokens are in unsigned order: the top bit is flipped to compare them as longs. If the group's prefixes reach as far as what was asked about, all shared tokens up to there are hits.
     unsigned = lambda c: F.col(c).bitwiseXOR(F.lit(-(1 << 63)))
-    behind = F.col("nq") - F.when(unsigned("end") >= unsigned("last"), F.col("p")).otherwise(F.col("place"))
-    need = (F.col("nq") + F.greatest(F.col("n_least"), F.ceil(F.col("nq") * PERCENT / 100))) * PERCENT / (100 + PERCENT)
-    opened = staged(met.where(F.col("hits") + behind >= need - 1e-6).select("q", "group"), "opened_groups")
+    behind = F.col("nq") - F.when(unsigned("end") >= unsigned("last"), F.col("asks")).otherwise(F.col("place"))
+    # 0.8 of the union is 4/9 of the sum of the sizes, at least.
+    need = (F.col("nq") + F.greatest("n_least", "nq")) * PERCENT / (100 + PERCENT)
+    opened = temporary.staged(met.where(F.col("hits") + behind >= need - 1e-6).select("q", "group").distinct(), "opened_groups")
 
     sizes = member.select("group", "node").distinct().join(opened.select("group").distinct(), "group", "left_semi")
-    sizes = staged(sizes, "opened_members")
+    sizes = temporary.staged(sizes, "opened_members")
     plan = sizes.groupBy("group").agg(F.count("*").alias("m")).join(opened.groupBy("group").agg(F.count("*").alias("k")), "group")
-    plan = staged(plan.select("group", F.ceil(F.col("m") / CHUNK_MEMBERS).cast("int").alias("chunks"), F.ceil(F.col("k") / CHUNK_QUERIES).cast("int").alias("rounds")), "opening_plan")
-    sets = _sets_of(with_id, sizes.select("node").unionByName(opened.select(F.col("q").alias("node"))))
+    plan = temporary.staged(plan.select("group", F.ceil(F.col("m") / CHUNK_MEMBERS).cast("int").alias("chunks"), F.ceil(F.col("k") / CHUNK_QUERIES).cast("int").alias("rounds")), "opening_plan")
+    sets = _sets_of(temporary, with_id, sizes.select("node").unionByName(opened.select(F.col("q").alias("node"))))
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     inside = sizes.join(plan, "group").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).join(of("node", "set"), "node").withColumn("round", upto("rounds")).select("group", "chunk", "round", "node", "set")
     asking = opened.join(plan, "group").withColumn("round", F.pmod(F.xxhash64("q"), F.col("rounds")).cast("int")).join(of("q", "set"), "q").withColumn("chunk", upto("chunks")).select("group", "chunk", "round", "q", "set")
@@ -263,14 +328,15 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     links = inside.groupBy(*by).cogroup(asking.groupBy(*by)).applyInPandas(_open, "a long, b long")
 
     found = components(star_links.unionByName(links))
+    temporary.drop()
     whole = described.join(classes, "key", "left").join(found, "node", "left")
     return whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "node")).alias("component_id"))
 
 
-def _sets_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+def _sets_of(temporary: Temporary, texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, set of the nodes (one column, repeats allowed), from the texts."""
     marked = texts.sparkSession.sparkContext.broadcast(bitmap(nodes))
-    return staged(texts.mapInArrow(_sets(marked), "node long, set binary").dropDuplicates(["node", "set"]), "sets")
+    return temporary.staged(texts.mapInArrow(_sets(marked), "node long, set binary"), "sets")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

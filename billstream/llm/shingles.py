@@ -1,54 +1,122 @@
-"""Five-word shingle sets as sorted 64-bit hashes."""
+"""Five-word shingle sets as sorted 64-bit hashes.
+
+A word is a run of other bytes than space and tab to carriage return, A-Z
+lower-cased. Its hash adds up random numbers, one for each place and byte; a
+shingle's hash mixes those of its words. Hashes have 64 bits: two shingles of
+one pair of documents that share a hash by chance are not to be expected in
+10^10 pairs of long documents.
+"""
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
-import xxhash
-
-from .common import TO_SPACE, Recent
+import pyarrow as pa
 
 SHINGLE = 5
+PIECE = 1 << 20  # bytes hashed at once
+_PLACES = 64
+_TABLE = np.random.default_rng(0x5EED).integers(0, 1 << 64, _PLACES * 256, np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # odd; fixed value: 2^64 divided by the golden ratio
-_UPPER = {c: chr(c + 32) for c in range(65, 91)}
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BREAK = np.zeros(256, bool)
+_BREAK[[32, *range(9, 14)]] = True
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
-
-
-class Shingler:
-    """text -> the sorted distinct hashes of its shingles; none without words.
-
-    A word is a run of other characters than space and tab to carriage return,
-    A-Z lower-cased. With fewer words than a shingle has, all of them are one.
-    Hashes are 64 bits: two shingles of one pair of documents that share a hash
-    by chance are not to be expected in 10^10 pairs of long documents.
-    """
-
-    def __init__(self, size: int = SHINGLE, cached: int = 500_000):
-        self.size = size
-        self.of_word = Recent(lambda w: xxhash.xxh64_intdigest(w.translate(_UPPER), 1), cached)
-
-    def words(self, text: str) -> list[str]:
-        """Its words, letters as they are."""
-        if "\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text:
-            text = text.translate(TO_SPACE)
-        found = text.replace("\n", " ").split(" ")
-        return [w for w in found if w] if "" in found else found
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        found = self.words(text) if text else []
-        if not found:
-            return np.empty(0, np.uint64)
-        w = np.fromiter(map(self.of_word.__getitem__, found), np.uint64, len(found))
-        k = min(self.size, len(w))
-        h = np.full(len(w) - k + 1, len(w) if len(w) < self.size else 0, np.uint64)
-        for i in range(k):
-            h = _mix(h * _STEP + w[i : len(w) - k + 1 + i])
-        return np.unique(h)
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def _words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words in bytes that texts begin at starts of, where each word begins, and a number below 31^3 for its last three bytes."""
+    gap = _BREAK[data]
+    first = np.ones(len(data) + 1, bool)  # a text begins, or ends, here
+    first[1:-1] = gap[:-1]
+    first[starts[starts < len(data)]] = True
+    begin = np.flatnonzero(first[:-1] & ~gap)
+    last = np.ones(len(data), bool)
+    last[:-1] = gap[1:] | first[1:-1]
+    end = np.flatnonzero(last & ~gap) + 1
+    size = end - begin
+    place = np.arange(len(data)) - np.repeat(np.concatenate([[0], begin]), np.diff(np.concatenate([[0], begin, [len(data)]])))
+    low = _LOWER[data]
+    value = _TABLE[(place & (_PLACES - 1)) << 8 | low]
+    if len(size) and size.max() > _PLACES:
+        value *= (2 * (place // _PLACES) + 1).astype(np.uint64)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
+    letters = [np.where(size > k, low[np.maximum(end - 1 - k, 0)], 0).astype(np.int32) % 31 for k in range(3)]
+    return _mix((total[end] - total[begin]) + size.astype(np.uint64) * _STEP), begin, letters[0] + 31 * letters[1] + 961 * letters[2]
+
+
+def _shingles(words: np.ndarray) -> np.ndarray:
+    """The sorted distinct hashes of the shingles of one text, from its words' hashes."""
+    k = min(SHINGLE, len(words))
+    h = np.full(len(words) - k + 1, len(words) if len(words) < SHINGLE else 0, np.uint64)
+    for i in range(k):
+        h *= _STEP
+        h += words[i : len(words) - k + 1 + i]
+        h = _mix(h)
+    return _distinct(h)
+
+
+def _distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
+
+
+def _long(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and endings of the words of one long text, in pieces that end at a gap (a longer word is a piece of its own)."""
+    out, a = [], 0
+    gaps = np.flatnonzero(_BREAK[data])
+    while a < len(data):
+        i = np.searchsorted(gaps, a + PIECE)
+        b = len(data) if a + PIECE >= len(data) else int(gaps[i - 1]) if i and gaps[i - 1] > a else int(gaps[i]) if i < len(gaps) else len(data)
+        words, _, endings = _words(data[a:b], np.zeros(1, np.int64))
+        out.append((words, endings))
+        a = b
+    return np.concatenate([w for w, _ in out]), np.concatenate([e for _, e in out])
+
+
+def word_hashes(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The column in runs of texts: the hashes of their words, one text after the other; for each text where its words begin, and the end of the last; the words' endings. Null is a text without words."""
+    texts = texts.cast(pa.large_string())
+    if texts.null_count:
+        texts = texts.fill_null("")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.empty(0, np.uint8)
+    i = 0
+    while i < len(texts):
+        if offsets[i + 1] - offsets[i] > PIECE:
+            words, endings = _long(data[offsets[i] : offsets[i + 1]])
+            yield words, np.array([0, len(words)]), endings
+            i += 1
+            continue
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + PIECE, "right")) - 1)
+        starts = offsets[i : j + 1] - offsets[i]
+        words, begin, endings = _words(data[offsets[i] : offsets[j]], starts[:-1])
+        yield words, np.searchsorted(begin, starts), endings
+        i = j
+
+
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text in a column of strings, in order; none for null and for texts without words."""
+    for words, bounds, _ in word_hashes(texts):
+        whole = np.zeros(max(0, len(words) - SHINGLE + 1), np.uint64)
+        for k in range(SHINGLE):
+            whole *= _STEP
+            whole += words[k : len(words) - SHINGLE + 1 + k] if len(whole) else 0
+            whole = _mix(whole)
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if a == b:
+                yield np.empty(0, np.uint64)
+            else:
+                yield _distinct(whole[a : b - SHINGLE + 1]) if b - a >= SHINGLE else _shingles(words[a:b])
 
 
 def set_key(hashes: np.ndarray) -> bytes:

@@ -11,15 +11,14 @@ starts.
 Training is a pass over the training documents in rounds. In each, every task
 takes gradient steps on its own documents from the common weights and returns
 what changed; the changes of a row of weights are averaged by how often tasks
-used the row. Tables have a fixed size whatever the corpus; counts of all words
-are exact, and words that are not common are joined with them in Spark.
+used the row. Tables have a fixed size whatever the corpus; all words are counted,
+and words that are not common are joined with their counts in Spark. A word is
+known by the 64-bit hash of its bytes.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, fold, staged
-from .shingles import _UPPER, Shingler
+from .common import fold, staged
+from .shingles import word_hashes
 
-END = ""  # no word is empty
+END = np.uint64(1)  # stands for the end of a text among the words' hashes
 HEAD = 65_536  # words whose counts all tasks get
-LONGEST = 256  # characters of such a word
 HEAD_CLASSES, MEMBERS, RARE_CLASSES = 32, 128, 32
 CLASSES = HEAD_CLASSES + RARE_CLASSES
 MODELLED = HEAD_CLASSES * MEMBERS
@@ -47,76 +45,72 @@ RATE = 0.2
 ROUNDS = 2
 FOLDS, HELD_OUT = 5, 1
 NONE = np.float32(-60.0)  # logit of an empty place in a class
+COUNTED = "token long, kind int, c long"
 
 
-def rare_class(word: str) -> int:
-    return zlib.crc32(word[-3:].encode()) % RARE_CLASSES
+def _with_ends(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of texts: the hashes of their words and ends, where each text starts, and the rare class that each word would have."""
+    for words, bounds, endings in word_hashes(texts):
+        n = len(bounds) - 1
+        at = np.arange(len(words)) + np.repeat(np.arange(n), np.diff(bounds))
+        tokens, kinds = np.full(len(words) + n, END, np.uint64), np.zeros(len(words) + n, np.int64)
+        tokens[at], kinds[at] = words, endings % RARE_CLASSES
+        yield tokens, bounds[:-1] + np.arange(n), kinds
 
 
-def _lower(word: str) -> str:
-    return word.translate(_UPPER)
-
-
-def _counted(held: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, found = Shingler().words, Counter()
-
-        def flush() -> pd.DataFrame:
-            low: Counter = Counter()
-            for w, n in found.items():
-                low[_lower(w)] += n
-            found.clear()
-            return pd.DataFrame({"token": list(low.keys()), "c": list(low.values())})
-
-        for batch in batches:
-            for text in batch["text"]:
-                found.update(words(text) if text else ())
-                found[END] += 1
-            if len(found) > held:
-                yield flush()
-        if found:
-            yield flush()
-
-    return run
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of a batch and how often they are there."""
+    for batch in batches:
+        held = [(t, k) for t, _, k in _with_ends(batch.column(0))]
+        if held:
+            tokens, first, n = np.unique(np.concatenate([t for t, _ in held]), return_index=True, return_counts=True)
+            yield pa.record_batch([pa.array(tokens.view(np.int64)), pa.array(np.concatenate([k for _, k in held])[first].astype(np.int32)), pa.array(n)], names=["token", "kind", "c"])
 
 
 class Vocabulary:
-    """The common words and, for every code, what the model needs. Codes: rank of a common word; others, HEAD + class * MODELLED + hash."""
+    """The common words, by rank, and what the model needs of each. Codes: the rank of a common word, HEAD for others."""
 
-    def __init__(self, words: list[str], counts: list[int], total: float, masses: list[float]):
-        self.size = len(words)
-        self.index = {w: i for i, w in enumerate(words)}
-        self.log_count = np.log10(np.array(counts, np.float64) + 0.5) if words else np.empty(0)
+    def __init__(self, tokens: np.ndarray, kinds: np.ndarray, counts: np.ndarray, total: float, masses: list[float]):
+        self.size = len(tokens)
+        self.order = np.argsort(tokens, kind="stable")
+        self.sorted = tokens[self.order] if self.size else np.zeros(1, np.uint64)
+        self.log_count = np.log10(counts + 0.5)
         self.total = total
         self.modelled = min(self.size, MODELLED)
         n = np.arange(self.size)
-        other = np.array([rare_class(w) for w in words], np.int64) if words else np.empty(0, np.int64)
-        self.classes = np.where(n < self.modelled, n // MEMBERS, HEAD_CLASSES + other)
-        self.contexts = np.where(n < self.modelled, n, MODELLED + np.array([zlib.crc32(w.encode()) % MODELLED for w in words], np.int64)) if words else n
+        self.classes = np.where(n < self.modelled, n // MEMBERS, HEAD_CLASSES + kinds)
+        self.contexts = np.where(n < self.modelled, n, _hashed_context(tokens))
         self.log_mass = np.log10(np.array(masses, np.float64))  # of the rare classes
-        start = np.full(CLASSES, -np.inf)
-        weight = np.array(counts[: self.modelled], np.float64) + 0.5
+        weight = counts[: self.modelled] + 0.5
         by_class = np.bincount(np.arange(self.modelled) // MEMBERS, weight, HEAD_CLASSES) if self.modelled else np.zeros(HEAD_CLASSES)
-        start[:HEAD_CLASSES] = np.log(np.maximum(by_class, 1e-30))
-        start[HEAD_CLASSES:] = np.log(np.array(masses))
+        start = np.log(np.maximum(np.concatenate([by_class, masses]), 1e-30))
         self.class_bias = np.where(np.concatenate([by_class, np.ones(RARE_CLASSES)]) > 0, start, NONE).astype(np.float32)
         places = np.full(MODELLED, NONE, np.float32)
         places[: self.modelled] = np.log(weight)
         self.word_bias = places.reshape(HEAD_CLASSES, MEMBERS)
 
-    def code(self, word: str) -> int:
-        word = _lower(word)
-        i = self.index.get(word)
-        return i if i is not None else HEAD + rare_class(word) * MODELLED + zlib.crc32(word.encode()) % MODELLED
+    def codes(self, tokens: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.sorted, tokens), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == tokens, self.order[at], HEAD) if self.size else np.full(len(tokens), HEAD)
 
-    def looked_up(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """class and context id of each code."""
+    def features(self, tokens: np.ndarray, starts: np.ndarray, kinds: np.ndarray):
+        """Of each token: code, class, place in it (0 for rare ones), and rows in the tables."""
+        codes = self.codes(tokens)
         common = codes < HEAD
         safe = np.where(common, codes, 0)
-        rest = codes - HEAD
-        if not self.size:
-            return HEAD_CLASSES + rest // MODELLED, MODELLED + rest % MODELLED
-        return np.where(common, self.classes[safe], HEAD_CLASSES + rest // MODELLED), np.where(common, self.contexts[safe], MODELLED + rest % MODELLED)
+        cls, ctx = HEAD_CLASSES + kinds, _hashed_context(tokens)
+        if self.size:
+            cls, ctx = np.where(common, self.classes[safe], cls), np.where(common, self.contexts[safe], ctx)
+        w1 = np.concatenate([[CONTEXTS - 1], ctx[:-1]])
+        w1[starts] = CONTEXTS - 1
+        w2 = np.concatenate([[CONTEXTS - 1], w1[:-1]])
+        w2[starts] = CONTEXTS - 1
+        rows = {"before": w1, "skip": w2, "pair": ((w1 * 0x9E3779B1 + w2 * 0x85EBCA77) >> 7) % PAIRS, "word_before": ((w1 * 0x9E3779B1 + cls * 0xC2B2AE35) >> 5) % ROWS, "word_skip": ((w2 * 0x27D4EB2F + cls * 0x165667B1) >> 5) % ROWS}
+        return codes, cls, np.where(cls < HEAD_CLASSES, codes % MEMBERS, 0), rows
+
+
+def _hashed_context(tokens: np.ndarray) -> np.ndarray:
+    return MODELLED + ((tokens >> np.uint64(20)) % np.uint64(MODELLED)).astype(np.int64)
 
 
 def empty_tables() -> dict[str, np.ndarray]:
@@ -124,38 +118,6 @@ def empty_tables() -> dict[str, np.ndarray]:
     return {k: np.zeros(s, np.float32) for k, s in rows.items()}
 
 
-class Texts:
-    """Turns texts into codes, and codes into features."""
-
-    def __init__(self, vocabulary: Vocabulary, cached: int = 400_000):
-        self.v = vocabulary
-        self.words = Shingler().words
-        self.of_word = Recent(vocabulary.code, cached)
-        self.end = vocabulary.index.get(END, HEAD + rare_class(END) * MODELLED)
-
-    def coded(self, texts) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-        """codes of all texts one after the other, an end after each; where each text starts; its words."""
-        words = [self.words(t) if t else [] for t in texts]
-        size = np.array([len(w) + 1 for w in words], np.int64)
-        starts = np.cumsum(size) - size
-        codes = np.empty(int(size.sum()), np.int64)
-        for w, a in zip(words, starts.tolist(), strict=True):
-            codes[a : a + len(w)] = np.fromiter(map(self.of_word.__getitem__, w), np.int64, len(w))
-            codes[a + len(w)] = self.end
-        return codes, starts, words
-
-    def features(self, codes: np.ndarray, starts: np.ndarray):
-        """class, place in it (0 for rare ones), and rows in the tables, of each token."""
-        cls, ctx = self.v.looked_up(codes)
-        w1 = np.concatenate([[CONTEXTS - 1], ctx[:-1]])
-        w1[starts] = CONTEXTS - 1
-        w2 = np.concatenate([[CONTEXTS - 1], w1[:-1]])
-        w2[starts] = CONTEXTS - 1
-        pair = ((w1 * 0x9E3779B1 + w2 * 0x85EBCA77) >> 7) % PAIRS
-        place = np.where(cls < HEAD_CLASSES, codes % MEMBERS, 0)
-        return cls, place, {"before": w1, "skip": w2, "pair": pair, "word_before": ((w1 * 0x9E3779B1 + cls * 0xC2B2AE35) >> 5) % ROWS, "word_skip": ((w2 * 0x27D4EB2F + cls * 0x165667B1) >> 5) % ROWS}
-
-
 def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """exp(z - max) in place, and its sums."""
     z -= z.max(1, keepdims=True)
@@ -246,12 +208,10 @@ def _round(held):
         vocabulary, common = held.value
         tables = {k: t.astype(np.float32) for k, t in common.items()}
         square, used = {k: np.zeros_like(t) for k, t in tables.items()}, {k: np.zeros(len(t)) for k, t in tables.items()}
-        texts, seen = Texts(vocabulary), False
+        seen = False
         for batch in batches:
-            column = batch.column(0)
-            for a in range(0, len(column), 256):
-                codes, starts, _ = texts.coded(column[a : a + 256].to_pylist())
-                train_on(vocabulary, tables, square, used, *texts.features(codes, starts))
+            for tokens, starts, kinds in _with_ends(batch.column(0)):
+                train_on(vocabulary, tables, square, used, *vocabulary.features(tokens, starts, kinds)[1:])
                 seen = True
         for k, t in tables.items() if seen else ():
             at = np.flatnonzero(used[k])
@@ -289,35 +249,30 @@ def trained(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict[str, n
     return common
 
 
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, words array<string>, times array<int>"
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tokens array<long>"
 
 
 def _scored(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, tables = held.value
-        texts, row = Texts(v), TaskContext.get().partitionId() << 40
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                piece = batch.slice(a, 256)
-                codes, starts, words = texts.coded(piece.column(2).to_pylist())
-                cls, place, rows = texts.features(codes, starts)
+            a = 0
+            for tokens, starts, kinds in _with_ends(batch.column(2)):
+                codes, cls, place, rows = v.features(tokens, starts, kinds)
                 score = log_probabilities(v, tables, cls, place, rows)
                 common, rare = codes < HEAD, cls >= HEAD_CLASSES
                 count = np.where(common, v.log_count[np.where(common, codes, 0)], 0.0) if v.size else np.zeros(len(codes))
                 score += np.where(rare, count - v.log_mass[np.where(rare, cls - HEAD_CLASSES, 0)], 0.0)
                 size = np.diff(np.append(starts, len(codes)))
-                others = []
-                for w, s in zip(words, starts.tolist(), strict=True):
-                    others.append(Counter(_lower(w[i]) for i in np.flatnonzero(codes[s : s + len(w)] >= HEAD).tolist()))
+                known = np.add.reduceat(common.astype(np.int64), starts)
+                others = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size - known)]).astype(np.int32)), pa.array(tokens[~common].view(np.int64)))
+                ids = batch.slice(a, len(starts))
                 yield pa.record_batch(
-                    [
-                        pa.array(np.arange(row, row + len(words))), piece.column(0), piece.column(1), pa.array(size), pa.array(np.add.reduceat(common.astype(np.int64), starts)),
-                        pa.array(np.add.reduceat(count, starts) - size * v.total), pa.array(np.add.reduceat(score, starts)),
-                        pa.array([list(o.keys()) for o in others], pa.list_(pa.string())), pa.array([list(o.values()) for o in others], pa.list_(pa.int32())),
-                    ],
+                    [pa.array(np.arange(row, row + len(starts))), ids.column(0), ids.column(1), pa.array(size), pa.array(known), pa.array(np.add.reduceat(count, starts) - size * v.total), pa.array(np.add.reduceat(score, starts)), others],
                     names=[c.split(" ")[0] for c in SCORED.split(", ")],
-                )
-                row += len(words)
+                )
+                a, row = a + len(starts), row + len(starts)
 
     return run
 
@@ -334,24 +289,24 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(docs, divisor=FOLDS) == HELD_OUT).alias("held_out"), "text")
     learn = rows.where("not held_out")
-    counts = staged(learn.select("text").mapInPandas(_counted(300_000), "token string, c long").groupBy("token").agg(F.sum("c").alias("c")), "word_counts")
+    counts = staged(learn.select("text").mapInArrow(_counted, COUNTED).groupBy("token", "kind").agg(F.sum("c").alias("c")), "word_counts")
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = total.n or 0, total.v
-    head = counts.where(F.char_length("token") <= LONGEST).orderBy(F.desc("c"), "token").limit(HEAD).collect()
+    head = counts.orderBy(F.desc("c"), "token").limit(HEAD).collect()
     # What the words of each rare class weigh, and its unknown word.
-    kind = F.pmod(F.crc32(F.substring("token", -3, 3).cast("binary")), F.lit(RARE_CLASSES)).cast("int")
-    mass = {r.kind: r.mass for r in counts.groupBy(kind.alias("kind")).agg(F.sum(F.col("c") + 0.5).alias("mass")).collect()}
+    mass = {r.kind: r.mass for r in counts.groupBy("kind").agg(F.sum(F.col("c") + 0.5).alias("mass")).collect()}
     masses = [mass.get(k, 0.0) + 0.5 for k in range(RARE_CLASSES)]
     for r in head[:MODELLED]:
-        masses[rare_class(r.token)] -= r.c + 0.5
-    vocabulary = Vocabulary([r.token for r in head], [r.c for r in head], math.log10(n + 0.5 * (v + 1)), [max(m, 0.5) for m in masses])
+        masses[r.kind] -= r.c + 0.5
+    columns = (np.array([r[k] for r in head], t) for k, t in ((0, np.int64), (1, np.int64), (2, np.float64)))
+    tokens, kinds, c = columns
+    vocabulary = Vocabulary(tokens.view(np.uint64), kinds, c, math.log10(n + 0.5 * (v + 1)), [max(m, 0.5) for m in masses])
     tables = trained(learn, vocabulary) if n else empty_tables()
     scored = staged(rows.mapInArrow(_scored(spark.sparkContext.broadcast((vocabulary, tables))), SCORED), "scored")
     # Words beyond the common ones meet their counts in a join; both sides are spread by word.
-    rest = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("token"), F.col("w.times").alias("times"))
-    count = F.coalesce("c", F.lit(0))
-    rest = rest.join(counts, "token", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(count + 0.5)).alias("more"), F.sum(F.when(count > 0, F.col("times")).otherwise(0)).alias("known"))
+    rest = scored.select("row", F.explode("tokens").alias("token")).join(counts.select("token", "c"), "token", "left")
+    rest = rest.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.count("c").alias("known"))
     more = F.coalesce("more", F.lit(0.0))
-    return scored.drop("words", "times").join(rest, "row", "left").select(
+    return scored.drop("tokens").join(rest, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score")
     )

@@ -13,9 +13,9 @@ similarity of 0.8 or more. The join is exact and lists no pairs within groups:
    group of a leader that it links with.
 4. The matrix has, for each group, the union of its members' prefix tokens. A
    node asks the groups that have its first tokens, and gets a bound of its
-   overlap with each: the shared ones and all its tokens behind those. Groups
-   that could not hold a linked set as large as the node by that bound, or by
-   size, stay closed.
+   overlap with each: the shared ones up to where the first of these members'
+   prefixes ends, and all its tokens behind those. Groups that could not hold a
+   linked set as large as the node by that bound, or by size, stay closed.
 5. The others are opened: the node is held against the union of the members'
    whole sets, in chunks of bounded size, and then against the members.
 6. Links of 3 and 5 and classes give the components.
@@ -48,6 +48,7 @@ EXTRA = 4  # per cent of a set, and tokens, by which a group's prefixes are long
 CHUNK_MEMBERS = 256
 CHUNK_QUERIES = 1024
 SHIFT = np.uint64(40)  # a token's slot: its first 24 bits
+TOP = 1 << 63  # tokens are in unsigned order: with the top bit flipped, they have it as longs
 
 
 def prefix(n: int) -> int:
@@ -139,7 +140,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), s.column(0), s.column(1)], names=["doc_id", "n", "key", "slice", "counts"])
 
 
-#: The prefix tokens of each node; with the first also n, asks (how many of them it asks groups about), last (the last of these), end (the last of all) and bare (share of rare tokens).
+#: The prefix tokens of each node; with the first also n, asks (how many of them it asks groups about), last (the last of these), end (the last of all; both with the top bit flipped) and bare (share of rare tokens).
 PREFIXES = "token long, node long, place int, n int, asks int, last long, end long, bare int"
 
 
@@ -178,11 +179,13 @@ def _prefixes(held):
                 # Order keys: common tokens have the top bit, others don't; the other bits are the hash's.
                 key = (h >> np.uint64(1)) | ((often >= 2).astype(np.uint64) << np.uint64(63))
                 far = min(n, p + EXTRA * n // 100 + EXTRA)
-                first = np.sort(np.partition(key, far - 1)[:far]).view(np.int64)
+                first = np.sort(np.partition(key, far - 1)[:far])
+                rank = (first ^ np.uint64(TOP)).view(np.int64)
+                first = first.view(np.int64)
                 rows.append(first)
                 # All rare tokens of the prefix give a good bound; common ones are asked about only as far as they must be.
                 asks = max(short_prefix(n), min(p, int(np.count_nonzero(first >= 0))))
-                nodes.append((node, n, asks, first[asks - 1], first[-1], 1000 * np.count_nonzero(often == 0) // n))
+                nodes.append((node, n, asks, rank[asks - 1], rank[-1], 1000 * np.count_nonzero(often == 0) // n))
                 size += far
                 if size > 200_000:
                     yield flush()
@@ -308,13 +311,14 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # Of a linked pair the smaller one asks; of two alike, the one of the later group.
     alike = (F.col("n_least") == F.col("nq")) & (F.col("n_most") == F.col("nq"))
     could = (F.col("own") != F.col("group")) & (F.col("n_most") >= F.col("nq")) & (F.col("nq") * 100 >= F.col("n_least") * PERCENT) & (~alike | (F.col("own") > F.col("group")))
-    met = query.join(matrix, (query.token == matrix.token) & could).groupBy("q", "group", "nq", "asks", "last").agg(F.count("*").alias("hits"), F.max("place").alias("place"), F.min("n_least").alias("n_least"), F.min("end").alias("end"))
-    # Tokens are in unsigned order: the top bit is flipped to compare them as longs. If the group's prefixes reach as far as what was asked about, all shared tokens up to there are hits.
-    unsigned = lambda c: F.col(c).bitwiseXOR(F.lit(-(1 << 63)))
-    behind = F.col("nq") - F.when(unsigned("end") >= unsigned("last"), F.col("asks")).otherwise(F.col("place"))
+    hit = F.struct(query.token.bitwiseXOR(F.lit(-TOP)).alias("rank"), "place")
+    met = query.join(matrix, (query.token == matrix.token) & could).groupBy("q", "group", "nq", "asks", "last").agg(F.collect_list(hit).alias("hits"), F.min("n_least").alias("n_least"), F.min("end").alias("end"))
+    # Up to the least end among the members that were hit, all tokens shared with one of them are hits; any of the node's tokens behind its last hit up to there may be shared.
+    met = met.withColumn("hits", F.filter("hits", lambda h: h["rank"] <= F.col("end")))
+    behind = F.col("nq") - F.when(F.col("end") >= F.col("last"), F.col("asks")).otherwise(F.coalesce(F.array_max(F.transform("hits", lambda h: h["place"])), F.lit(0)))
     # 0.8 of the union is 4/9 of the sum of the sizes, at least.
     need = (F.col("nq") + F.greatest("n_least", "nq")) * PERCENT / (100 + PERCENT)
-    opened = temporary.staged(met.where(F.col("hits") + behind >= need - 1e-6).select("q", "group").distinct(), "opened_groups")
+    opened = temporary.staged(met.where(F.size("hits") + behind >= need - 1e-6).select("q", "group").distinct(), "opened_groups")
 
     sizes = member.select("group", "node").distinct().join(opened.select("group").distinct(), "group", "left_semi")
     sizes = temporary.staged(sizes, "opened_members")

@@ -330,6 +330,43 @@ def test_chains_and_hot_groups(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def mixed_ends(common):
+    """q inside m at 0.80, m in the group of l, which reaches further than m: with common tokens, or by the last token that q asks about."""
+    r = random.Random(3)
+
+    def grown(words, low, high, before=False):
+        """words and one more, whose shingle's hash is between low and high, of 1."""
+        while True:
+            more = [f"t{r.getrandbits(48):x}" for _ in range(100)]
+            texts = [" ".join([w, *words[:4]] if before else [*words[-4:], w]) for w in more]
+            for w, h in zip(more, shingles.shingle_sets(pa.array(texts)), strict=True):
+                if low <= int(h[0]) / 2**64 < high:
+                    return [w, *words] if before else [*words, w]
+
+    m = ["m0", "m1", "m2", "m3"]
+    late = [(0.5, 1)] * 63 if common else [(0.3, 0.4)] + [(0.5, 1)] * 62
+    own = [(0.1, 0.3)] * 11 if common else [(0.1, 0.3)] * 10 + [(0.5, 1)]
+    for low, high in [(0, 0.1)] * 26 + late + own:
+        m = grown(m, low, high)
+    l = m[:93]  # noqa: E741
+    for _ in range(11):
+        l = grown(l, 0.5, 1, before=True)  # noqa: E741
+    fill = lambda: [f"f{r.getrandbits(48):x}" for _ in range(300)]
+    if common:
+        rest = [l[:15] + fill() + m[26:93] + (fill() + m[:30] if k < 10 else []) for k in range(40)]
+    else:
+        rest = [l + fill() for _ in range(10)]
+    return [(k, " ".join(w)) for k, w in enumerate([l, m, m[20:], *rest])]
+
+
+@pytest.mark.parametrize("common", [True, False])
+def test_groups_of_mixed_ends(spark, common):
+    rows = mixed_ends(common)
+    want = brute_components(rows)
+    assert want[(2, 80, 0)] == 1
+    assert rows_of(jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))) == want
+
+
 def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(40) if i % 10 != 9] + [(500, k) for k in range(501, 520)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))

@@ -235,8 +235,8 @@ def _sets_link(a: str, b: str) -> Column:
     return run(a, b)
 
 
-def _open(key, members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-    """The links of the queries with a chunk of a group, one a query."""
+def _found(key, members: pd.DataFrame, queries: pd.DataFrame, every: bool) -> pd.DataFrame:
+    """The links of the queries with a chunk of a group: one a query, or every one. Of two groups' pair the larger set is in the asked group; of two alike, that of the later group asks."""
     out = []
     if len(members) and len(queries):
         sets = [np.frombuffer(s, np.uint64) for s in members["set"]]
@@ -245,7 +245,7 @@ def _open(key, members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         order = np.argsort(tokens, kind="stable")
         tokens, of = tokens[order], of[order]
         nodes = members["node"].to_numpy()
-        for q, packed in zip(queries["q"], queries["set"], strict=True):
+        for q, own, packed in zip(queries["q"], queries["own"], queries["set"], strict=True):
             h = np.frombuffer(packed, np.uint64)
             lo, hi = np.searchsorted(tokens, h, "left"), np.searchsorted(tokens, h, "right")
             if 100 * np.count_nonzero(hi > lo) < PERCENT * len(h):
@@ -254,20 +254,24 @@ def _open(key, members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
             at = np.repeat(lo, long) + np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
             both = np.bincount(of[at], minlength=len(sets))
             hit = np.flatnonzero((100 * both >= PERCENT * (len(h) + size - both)) & (nodes != q))
-            if len(hit):
+            if every:
+                hit = hit[nodes[hit] > q] if own == key[0] else hit[(size[hit] > len(h)) | ((size[hit] == len(h)) & (own > key[0]))]
+                out += [(min(q, x), max(q, x)) for x in nodes[hit].tolist()]
+            elif len(hit):
                 out.append((q, nodes[hit[0]]))
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs; other columns are ignored.
+def _open(key, members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    return _found(key, members, queries, False)
 
-    Null texts and texts without words have no shingles and are their own
-    component. Rows with a null id get the component of an equal set, if there
-    is one, else null, and link nothing. Repeated rows are equal sets; an id
-    with several texts joins what its texts link with, as far as it names a
-    node. No rows: an empty result. Texts of any length count whole.
-    """
+
+def _open_all(key, members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    return _found(key, members, queries, True)
+
+
+def _joined(docs: DataFrame, doc_id: str, text: str, every: bool) -> tuple[DataFrame, DataFrame, DataFrame, Temporary]:
+    """Documents (doc_id, n, key), classes (key, node), links of nodes (a, b) and what to drop when these have been read. The links are enough for the components, or all, each once with a < b: then members of a group are held against each other too."""
     spark = docs.sparkSession
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     with_id = texts.where("doc_id is not null and text is not null")
@@ -312,13 +316,16 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     alike = (F.col("n_least") == F.col("nq")) & (F.col("n_most") == F.col("nq"))
     could = (F.col("own") != F.col("group")) & (F.col("n_most") >= F.col("nq")) & (F.col("nq") * 100 >= F.col("n_least") * PERCENT) & (~alike | (F.col("own") > F.col("group")))
     hit = F.struct(query.token.bitwiseXOR(F.lit(-TOP)).alias("rank"), "place")
-    met = query.join(matrix, (query.token == matrix.token) & could).groupBy("q", "group", "nq", "asks", "last").agg(F.collect_list(hit).alias("hits"), F.min("n_least").alias("n_least"), F.min("end").alias("end"))
+    met = query.join(matrix, (query.token == matrix.token) & could).groupBy("q", "own", "group", "nq", "asks", "last").agg(F.collect_list(hit).alias("hits"), F.min("n_least").alias("n_least"), F.min("end").alias("end"))
     # Up to the least end among the members that were hit, all tokens shared with one of them are hits; any of the node's tokens behind its last hit up to there may be shared.
     met = met.withColumn("hits", F.filter("hits", lambda h: h["rank"] <= F.col("end")))
     behind = F.col("nq") - F.when(F.col("end") >= F.col("last"), F.col("asks")).otherwise(F.coalesce(F.array_max(F.transform("hits", lambda h: h["place"])), F.lit(0)))
     # 0.8 of the union is 4/9 of the sum of the sizes, at least.
     need = (F.col("nq") + F.greatest("n_least", "nq")) * PERCENT / (100 + PERCENT)
-    opened = temporary.staged(met.where(F.size("hits") + behind >= need - 1e-6).select("q", "group").distinct(), "opened_groups")
+    opened = met.where(F.size("hits") + behind >= need - 1e-6).select("q", "own", "group")
+    if every:
+        opened = opened.unionByName(member.select("group", "node").distinct().join(group.select("group").distinct(), "group", "left_semi").select(F.col("node").alias("q"), F.col("group").alias("own"), "group"))
+    opened = temporary.staged(opened.distinct(), "opened_groups")
 
     sizes = member.select("group", "node").distinct().join(opened.select("group").distinct(), "group", "left_semi")
     sizes = temporary.staged(sizes, "opened_members")
@@ -327,14 +334,51 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     sets = _sets_of(temporary, with_id, sizes.select("node").unionByName(opened.select(F.col("q").alias("node"))))
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     inside = sizes.join(plan, "group").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).join(of("node", "set"), "node").withColumn("round", upto("rounds")).select("group", "chunk", "round", "node", "set")
-    asking = opened.join(plan, "group").withColumn("round", F.pmod(F.xxhash64("q"), F.col("rounds")).cast("int")).join(of("q", "set"), "q").withColumn("chunk", upto("chunks")).select("group", "chunk", "round", "q", "set")
+    asking = opened.join(plan, "group").withColumn("round", F.pmod(F.xxhash64("q"), F.col("rounds")).cast("int")).join(of("q", "set"), "q").withColumn("chunk", upto("chunks")).select("group", "chunk", "round", "q", "own", "set")
     by = ["group", "chunk", "round"]
-    links = inside.groupBy(*by).cogroup(asking.groupBy(*by)).applyInPandas(_open, "a long, b long")
+    links = inside.groupBy(*by).cogroup(asking.groupBy(*by)).applyInPandas(_open_all if every else _open, "a long, b long")
+    return described, classes, links.distinct() if every else star_links.unionByName(links), temporary
+
 
-    found = components(star_links.unionByName(links))
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs; other columns are ignored.
+
+    Null texts and texts without words have no shingles and are their own
+    component. Rows with a null id get the component of an equal set, if there
+    is one, else null, and link nothing. Repeated rows are equal sets; an id
+    with several texts joins what its texts link with, as far as it names a
+    node. No rows: an empty result. Texts of any length count whole.
+    """
+    described, classes, links, temporary = _joined(docs, doc_id, text, False)
+    found = components(links)
     temporary.drop()
+    return _named(described, classes, found)
+
+
+def _named(described: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and, if found has it, n_links."""
     whole = described.join(classes, "key", "left").join(found, "node", "left")
-    return whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "node")).alias("component_id"))
+    more = [F.when(F.col("doc_id").isNull() | (F.col("n") == 0), 0).otherwise(F.coalesce("far", F.lit(0)) + F.col("k") - 1).cast("long").alias("n_links")] if "far" in found.columns else []
+    return whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "node")).alias("component_id"), *more)
+
+
+def jaccard_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """a, b: all linked pairs of different sets, each once, as the smallest doc_ids that have them, a < b. Rows are read as by jaccard_components; a group of m similar sets may have m * m / 2 pairs."""
+    _, _, links, temporary = _joined(docs, doc_id, text, True)
+    pairs = staged(links, "pairs")
+    temporary.drop()
+    return pairs
+
+
+def jaccard_link_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The columns of jaccard_components and n_links: with how many other rows a row links, rows of an equal set among them. Rows with a null id, or without shingles, link with none."""
+    described, classes, links, temporary = _joined(docs, doc_id, text, True)
+    pairs = staged(links, "pairs")
+    temporary.drop()
+    held = described.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("k")).select("node", "k")
+    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    far = ends.join(held.select(F.col("node").alias("b"), "k"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("k").alias("far"))
+    return _named(described, classes, held.join(components(pairs), "node", "left").join(far, "node", "left"))
 
 
 def _sets_of(temporary: Temporary, texts: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from billstream.llm import bit_planes, secret_ledger, shingles, source_budgets, token_rollups
 from billstream.llm.bpe_automaton import ByteBpe, bpe_digests, encoded
 from billstream.llm.components import components
-from billstream.llm.jaccard_join import jaccard_components, one_of_each
+from billstream.llm.jaccard_join import jaccard_components, jaccard_link_counts, jaccard_pairs, one_of_each
 from billstream.llm.language_profiles import identified, language_ids
 from billstream.llm.maxent_scores import CLASSES, HEAD_CLASSES, MEMBERS, Vocabulary, _with_ends, empty_tables, lm_scores, log_probabilities, train_on
 from billstream.llm.source_budgets import leaf_budgets, mixed
@@ -367,6 +367,31 @@ def test_groups_of_mixed_ends(spark, common):
     assert rows_of(jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))) == want
 
 
+def test_all_pairs_and_link_counts(spark, monkeypatch):
+    from billstream.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "CHUNK_MEMBERS", 3)
+    monkeypatch.setattr(jaccard_join, "CHUNK_QUERIES", 2)
+    r = random.Random(4)
+    rows = [(900, None), (901, ""), (None, "only here")]
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(150)]
+        for k in range(8):
+            at, cut = r.randrange(150), r.randrange(25)
+            rows += [(100 * g + k, " ".join([*base[:at], f"x{g}{k}", *base[at + 1 : 150 - cut]]))]
+        rows += [(100 * g + 50, rows[-1][1]), (None, rows[-1][1])]
+    rows += [(k, t) for k, (_, t) in enumerate(mixed_ends(True), 1000)]
+    sets = [(i, frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := (t or "").split()) else frozenset()) for i, t in rows]
+    node = {s: min(i for i, t in sets if s == t and i is not None) for i, s in sets if s and i is not None}
+    links = [(i, s, j, t) for i, s in sets for j, t in sets if s and t and None not in (i, j) and i != j and 100 * len(s & t) >= 80 * len(s | t)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    pairs = collections.Counter((r.a, r.b) for r in jaccard_pairs(docs).collect())
+    assert pairs == collections.Counter({(node[s], node[t]) for _, s, _, t in links if node[s] < node[t]})
+    n = collections.Counter(i for i, *_ in links)
+    assert rows_of(jaccard_link_counts(docs)) == collections.Counter({(*k, n[k[0]]): c for k, c in brute_components(rows).items()})
+    assert len(pairs) > 20 and max(n.values()) > 3
+
+
 def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(40) if i % 10 != 9] + [(500, k) for k in range(501, 520)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))

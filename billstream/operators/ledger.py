@@ -29,7 +29,7 @@ def ledger_entries(invoices: DataFrame) -> DataFrame:
     return rows.select("id", "pos", F.col("issue_date").alias("Date"), F.lit(JOURNAL).alias("Journal"), "e.*", F.col("invoice_number").alias("Piece"))
 
 
-def write_ledger(entries: DataFrame, path: str, bom: bool = True, one_file: bool = True) -> None:
+def write_ledger(entries: DataFrame, path: str, bom: bool = True, one_file: bool = False) -> None:
     """The entries as CSV in the order of date, invoice and position: semicolons, CRLF, a header, whose first name carries the byte order mark if asked for. one_file merges the sorted parts for small exports; large ones stay in ordered parts."""
     rows = entries.orderBy("Date", "id", "pos").select(*HEADER)
     rows = rows.coalesce(1) if one_file else rows

@@ -360,25 +360,27 @@ def write_outbound_xml(spark, sf_dir):
     return xml.select("id", at("/Invoice/ID").alias("number"), at("/Invoice/DueDate").alias("due"), at("/Invoice/BuyerName").alias("buyer"), at("/Invoice/PayableAmount").alias("payable"))
 
 
-def _arriving(spark, sf_dir) -> str:
-    """The invoices as JSON files, split in two by arrival."""
+def _arriving(spark, sf_dir):
+    """A folder of the invoices as JSON files, as many as there are partitions: once with the first half by arrival, then with the other added."""
     path = scratch(spark, "arriving")
     rows = records(spark, sf_dir).drop("k")
     for later in (False, True):
-        rows.where((F.col("arrival") >= 100_000_000) == later).coalesce(1).write.mode("append").json(path)
-    return path
+        rows.where((F.col("arrival") >= 100_000_000) == later).write.mode("append").json(path)
+        yield path
 
 
 @query
 def stream_intake(spark, sf_dir):
-    target = scratch(spark, "intake")
-    intake.intake(spark, _arriving(spark, sf_dir), target, scratch(spark, "stream")).awaitTermination()
+    target, checkpoint = scratch(spark, "intake"), scratch(spark, "stream")
+    for path in _arriving(spark, sf_dir):
+        intake.intake(spark, path, target, checkpoint, files_per_batch=None).awaitTermination()
     return spark.read.parquet(f"{target}/decisions").select("arrival", "fingerprint", "status", "risk_score")
 
 
 @query
 def stream_dedup(spark, sf_dir):
-    path, out = _arriving(spark, sf_dir), scratch(spark, "deduplicated")
+    *_, path = _arriving(spark, sf_dir)
+    out = scratch(spark, "deduplicated")
     stream = spark.readStream.schema(intake.ARRIVING).json(path).withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000)))
     intake.recent_only(stream, "at").select("fingerprint").writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("fingerprint string").parquet(out)

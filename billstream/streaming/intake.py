@@ -22,15 +22,17 @@ def _written(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def intake(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int = 1) -> StreamingQuery:
+def intake(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int | None = 1) -> StreamingQuery:
     """Decide invoices (JSON lines of ARRIVING) as they come, against all earlier ones.
 
     Each micro-batch is the batch job: its results go below target/<table>/
     batch=<id>, replaced if the batch is run again, so a restart repeats
     nothing. An invoice is a duplicate if its fingerprint was stored by an
     earlier batch; that is kept for all time, in a table, not in stream state.
+    With files_per_batch None, a batch has all files that are there.
     """
-    stream = spark.readStream.schema(ARRIVING).option("maxFilesPerTrigger", files_per_batch).json(source)
+    reader = spark.readStream.schema(ARRIVING)
+    stream = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).json(source)
 
     def process(batch: DataFrame, batch_id: int) -> None:
         stored = _written(spark, f"{target}/fingerprints", f"{FINGERPRINTS}, batch long").where(F.col("batch") < batch_id)

@@ -145,6 +145,18 @@ def test_ledger(spark, tmp_path):
     assert lines[0] == "﻿Date;Journal;Compte;Libelle;Debit;Credit;Piece".encode() and lines[1].startswith(b"2026-01-01;ACH;6064;;1.00;0.00;N1") and len(lines) == 8
 
 
+def test_large_ledgers_stay_in_parts(spark, tmp_path):
+    rows = spark.range(40).selectExpr("id", "0 as pos", "date_add(date'2026-01-01', cast(id as int)) as Date", "'ACH' as Journal", "'401' as Compte", "'' as Libelle", "0 as Debit", "0 as Credit", "'' as Piece")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ledger.write_ledger(rows, f"{tmp_path}/ledger")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = [p.read_text(newline="").split("\r\n")[1:-1] for p in sorted((tmp_path / "ledger").glob("*.csv"))]
+    dates = [line[:10] for p in parts for line in p]
+    assert len(parts) > 1 and len(dates) == 40 and dates == sorted(dates)
+
+
 def test_numbers_have_no_gaps(spark):
     requests = spark.range(250).select("id", (2025 + F.col("id") % 2).cast("int").alias("year"))
     sequences = spark.createDataFrame([("SALES-2025", 40)], "name string, current_value long")

@@ -36,3 +36,12 @@ def test_decision_counts(spark):
     got = {r.status: (r.n, r.risk) for r in QUERIES["invoice_decisions"](spark, SF).groupBy("status").agg({"risk_score": "sum", "*": "count"}).toDF("status", "n", "risk").collect()}
     got = {k: tuple(sorted(v)) for k, v in got.items()}
     assert got == {"VALIDATED": (0, 1150), "REVIEW_REQUIRED": (323, 9830), "DUPLICATE": (89, 5050)}
+
+
+def test_arriving_invoices_keep_their_partitions(spark, monkeypatch):
+    from billstream.plans import registry
+
+    rows = spark.range(60).selectExpr("id", "if(id % 2 = 0, id, id + 100000000) as arrival", "id as k").repartition(3)
+    monkeypatch.setattr(registry, "records", lambda *_: rows)
+    seen = [(path, len(spark.read.json(path).inputFiles()), spark.read.json(path).count()) for path in registry._arriving(spark, SF)]
+    assert [s[1:] for s in seen] == [(3, 30), (6, 60)] and seen[0][0] == seen[1][0]

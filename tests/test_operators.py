@@ -91,6 +91,23 @@ def test_asof_sees_earlier_approvals_only(spark):
     assert {r.arrival: (r.account, r.validations) for r in learning.top_accounts_asof(approvals, arrivals).collect()} == {2: ("b", 1), 3: ("a", 1), 4: ("b", 2)}
 
 
+def test_asof_is_the_same_over_ranges(spark):
+    import random
+
+    r = random.Random(1)
+    approvals = [("hot" if r.random() < 0.8 else "s", r.choice("abc"), r.randrange(1, 400)) for _ in range(150)]
+    arrivals = [("hot" if r.random() < 0.8 else "t", k, r.randrange(1, 400)) for k in range(100)]
+    want = {}
+    for supplier, k, seq in arrivals:
+        seen = [a for s, a, at in approvals if s == supplier and at < seq]
+        if seen:
+            want[k] = min((-seen.count(a), a) for a in seen)
+    learned, asks = spark.createDataFrame(approvals, "supplier_name string, account string, seq long"), spark.createDataFrame(arrivals, "supplier_name string, arrival long, seq long")
+    for size in (1, 30, 1000):
+        got = learning.top_accounts_asof(learned, asks, range_seq=size).collect()
+        assert len(got) == len(want) and {r.arrival: (-r.validations, r.account) for r in got} == want
+
+
 def test_approve_then_reject(spark):
     d = decide.decided(frame(spark, invoice(1, lines=[])))
     decisions = spark.createDataFrame([(1, 1, "approve", "6064", "ann", None), (1, 2, "reject", None, "bob", "montant"), (9, 3, "approve", None, "ann", None)], "invoice_id long, seq long, action string, account string, username string, reason string")

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
 #: A word of the word-based operators: a run of other characters than these.
 WORD_BREAKS = " \t\n\x0b\x0c\r"
 #: str.translate table that makes every word break a space.
@@ -29,10 +33,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """Jobs that start inside send their Python tasks Arrow batches of about size bytes, or one row, if that is longer: a task's memory doesn't depend on how long texts are on average."""
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: what follows no longer depends on its lineage."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -45,13 +61,14 @@ class Temporary:
     def staged(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch(self.spark, name)
         self.paths.append(path)
-        df.write.parquet(path)
+        with small_batches(self.spark):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
         for path in self.paths:
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            store, at = _store(self.spark, path)
+            store.delete(at, True)
         self.paths = []
 
 
@@ -83,8 +100,25 @@ class Recent(dict):
         return value
 
 
+def _store(spark: SparkSession, path: str):
+    """The file system that Spark uses for path, and path in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether there is such a file or folder, in whatever store Spark reads it from."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    store, at = _store(spark, path)
+    return store.exists(at)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The names of what lies in a folder; none if there is no such folder."""
+    store, at = _store(spark, path)
+    return [x.getPath().getName() for x in store.listStatus(at)] if store.exists(at) else []
+
+
+def marked(spark: SparkSession, path: str) -> None:
+    """An empty file of that name, made in one step."""
+    store, at = _store(spark, path)
+    store.createNewFile(at)

@@ -17,7 +17,7 @@ similarity of 0.8 or more. The join is exact and lists no pairs within groups:
    prefixes ends, and all its tokens behind those. Groups that could not hold a
    linked set as large as the node by that bound, or by size, stay closed.
 5. The others are opened: the node is held against the union of the members'
-   whole sets, in chunks of bounded size, and then against the members.
+   whole sets, in chunks of bounded bytes, and then against the members.
 6. Links of 3 and 5 and classes give the components.
 
 The sketch and the bitmaps that say which sets are needed have fixed sizes; on
@@ -45,8 +45,7 @@ BITS = 1 << 27  # of a bitmap
 SLICE = 1 << 16  # bytes
 COMMON = 32  # documents with a token that make it a common one, besides what a slot holds by chance
 EXTRA = 4  # per cent of a set, and tokens, by which a group's prefixes are longer than a query's
-CHUNK_MEMBERS = 256
-CHUNK_QUERIES = 1024
+CHUNK_TOKENS = 1 << 18  # of members, and of queries, that a task holds at once, or one set that has more
 SHIFT = np.uint64(40)  # a token's slot: its first 24 bits
 TOP = 1 << 63  # tokens are in unsigned order: with the top bit flipped, they have it as longs
 
@@ -61,10 +60,10 @@ def short_prefix(n: int) -> int:
     return n - (-(-2 * PERCENT * n // (100 + PERCENT))) + 1
 
 
-def _slices(counts: np.ndarray, dtype) -> Iterator[pa.RecordBatch]:
+def _slices(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     used = np.flatnonzero(counts.reshape(-1, SLICE).any(1))
     if len(used):
-        packed = [zstandard.compress(counts[i * SLICE : (i + 1) * SLICE].astype(dtype).tobytes(), 1) for i in used]
+        packed = [zstandard.compress(counts[i * SLICE : (i + 1) * SLICE].tobytes(), 1) for i in used]
         yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array(packed, pa.binary())], names=["slice", "counts"])
 
 
@@ -87,7 +86,7 @@ def sketch(slices: DataFrame, steps: tuple[int, ...]) -> np.ndarray:
     def merged(pieces) -> np.ndarray:
         total = np.zeros(SLICE, np.int64)
         for c in pieces:
-            total += np.frombuffer(c, "<i4")
+            total += np.frombuffer(c, np.uint8)
         return sum((total >= step).astype(np.uint8) for step in steps)
 
     return _gathered(slices, merged, SLOTS)
@@ -126,16 +125,17 @@ def bitmap(ids: DataFrame) -> np.ndarray:
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, n, key of each document; at the end the task's token counts."""
-    counts = np.zeros(SLOTS, np.int32)
+    counts = np.zeros(SLOTS, np.uint8)
     for batch in batches:
         n, keys = [], []
         for h in shingle_sets(batch.column(1)):
             n.append(len(h))
             keys.append(set_key(h) if len(h) else None)
-            np.add.at(counts, (h >> SHIFT).astype(np.int64), 1)  # in place: a histogram of the batch would take twice the sketch's memory
+            slot = (h >> SHIFT).astype(np.int64)
+            counts[slot] += counts[slot] < 255  # a task's count stops there: far beyond what makes a token common
         none = pa.nulls(len(n))
         yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names=["doc_id", "n", "key", "slice", "counts"])
-    for s in _slices(counts, "<i4"):
+    for s in _slices(counts):
         none = pa.nulls(s.num_rows)
         yield pa.record_batch([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), s.column(0), s.column(1)], names=["doc_id", "n", "key", "slice", "counts"])
 
@@ -276,8 +276,8 @@ def _joined(docs: DataFrame, doc_id: str, text: str, every: bool) -> tuple[DataF
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     with_id = texts.where("doc_id is not null and text is not null")
     early, temporary = Temporary(spark), Temporary(spark)
-    seen = early.staged(texts.mapInArrow(_described, "doc_id long, n long, key binary, slice int, counts binary"), "shingle_sets")
-    described = staged(seen.where("slice is null").select("doc_id", "n", "key"), "described")
+    seen = staged(texts.mapInArrow(_described, "doc_id long, n long, key binary, slice int, counts binary"), "shingle_sets")
+    described = seen.where("slice is null").select("doc_id", "n", "key")
     load = (described.agg(F.sum("n")).first()[0] or 0) // SLOTS
     level = sketch(seen.where("slice is not null").select("slice", "counts"), (8 + 2 * load, COMMON + 4 * load))
     classes = described.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("node"))
@@ -306,7 +306,7 @@ def _joined(docs: DataFrame, doc_id: str, text: str, every: bool) -> tuple[DataF
     # A group is named by its leader; leaders that joined another leader's group take their members along.
     group = star_links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("group"))
     up = group.select(F.col("node").alias("group"), F.col("group").alias("up"))
-    group = temporary.staged(group.join(up, "group", "left").select("node", F.coalesce(F.least("up", "group"), "group").alias("group")), "groups")
+    group = group.join(up, "group", "left").select("node", F.coalesce(F.least("up", "group"), "group").alias("group"))
     member = shared.drop("bare", "leader", "leader_n").join(group, "node", "left").withColumn("group", F.coalesce("group", "node"))
     member = temporary.staged(member, "members")
 
@@ -322,22 +322,24 @@ def _joined(docs: DataFrame, doc_id: str, text: str, every: bool) -> tuple[DataF
     behind = F.col("nq") - F.when(F.col("end") >= F.col("last"), F.col("asks")).otherwise(F.coalesce(F.array_max(F.transform("hits", lambda h: h["place"])), F.lit(0)))
     # 0.8 of the union is 4/9 of the sum of the sizes, at least.
     need = (F.col("nq") + F.greatest("n_least", "nq")) * PERCENT / (100 + PERCENT)
-    opened = met.where(F.size("hits") + behind >= need - 1e-6).select("q", "own", "group")
+    opened = met.where(F.size("hits") + behind >= need - 1e-6).select("q", "own", "group", "nq")
+    in_groups = member.select("group", "node", "n").distinct()
     if every:
-        opened = opened.unionByName(member.select("group", "node").distinct().join(group.select("group").distinct(), "group", "left_semi").select(F.col("node").alias("q"), F.col("group").alias("own"), "group"))
+        opened = opened.unionByName(in_groups.join(group.select("group").distinct(), "group", "left_semi").select(F.col("node").alias("q"), F.col("group").alias("own"), "group", F.col("n").alias("nq")))
     opened = temporary.staged(opened.distinct(), "opened_groups")
 
-    sizes = member.select("group", "node").distinct().join(opened.select("group").distinct(), "group", "left_semi")
-    sizes = temporary.staged(sizes, "opened_members")
-    plan = sizes.groupBy("group").agg(F.count("*").alias("m")).join(opened.groupBy("group").agg(F.count("*").alias("k")), "group")
-    plan = temporary.staged(plan.select("group", F.ceil(F.col("m") / CHUNK_MEMBERS).cast("int").alias("chunks"), F.ceil(F.col("k") / CHUNK_QUERIES).cast("int").alias("rounds")), "opening_plan")
+    sizes = temporary.staged(in_groups.join(opened.select("group").distinct(), "group", "left_semi"), "opened_members")
+    parts = lambda n: F.ceil(F.sum(n) / CHUNK_TOKENS).cast("int")
+    plan = sizes.groupBy("group").agg(parts("n").alias("chunks")).join(opened.groupBy("group").agg(parts("nq").alias("rounds")), "group")
+    plan = temporary.staged(plan, "opening_plan")
     sets = _sets_of(temporary, with_id, sizes.select("node").unionByName(opened.select(F.col("q").alias("node"))))
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     inside = sizes.join(plan, "group").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).join(of("node", "set"), "node").withColumn("round", upto("rounds")).select("group", "chunk", "round", "node", "set")
     asking = opened.join(plan, "group").withColumn("round", F.pmod(F.xxhash64("q"), F.col("rounds")).cast("int")).join(of("q", "set"), "q").withColumn("chunk", upto("chunks")).select("group", "chunk", "round", "q", "own", "set")
     by = ["group", "chunk", "round"]
     links = inside.groupBy(*by).cogroup(asking.groupBy(*by)).applyInPandas(_open_all if every else _open, "a long, b long")
-    return described, classes, links.distinct() if every else star_links.unionByName(links), temporary
+    links = temporary.staged(links.distinct() if every else star_links.unionByName(links), "links")
+    return described, classes, links, temporary
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -346,20 +348,29 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     Null texts and texts without words have no shingles and are their own
     component. Rows with a null id get the component of an equal set, if there
     is one, else null, and link nothing. Repeated rows are equal sets; an id
-    with several texts joins what its texts link with, as far as it names a
-    node. No rows: an empty result. Texts of any length count whole.
+    with several texts joins all that its texts link with. No rows: an empty
+    result. Texts of any length count whole.
     """
     described, classes, links, temporary = _joined(docs, doc_id, text, False)
-    found = components(links)
+    found = components(links.unionByName(_of_one_id(described, classes)))
     temporary.drop()
     return _named(described, classes, found)
 
 
+def _of_one_id(described: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: the classes of an id that stands on rows of several sets belong together."""
+    several = described.where("key is not null and doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("key"), F.max("key").alias("most")).where("key < most").select("doc_id")
+    return described.join(several, "doc_id", "left_semi").where("key is not null").join(classes, "key").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
+
+
 def _named(described: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and, if found has it, n_links."""
-    whole = described.join(classes, "key", "left").join(found, "node", "left")
-    more = [F.when(F.col("doc_id").isNull() | (F.col("n") == 0), 0).otherwise(F.coalesce("far", F.lit(0)) + F.col("k") - 1).cast("long").alias("n_links")] if "far" in found.columns else []
-    return whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "node")).alias("component_id"), *more)
+    """doc_id, n_shingles, component_id and, if found has it, n_links. Rows without shingles take part in no join."""
+    counts = "far" in found.columns
+    more = [F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("far", F.lit(0)) + F.col("k") - 1).cast("long").alias("n_links")] if counts else []
+    whole = described.where("key is not null").join(classes, "key").join(found, "node", "left")
+    whole = whole.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"), *more)
+    bare = described.where("key is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *([F.lit(0).cast("long").alias("n_links")] if counts else []))
+    return whole.unionByName(bare)
 
 
 def jaccard_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -378,7 +389,8 @@ def jaccard_link_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     held = described.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("k")).select("node", "k")
     ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     far = ends.join(held.select(F.col("node").alias("b"), "k"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("k").alias("far"))
-    return _named(described, classes, held.join(components(pairs), "node", "left").join(far, "node", "left"))
+    found = components(pairs.unionByName(_of_one_id(described, classes)))
+    return _named(described, classes, held.join(found, "node", "left").join(far, "node", "left"))
 
 
 def _sets_of(temporary: Temporary, texts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -388,6 +400,6 @@ def _sets_of(temporary: Temporary, texts: DataFrame, nodes: DataFrame) -> DataFr
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: the one of the smallest doc_id (any one, if that is repeated). Rows without shingles, or without an id, stay. Columns as they were."""
+    """docs with one document of each component: that of the smallest doc_id (all its rows, if the id is repeated). Rows without an id stay, and documents without shingles. Columns as they were. No rows: an empty result."""
     of = jaccard_components(docs).where("doc_id is not null and n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(of.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left_anti")

@@ -1,10 +1,12 @@
 """Five-word shingle sets as sorted 64-bit hashes.
 
 A word is a run of other bytes than space and tab to carriage return, A-Z
-lower-cased. Its hash adds up random numbers, one for each place and byte; a
-shingle's hash mixes those of its words. Hashes have 64 bits: two shingles of
-one pair of documents that share a hash by chance are not to be expected in
-10^10 pairs of long documents.
+lower-cased. It is hashed in blocks of 64 bytes: a block's hash adds up random
+numbers, one for each place and byte; a word's adds up its blocks', each mixed
+with the block's number first, so rearranged blocks differ, and the word's
+length. A shingle's hash mixes those of its words. Hashes have 64 bits:
+two shingles of one pair of documents that share a hash by chance are not to be
+expected in 10^10 pairs of long documents.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ PIECE = 1 << 20  # bytes hashed at once
 _PLACES = 64
 _TABLE = np.random.default_rng(0x5EED).integers(0, 1 << 64, _PLACES * 256, np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # odd; fixed value: 2^64 divided by the golden ratio
+_BLOCK = np.uint64(0xD6E8FEB86659FD93)  # odd
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BREAK = np.zeros(256, bool)
@@ -44,14 +47,20 @@ def _words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     last[:-1] = gap[1:] | first[1:-1]
     end = np.flatnonzero(last & ~gap) + 1
     size = end - begin
-    place = np.arange(len(data)) - np.repeat(np.concatenate([[0], begin]), np.diff(np.concatenate([[0], begin, [len(data)]])))
+    # Blocks: a word's first, and one at each further multiple of the places.
+    blocks = -(-size // _PLACES)
+    of = np.repeat(np.arange(len(size)), blocks)
+    number = np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    block = begin[of] + number * _PLACES
+    place = np.arange(len(data)) - np.repeat(np.concatenate([[0], block]), np.diff(np.concatenate([[0], block, [len(data)]])))
     low = _LOWER[data]
-    value = _TABLE[(place & (_PLACES - 1)) << 8 | low]
-    if len(size) and size.max() > _PLACES:
-        value *= (2 * (place // _PLACES) + 1).astype(np.uint64)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
+    # Between words places run on; what stands there is in no word.
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[(place & (_PLACES - 1)) << 8 | low], dtype=np.uint64)])
+    h = _mix(total[np.minimum(block + _PLACES, end[of])] - total[block] + number.astype(np.uint64) * _BLOCK)
+    if len(of) > len(size):
+        h = np.add.reduceat(h, np.cumsum(blocks) - blocks)
     letters = [np.where(size > k, low[np.maximum(end - 1 - k, 0)], 0).astype(np.int32) % 31 for k in range(3)]
-    return _mix((total[end] - total[begin]) + size.astype(np.uint64) * _STEP), begin, letters[0] + 31 * letters[1] + 961 * letters[2]
+    return _mix(h + size.astype(np.uint64) * _STEP), begin, letters[0] + 31 * letters[1] + 961 * letters[2]
 
 
 def _shingles(words: np.ndarray) -> np.ndarray:

@@ -1,12 +1,13 @@
 """Five-word shingle sets as sorted 64-bit hashes.
 
 A word is a run of other bytes than space and tab to carriage return, A-Z
-lower-cased. It is hashed in blocks of 64 bytes: a block's hash adds up random
-numbers, one for each place and byte; a word's adds up its blocks', each mixed
-with the block's number first, so rearranged blocks differ, and the word's
-length. A shingle's hash mixes those of its words. Hashes have 64 bits:
-two shingles of one pair of documents that share a hash by chance are not to be
-expected in 10^10 pairs of long documents.
+lower-cased. It is hashed in blocks of 64 bytes: a block's hash is a polynomial
+of random numbers, one for each byte, taken from running sums over the whole
+column; a word's adds up its blocks', each mixed with the block's number first,
+so rearranged blocks differ, and the word's length. A shingle's hash mixes
+those of its words. Hashes have 64 bits: two shingles of one pair of documents
+that share a hash by chance are not to be expected in 10^10 pairs of long
+documents.
 """
 
 from __future__ import annotations
@@ -18,13 +19,15 @@ import numpy as np
 import pyarrow as pa
 
 SHINGLE = 5
-PIECE = 1 << 20  # bytes hashed at once
-_PLACES = 64
-_TABLE = np.random.default_rng(0x5EED).integers(0, 1 << 64, _PLACES * 256, np.uint64)
+PIECE = 1 << 18  # bytes hashed at once, or one word that has more
+_BLOCK_BYTES = 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # odd; fixed value: 2^64 divided by the golden ratio
 _BLOCK = np.uint64(0xD6E8FEB86659FD93)  # odd
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_VALUE = np.random.default_rng(0x5EED).integers(0, 1 << 64, 256, np.uint64)[_LOWER]
+_LETTER = (_LOWER % 31).astype(np.int32)
+_BASE = 0xB5297A4D3F84D5B5  # odd
 _BREAK = np.zeros(256, bool)
 _BREAK[[32, *range(9, 14)]] = True
 
@@ -36,8 +39,17 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+_UP, _DOWN = _powers(_BASE, PIECE + 1), _powers(pow(_BASE, -1, 1 << 64), PIECE + 1)
+
+
 def _words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words in bytes that texts begin at starts of, where each word begins, and a number below 31^3 for its last three bytes."""
+    """Hashes of the words in bytes that texts begin at starts of, where each word begins, and where it ends."""
     gap = _BREAK[data]
     first = np.ones(len(data) + 1, bool)  # a text begins, or ends, here
     first[1:-1] = gap[:-1]
@@ -47,20 +59,29 @@ def _words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     last[:-1] = gap[1:] | first[1:-1]
     end = np.flatnonzero(last & ~gap) + 1
     size = end - begin
-    # Blocks: a word's first, and one at each further multiple of the places.
-    blocks = -(-size // _PLACES)
-    of = np.repeat(np.arange(len(size)), blocks)
-    number = np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    block = begin[of] + number * _PLACES
-    place = np.arange(len(data)) - np.repeat(np.concatenate([[0], block]), np.diff(np.concatenate([[0], block, [len(data)]])))
-    low = _LOWER[data]
-    # Between words places run on; what stands there is in no word.
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[(place & (_PLACES - 1)) << 8 | low], dtype=np.uint64)])
-    h = _mix(total[np.minimum(block + _PLACES, end[of])] - total[block] + number.astype(np.uint64) * _BLOCK)
-    if len(of) > len(size):
-        h = np.add.reduceat(h, np.cumsum(blocks) - blocks)
-    letters = [np.where(size > k, low[np.maximum(end - 1 - k, 0)], 0).astype(np.int32) % 31 for k in range(3)]
-    return _mix(h + size.astype(np.uint64) * _STEP), begin, letters[0] + 31 * letters[1] + 961 * letters[2]
+    up, down = (_UP, _DOWN) if len(data) <= PIECE else (_powers(_BASE, len(data) + 1), _powers(pow(_BASE, -1, 1 << 64), len(data) + 1))
+    value = _VALUE[data]
+    value *= up[: len(data)]
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(value, out=total[1:])
+    if len(size) and size.max() > _BLOCK_BYTES:
+        blocks = -(-size // _BLOCK_BYTES)
+        of, ahead = np.repeat(np.arange(len(size)), blocks), np.cumsum(blocks) - blocks
+        number = np.arange(len(of)) - np.repeat(ahead, blocks)
+        block = begin[of] + number * _BLOCK_BYTES
+        h = (total[np.minimum(block + _BLOCK_BYTES, end[of])] - total[block]) * down[block]
+        h = np.add.reduceat(_mix(h + number.astype(np.uint64) * _BLOCK), ahead)
+    else:
+        h = _mix((total[end] - total[begin]) * down[begin])
+    return _mix(h + size.astype(np.uint64) * _STEP), begin, end
+
+
+def _endings(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number below 31^3 for the last three bytes of each word."""
+    out = _LETTER[data[end - 1]]
+    for k, times in ((1, 31), (2, 961)):
+        out += times * _LETTER[data[np.maximum(end - 1 - k, 0)]] * (end - begin > k)
+    return out
 
 
 def _shingles(words: np.ndarray) -> np.ndarray:
@@ -79,21 +100,18 @@ def _distinct(h: np.ndarray) -> np.ndarray:
     return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
 
 
-def _long(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and endings of the words of one long text, in pieces that end at a gap (a longer word is a piece of its own)."""
-    out, a = [], 0
-    gaps = np.flatnonzero(_BREAK[data])
+def _pieces(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """One long text in pieces that end at a gap (a longer word is a piece of its own)."""
+    a, gaps = 0, np.flatnonzero(_BREAK[data])
     while a < len(data):
         i = np.searchsorted(gaps, a + PIECE)
         b = len(data) if a + PIECE >= len(data) else int(gaps[i - 1]) if i and gaps[i - 1] > a else int(gaps[i]) if i < len(gaps) else len(data)
-        words, _, endings = _words(data[a:b], np.zeros(1, np.int64))
-        out.append((words, endings))
+        yield a, b
         a = b
-    return np.concatenate([w for w, _ in out]), np.concatenate([e for _, e in out])
 
 
-def word_hashes(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The column in runs of texts: the hashes of their words, one text after the other; for each text where its words begin, and the end of the last; the words' endings. Null is a text without words."""
+def word_hashes(texts: pa.Array, with_endings: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """The column in runs of texts: the hashes of their words, one text after the other; for each text where its words begin, and the end of the last; the words' endings, if asked for. Null is a text without words."""
     texts = texts.cast(pa.large_string())
     if texts.null_count:
         texts = texts.fill_null("")
@@ -101,15 +119,17 @@ def word_hashes(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.empty(0, np.uint8)
     i = 0
     while i < len(texts):
-        if offsets[i + 1] - offsets[i] > PIECE:
-            words, endings = _long(data[offsets[i] : offsets[i + 1]])
-            yield words, np.array([0, len(words)]), endings
+        own = data[offsets[i] : offsets[i + 1]]
+        if len(own) > PIECE:
+            found = [(own[a:b], *_words(own[a:b], np.zeros(1, np.int64))) for a, b in _pieces(own)]
+            words = np.concatenate([w for _, w, _, _ in found])
+            yield words, np.array([0, len(words)]), np.concatenate([_endings(d, b, e) for d, _, b, e in found]) if with_endings else None
             i += 1
             continue
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + PIECE, "right")) - 1)
-        starts = offsets[i : j + 1] - offsets[i]
-        words, begin, endings = _words(data[offsets[i] : offsets[j]], starts[:-1])
-        yield words, np.searchsorted(begin, starts), endings
+        starts, run = offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]]
+        words, begin, end = _words(run, starts[:-1])
+        yield words, np.searchsorted(begin, starts), _endings(run, begin, end) if with_endings else None
         i = j
 
 

@@ -109,7 +109,7 @@ def status() -> Column:
 
 
 def decided(invoices: DataFrame, history: DataFrame | None = None, learned_top: DataFrame | None = None, policy: Policy = POLICY, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """invoices with fingerprint, duplicate, proposal, findings, risk_score, status, payment_authorized and human_review_required. One shuffle for duplicates; the rest is a projection."""
+    """invoices with fingerprint, duplicate, proposal, findings, risk_score, status, payment_authorized and human_review_required. Duplicates take an aggregate of fingerprints and a join with it; the rest is a projection."""
     out = proposed(duplicates_marked(invoices, history), learned_top, rules)
     out = out.withColumn("findings", findings(policy)).withColumn("risk_score", risk()).withColumn("status", status())
     return out.withColumn("payment_authorized", F.lit(False)).withColumn("human_review_required", F.col("status") != "VALIDATED")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+RANGE_ARRIVALS = 200_000
+
 
 def merged(parties: DataFrame, attributes: list[str], first_only: list[str] = ()) -> DataFrame:
     """name and attributes, one row a name: the last value of each that isn't null; of those in first_only the first record's, null or not.
@@ -35,12 +37,31 @@ def customers(invoices: DataFrame, stored: DataFrame | None = None) -> DataFrame
     return merged(rows, ["siren", "vat_number", "email", "address"])
 
 
-def bank_detail_changes(invoices: DataFrame) -> DataFrame:
+def bank_detail_changes(invoices: DataFrame, range_arrivals: int = RANGE_ARRIVALS) -> DataFrame:
     """arrival, supplier_name, iban, previous_iban of invoices whose IBAN differs from the supplier's last known one.
 
-    Arrivals without an IBAN change nothing and are left out first. The window
-    holds a supplier's arrivals in order and looks one row back.
+    Arrivals without an IBAN change nothing and are left out first. A
+    supplier's arrivals are cut into ranges; each looks one row back in its
+    own, and its first row at the last of the range before, so a supplier with
+    very many arrivals is spread over tasks.
     """
     known = invoices.select("arrival", F.col("supplier.name").alias("supplier_name"), F.col("supplier.iban").alias("iban")).where("coalesce(supplier_name, '') <> '' and iban is not null")
-    before = known.withColumn("previous_iban", F.lag("iban").over(W.partitionBy("supplier_name").orderBy("arrival")))
-    return before.where("previous_iban <> iban")
+    known = known.withColumn("__range", F.floor(F.col("arrival") / range_arrivals))
+    ends = known.groupBy("supplier_name", "__range").agg(F.max(F.struct("arrival", "iban")).getField("iban").alias("__last"))
+    ends = ends.select("supplier_name", "__range", F.lag("__last").over(W.partitionBy("supplier_name").orderBy("__range")).alias("__before"))
+    inside = F.lag("iban").over(W.partitionBy("supplier_name", "__range").orderBy("arrival"))
+    before = known.withColumn("__inside", inside).join(ends, ["supplier_name", "__range"]).withColumn("previous_iban", F.coalesce("__inside", "__before"))
+    return before.where("previous_iban <> iban").select("arrival", "supplier_name", "iban", "previous_iban")
+
+
+def delta(invoices: DataFrame, party: str) -> DataFrame:
+    """What a batch of invoices says about its suppliers or customers, a row a name: to be stored beside earlier batches' rows."""
+    return (suppliers if party == "supplier" else customers)(invoices).drop("risk_level")
+
+
+def of_deltas(deltas: DataFrame, party: str) -> DataFrame:
+    """The master data from stored deltas (the columns of delta() and batch, by which they are in order)."""
+    rows = deltas.withColumnRenamed("batch", "arrival")
+    if party == "supplier":
+        return merged(rows, ["siren", "vat_number", "email"], ["iban"]).withColumn("risk_level", F.lit("normal"))
+    return merged(rows, ["siren", "vat_number", "email", "address"])

@@ -7,22 +7,22 @@ from billstream.operators.reminders import BODY, SUBJECT
 from billstream.plans.fixtures import AS_OF, with_views
 
 
-def _rules() -> str:
+def _rules(rules=RULES) -> str:
     hit = lambda r: " or ".join(f"contains(txt, '{k}')" for k in r.keywords)
-    case = lambda value, other: "case " + " ".join(f"when {hit(r)} then {value(r)}" for r in RULES) + f" else {other} end"
+    case = lambda value, other: "case " + " ".join(f"when {hit(r)} then {value(r)}" for r in rules) + f" else {other} end"
     return f"select k, {case(lambda r: repr(r.account), 'null')} as account, {case(lambda r: r.confidence, '0.25')}::decimal(4,2) as confidence, n_lines from fx_txt"
 
 
-def _findings(source: str) -> str:
+def _findings(source: str, confidence: str = "0.85", tolerance: str = "0.02") -> str:
     """Findings in long form over a decided source, with learned accounts left out."""
     parts = [
         ("FOURNISSEURS", "supplier", "error", "coalesce(supplier_name, '') <> ''", "case when coalesce(supplier_name, '') <> '' then 'Fournisseur identifié' else 'Fournisseur à compléter' end", "true"),
         ("FACTURATION", "invoice_number", "error", "coalesce(invoice_number, '') <> ''", "case when coalesce(invoice_number, '') <> '' then 'Numéro présent' else 'Numéro à compléter' end", "true"),
-        ("TVA", "totals", "error", "abs(net_amount + vat_amount - gross_amount) <= 0.02", "'HT+TVA=' || cast(net_amount + vat_amount as varchar) || '; TTC=' || cast(gross_amount as varchar)", "net_amount <> 0 or vat_amount <> 0"),
+        ("TVA", "totals", "error", f"abs(net_amount + vat_amount - gross_amount) <= {tolerance}", "'HT+TVA=' || cast(net_amount + vat_amount as varchar) || '; TTC=' || cast(gross_amount as varchar)", "net_amount <> 0 or vat_amount <> 0"),
         ("FRAUDE", "duplicate", "critical", "false", "'Doublon détecté'", "duplicate"),
         ("TRESORERIE", "bank_change", "critical", "false", "'RIB modifié : blocage'", "bank_changed"),
         ("TVA", "vat", "critical", "false", "'TVA incertaine'", "vat_uncertain"),
-        ("COMPTABILITE", "account", "warning", "confidence >= 0.85", "'Compte ' || coalesce(account, 'None') || ' — confiance ' || cast(cast(confidence * 100 as int) as varchar) || '%'", "true"),
+        ("COMPTABILITE", "account", "warning", f"confidence >= {confidence}", "'Compte ' || coalesce(account, 'None') || ' — confiance ' || cast(cast(confidence * 100 as int) as varchar) || '%'", "true"),
     ]
     return " union all ".join(f"select arrival, duplicate, '{a}' as agent, '{c}' as code, '{s}' as severity, {ok} as ok, {m} as message, {SCORES[c]} as score from {source} where {w}" for a, c, s, ok, m, w in parts)
 
@@ -44,6 +44,9 @@ MORE = {
     "all_marked": _decided("fx_invoice"),
     "all_findings": _findings("all_marked"),
     "all_decided": _status("all_marked", "all_findings"),
+    "strict_findings": _findings("all_marked", "0.92", "0.01"),
+    "strict_decided": _status("all_marked", "strict_findings"),
+    "fx_reversed": _rules(RULES[::-1]),
     "one_marked": _decided("fx_invoice0"),
     "one_findings": _findings("one_marked"),
     "stored_rows": "select *, arrival as id from (" + _status("one_marked", "one_findings") + ") where status <> 'DUPLICATE'",
@@ -141,6 +144,22 @@ from (select k, case k % 6 when 0 then '.pdf' when 1 then '.XML' when 2 then '.u
     "stream_intake": "select arrival, fingerprint, status, risk_score from all_decided",
     "stream_dedup": "select distinct fingerprint from all_marked",
 }
+_SQL |= {
+    "account_rules_from_file": "select arrival, r.account, r.confidence::double as confidence, case when r.account is null then 'none' else 'rules' end as source from fx_invoice v join fx_reversed r on v.k = r.k",
+    "decisions_by_policy_file": "select arrival, status, risk_score from strict_decided",
+    "decisions_unknown": "select x.invoice_id, seq, action, username from (select * exclude (invoice_id), case when invoice_id % 4 = 0 then invoice_id * 2 else invoice_id end as invoice_id from fx_decision) x where x.invoice_id not in (select id from stored_rows)",
+    "bank_rows_rejected": "select '2026-08-20' as booking_date, cast(tx_id as varchar) as label, 'EUR' as currency, reference, 'n/a' as amount from fx_bank where tx_id % 7 = 0",
+    "bank_transactions_stored": "select '2026-08-20' as booking_date, cast(tx_id as varchar) as label, amount::double as amount, 'EUR' as currency, reference, batch::int as batch from fx_bank, range(1, 3) t(batch) where tx_id % 7 <> 0",
+    "outbound_invoices_stored": """select id, customer_id, 'F' || y || '-' || case when n < 100000 then lpad(n::varchar, 5, '0') else n::varchar end as invoice_number, gross::double as gross_amount, issue_date, batch
+from (select *, (id % 2)::int as batch, year(issue_date) as y, row_number() over (partition by year(issue_date) order by id % 2, id) as n, (net_amount + round(net_amount * 0.2, 2))::decimal(18,2) as gross from fx_outbound)""",
+    "reminders_stored": _SQL["reminder_drafts"],
+    "reminders_without_address": "select id, invoice_number, due_date from late_rows where coalesce(customer_email, '') = ''",
+    "xml_rejected": "select k from fx_invoice0 where k % 5 = 0 or k % 7 = 0",
+    "stream_intake_learned": _SQL["account_proposals"],
+    "stream_intake_suppliers": _SQL["suppliers_merged"],
+    "stream_dedup": """select k, case when arrival <> k then 'far' when k % 3 = 0 then 'later' else 'first' end as wave, fingerprint from all_marked
+where arrival = k or (k % 3 <> 0 and k % 2 <> 0 and k % 5 <> 0)""",
+}
 _SQL["stream_bank_match"] = _SQL["bank_matches"]
 
 ORACLE = {name: with_views(sql, MORE) for name, sql in _SQL.items()}

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from billstream.config import POLICY, RULES, load_policy, load_rules
 from billstream.functions.expressions import gross_amount_in, invoice_number_in, normalized_amount
 from billstream.operators import decide, learning, ledger, matching, outbound, parties, reminders, reports, workflow
 from billstream.plans.fixtures import AS_OF, fixture
-from billstream.session import scratch
+from billstream.session import append, scratch
+from billstream.session import stored as stored_rows
 from billstream.sources import bank, invoices as documents
 from billstream.streaming import intake
 
@@ -30,10 +33,8 @@ def plain(df: DataFrame) -> DataFrame:
 
 def records(spark: SparkSession, sf_dir: str, view: str = "fx_invoice") -> DataFrame:
     """The view as invoice records."""
-    rows = fixture(spark, sf_dir, view)
-    lines = fixture(spark, sf_dir, "fx_line").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("description"))).alias("lines"))
     null = lambda name: F.lit(None).cast("string").alias(name)
-    return rows.join(lines, "k").select(
+    return fixture(spark, sf_dir, view, lines=True).select(
         "arrival", "k", F.lit("UBL").alias("format"), F.lit("purchase").alias("direction"), "invoice_number", F.col("issue_date").cast("string").alias("issue_date"), null("due_date"), F.lit("EUR").alias("currency"),
         F.struct(F.col("supplier_name").alias("name"), F.col("supplier_siren").alias("siren"), null("vat_number"), null("email"), F.col("supplier_iban").alias("iban")).alias("supplier"),
         F.struct(F.col("customer_name").alias("name"), null("siren"), null("vat_number"), null("email"), null("address")).alias("customer"),
@@ -131,6 +132,27 @@ def latest_invoices(spark, sf_dir):
     return reports.latest_invoices(after(spark, sf_dir))
 
 
+def _file(spark, name: str, content) -> str:
+    """A JSON file with that content."""
+    path = scratch(spark, name)
+    spark.createDataFrame([(json.dumps(content, ensure_ascii=False),)], "value string").coalesce(1).write.text(path)
+    return path
+
+
+@query
+def account_rules_from_file(spark, sf_dir):
+    """The rules in the opposite order, from a file."""
+    path = _file(spark, "rules", [{"keywords": r.keywords, "account": r.account, "confidence": float(r.confidence)} for r in RULES[::-1]])
+    return plain(decide.proposed(records(spark, sf_dir), rules=load_rules(spark, path)).select("arrival", "proposal.*"))
+
+
+@query
+def decisions_by_policy_file(spark, sf_dir):
+    """Stricter thresholds, from a file."""
+    path = _file(spark, "policy", {"version": "1", "thresholds": {"rounding_tolerance": 0.01, "accounting_confidence": 0.92, "reminder_days": list(POLICY.reminder_days)}})
+    return decide.decided(records(spark, sf_dir), policy=load_policy(spark, path)).select("arrival", "status", "risk_score")
+
+
 # Learning and workflow
 
 
@@ -168,6 +190,13 @@ def reviews_resolved(spark, sf_dir):
     return workflow.reviews_after(open_, fixture(spark, sf_dir, "fx_decision"))
 
 
+@query
+def decisions_unknown(spark, sf_dir):
+    """Decisions put aside, as there is no such invoice: every other id names one of twice its value."""
+    given = fixture(spark, sf_dir, "fx_decision").withColumn("invoice_id", F.when(F.col("invoice_id") % 4 == 0, F.col("invoice_id") * 2).otherwise(F.col("invoice_id")))
+    return workflow.unknown_decisions(stored(spark, sf_dir), given).select("invoice_id", "seq", "action", "username")
+
+
 @query
 def ledger_entries(spark, sf_dir):
     return plain(ledger.ledger_entries(after(spark, sf_dir)))
@@ -209,6 +238,29 @@ def bank_matches(spark, sf_dir):
     return plain(matching.bank_matches(fixture(spark, sf_dir, "fx_bank").withColumnRenamed("tx_id", "id"), stored(spark, sf_dir)))
 
 
+def _bank_file(spark, sf_dir) -> str:
+    """The bank lines as CSV files; every seventh has no number for an amount."""
+    path = scratch(spark, "bank_csv")
+    amount = F.when(F.col("tx_id") % 7 == 0, "n/a").otherwise(F.replace(F.col("amount").cast("string"), F.lit("."), F.lit(",")))
+    fixture(spark, sf_dir, "fx_bank").select(F.lit("2026-08-20").alias("date"), F.col("tx_id").cast("string").alias("libelle"), amount.alias("montant"), "reference").write.option("header", True).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
+@query
+def bank_rows_rejected(spark, sf_dir):
+    return bank.read_bank_csv(spark, _bank_file(spark, sf_dir))[1]
+
+
+@query
+def bank_transactions_stored(spark, sf_dir):
+    """Two imports of one file, the first of them retried: lines of two imports are two, those of a retry aren't."""
+    good, _ = bank.read_bank_csv(spark, _bank_file(spark, sf_dir))
+    table = scratch(spark, "bank_transactions")
+    for batch in (1, 1, 2):
+        append(good, table, batch)
+    return plain(stored_rows(spark, table, f"{', '.join(f'{c} {t}' for c, t in good.dtypes)}, batch int"))
+
+
 @query
 def stream_bank_match(spark, sf_dir):
     lines = scratch(spark, "bank_lines")
@@ -229,6 +281,18 @@ def outbound_invoices(spark, sf_dir):
     return plain(made.select("id", "customer_id", "invoice_number", "issue_date", "due_date", "net_amount", "vat_amount", "gross_amount", "currency", "status"))
 
 
+@query
+def outbound_invoices_stored(spark, sf_dir):
+    """Sales invoices stored in two batches, even ids first; the second's numbers go on from the first's."""
+    requests = fixture(spark, sf_dir, "fx_outbound").select("id", "customer_id", "issue_date", "net_amount")
+    table, sequences, schema = scratch(spark, "outbound_invoices"), None, "id long, customer_id long, invoice_number string, n long, gross_amount decimal(18,2), issue_date date, batch int"
+    for batch in (0, 1):
+        made, _ = outbound.sales_invoices(requests.where(F.col("id") % 2 == batch), customers(spark, sf_dir), sequences=sequences)
+        append(made.select("id", "customer_id", "invoice_number", "n", F.col("gross_amount").cast("decimal(18,2)").alias("gross_amount"), "issue_date"), table, batch)
+        sequences = outbound.sequences_after(stored_rows(spark, table, schema).withColumn("year", F.year("issue_date")))
+    return plain(stored_rows(spark, table, schema).drop("n"))
+
+
 @query
 def outbound_numbers(spark, sf_dir):
     return sales(spark, sf_dir).select("id", "n", "invoice_number")
@@ -249,6 +313,20 @@ def reminder_drafts(spark, sf_dir):
     return reminders.reminder_drafts(reminders.overdue(sales(spark, sf_dir), customers(spark, sf_dir), TODAY))[0]
 
 
+@query
+def reminders_stored(spark, sf_dir):
+    """The drafts, stored; the batch is tried twice."""
+    drafts, table = reminder_drafts(spark, sf_dir), scratch(spark, "reminders")
+    for _ in range(2):
+        append(drafts, table, "run")
+    return stored_rows(spark, table, drafts.schema).drop("batch")
+
+
+@query
+def reminders_without_address(spark, sf_dir):
+    return reminders.reminder_drafts(reminders.overdue(sales(spark, sf_dir), customers(spark, sf_dir), TODAY))[1].select("id", "invoice_number", "due_date")
+
+
 @query
 def reminder_levels(spark, sf_dir):
     return reminders.reminder_levels(reminders.overdue(sales(spark, sf_dir), customers(spark, sf_dir), TODAY), TODAY).select("id", "days_late", "reminder_level")
@@ -330,6 +408,14 @@ def src_invoice_xml(spark, sf_dir):
     return plain(read.select("k", "format", "invoice_number", "issue_date", "currency", F.col("supplier.name").alias("supplier_name"), F.col("customer.name").alias("customer_name"), "net_amount", "vat_amount", "gross_amount"))
 
 
+@query
+def xml_rejected(spark, sf_dir):
+    """Documents put aside: every fifth is cut off, every seventh has a second root."""
+    k, xml = F.col("k"), F.col("xml")
+    rows = _xml(spark, sf_dir).withColumn("xml", F.when(k % 5 == 0, F.substring(xml, F.lit(1), F.length(xml) - 5)).when(k % 7 == 0, F.concat(xml, F.lit("<more/>"))).otherwise(xml))
+    return documents.invoice_xml(rows)[1].select("k")
+
+
 @query
 def invoice_format_tag(spark, sf_dir):
     read, _ = documents.invoice_xml(_xml(spark, sf_dir))
@@ -377,10 +463,46 @@ def stream_intake(spark, sf_dir):
     return spark.read.parquet(f"{target}/decisions").select("arrival", "fingerprint", "status", "risk_score")
 
 
+@query
+def stream_intake_learned(spark, sf_dir):
+    """Intake with the mappings that approvals taught, which come before the rules."""
+    target, checkpoint, mappings = scratch(spark, "intake"), scratch(spark, "stream"), scratch(spark, "mappings")
+    learned_mappings(spark, sf_dir).write.parquet(mappings)
+    for path in _arriving(spark, sf_dir):
+        intake.intake(spark, path, target, checkpoint, files_per_batch=None, mappings=mappings).awaitTermination()
+    return plain(spark.read.parquet(f"{target}/decisions").select("arrival", "proposal.*"))
+
+
+@query
+def stream_intake_suppliers(spark, sf_dir):
+    """The suppliers that intake stored, folded over its batches."""
+    target, checkpoint = scratch(spark, "intake"), scratch(spark, "stream")
+    for path in _arriving(spark, sf_dir):
+        intake.intake(spark, path, target, checkpoint, files_per_batch=None).awaitTermination()
+    return intake.parties_of(spark, target, "supplier")
+
+
+DAYS = {"first": 0, "later": 5, "near": 0.5, "far": 10, "late": 1}
+
+
+def _waves(spark, sf_dir):
+    """Folders of invoices (k, wave and the fields) with event times: first arrivals, two thirds on the first day and one on the fifth; their repeats half a day after, ten days after, and late."""
+    rows = fixture(spark, sf_dir, "fx_invoice", lines=True).select("arrival", "k", F.struct(F.col("supplier_name").alias("name"), F.col("supplier_siren").alias("siren")).alias("supplier"), "invoice_number", F.col("issue_date").cast("string").alias("issue_date"), "gross_amount", F.lit("EUR").alias("currency"))
+    repeat, k = F.col("arrival") != F.col("k"), F.col("k")
+    wave = F.when(~repeat & (k % 3 != 0), "first").when(~repeat, "later").when(k % 3 == 0, None).when(k % 2 == 0, "near").when(k % 5 != 0, "far").otherwise("late")
+    day = F.create_map(*(F.lit(x) for w, d in DAYS.items() for x in (w, int(d * 86400))))
+    rows = rows.withColumn("wave", wave).where("wave is not null").withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + day[F.col("wave")]))
+    path = scratch(spark, "waves")
+    for w in ("first", "near", "later", "far", "late"):
+        rows.where(F.col("wave") == w).write.mode("append").parquet(path)
+        yield path, rows.schema
+
+
 @query
 def stream_dedup(spark, sf_dir):
-    *_, path = _arriving(spark, sf_dir)
-    out = scratch(spark, "deduplicated")
-    stream = spark.readStream.schema(intake.ARRIVING).json(path).withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000)))
-    intake.recent_only(stream, "at").select("fingerprint").writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("fingerprint string").parquet(out)
+    """Repeats within the watermark go, so do late rows; a repeat long after is forgotten and comes again."""
+    out, checkpoint = scratch(spark, "deduplicated"), scratch(spark, "stream")
+    for path, schema in _waves(spark, sf_dir):
+        stream = spark.readStream.schema(schema).parquet(path)
+        intake.recent_only(stream, "at").select("k", "wave", "fingerprint").writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("k long, wave string, fingerprint string").parquet(out)

@@ -1,17 +1,40 @@
-"""Scratch folders shared by driver and executors."""
+"""Scratch folders shared by driver and executors, and what is stored there."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name below spark.checkpoint.dir; below a folder of our own only where that is unset."""
+    """A new folder name below spark.checkpoint.dir. Where that is unset: an error on a cluster, as executors share no other folder; on one machine, below a folder of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="billstream-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder, in whatever store Spark reads it from."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def append(rows: DataFrame, table: str, batch: str | int) -> bool:
+    """Append rows to the table in a folder as one batch. A batch that is whole is not written again (False), so a retry adds nothing and loses nothing; what a broken try left is replaced."""
+    at = f"{table}/batch={batch}"
+    if exists(rows.sparkSession, f"{at}/_SUCCESS"):
+        return False
+    rows.write.mode("overwrite").parquet(at)
+    return True
+
+
+def stored(spark: SparkSession, table: str, schema) -> DataFrame:
+    """The rows of all batches of a table, with the column batch; none if there is no such folder (with the columns of schema, then)."""
+    return spark.read.schema(schema).parquet(table) if exists(spark, table) else spark.createDataFrame([], schema)

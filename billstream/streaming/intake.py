@@ -7,49 +7,60 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from billstream.config import POLICY, RULES, Policy, Rule
 from billstream.operators.decide import accepted, audit_events, decided, fingerprinted, reviews
+from billstream.operators.learning import top_accounts
 from billstream.operators.matching import bank_matches
-from billstream.schemas import INVOICE
+from billstream.operators.parties import delta, of_deltas
+from billstream.schemas import CUSTOMER_PARTY, INVOICE, LEARNED_MAPPINGS, SUPPLIER_PARTY
+from billstream.session import append, stored
 
 ARRIVING = T.StructType([T.StructField("arrival", T.LongType()), *INVOICE.fields])
 FINGERPRINTS = "fingerprint string"
 
 
-def _written(spark: SparkSession, path: str, schema) -> DataFrame:
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+DELTAS = {party: T.StructType([*fields, T.StructField("batch", T.LongType())]) for party, fields in (("supplier", SUPPLIER_PARTY.fields), ("customer", CUSTOMER_PARTY.fields))}
 
 
-def intake(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int | None = 1) -> StreamingQuery:
+def intake(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int | None = 1, mappings: str | None = None, policy: Policy = POLICY, rules: tuple[Rule, ...] = RULES) -> StreamingQuery:
     """Decide invoices (JSON lines of ARRIVING) as they come, against all earlier ones.
 
-    Each micro-batch is the batch job: its results go below target/<table>/
-    batch=<id>, replaced if the batch is run again, so a restart repeats
-    nothing. An invoice is a duplicate if its fingerprint was stored by an
-    earlier batch; that is kept for all time, in a table, not in stream state.
-    With files_per_batch None, a batch has all files that are there.
+    Each micro-batch is the batch job: its results are appended to
+    target/<table> as one batch, which a restart doesn't write again. An
+    invoice is a duplicate if its fingerprint was stored by an earlier batch;
+    that is kept for all time, in a table, not in stream state. Accounts are
+    proposed from the stored mappings (a folder of learned() rows, read anew
+    for each batch) before the rules. Suppliers and customers of all invoices,
+    duplicates too, are stored as deltas, which parties_of() folds. With
+    files_per_batch None, a batch has all files that are there.
     """
     reader = spark.readStream.schema(ARRIVING)
     stream = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).json(source)
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        stored = _written(spark, f"{target}/fingerprints", f"{FINGERPRINTS}, batch long").where(F.col("batch") < batch_id)
-        decisions = decided(batch, stored).persist()
+        known = stored(spark, f"{target}/fingerprints", f"{FINGERPRINTS}, batch long").where(F.col("batch") < batch_id)
+        learned = top_accounts(stored(spark, mappings, LEARNED_MAPPINGS)) if mappings else None
+        decisions = decided(batch, known, learned, policy, rules).persist()
         try:
-            put = lambda df, name: df.write.mode("overwrite").parquet(f"{target}/{name}/batch={batch_id}")
-            put(decisions.select("arrival", "fingerprint", "status", "risk_score"), "decisions")
+            put = lambda df, name: append(df, f"{target}/{name}", batch_id)
+            put(decisions.select("arrival", "fingerprint", "status", "risk_score", "proposal"), "decisions")
             put(accepted(decisions), "invoices")
             put(audit_events(decisions), "audit_events")
             put(reviews(decisions), "reviews")
             put(decisions.where("status <> 'DUPLICATE'").select("fingerprint"), "fingerprints")
+            for party in DELTAS:
+                put(delta(decisions, party), f"{party}s")
         finally:
             decisions.unpersist()
 
     return stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def parties_of(spark: SparkSession, target: str, party: str) -> DataFrame:
+    """The suppliers, or customers, of all that intake() has taken in."""
+    return of_deltas(stored(spark, f"{target}/{party}s", DELTAS[party]), party)
+
+
 def recent_only(stream: DataFrame, event_time: str, delay: str = "1 day") -> DataFrame:
     """A stream of invoices without repeats inside the watermark. It forgets what is older, so it is a weaker promise than intake(), for bounded state."""
     return fingerprinted(stream).withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["fingerprint"])

@@ -133,6 +133,23 @@ def test_parties_fold(spark):
     assert [(r.arrival, r.previous_iban) for r in parties.bank_detail_changes(frame(spark, *rows)).collect()] == [(7, "X")]
 
 
+def test_bank_detail_changes_are_the_same_over_ranges(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [invoice(k, supplier=party("hot" if r.random() < 0.8 else "B", iban=r.choice([None, "X", "Y", "Z"]))) for k in range(1, 121)]
+    last, want = {}, set()
+    for x in rows:
+        name, iban = x["supplier"]["name"], x["supplier"]["iban"]
+        if iban:
+            if last.get(name, iban) != iban:
+                want.add((x["arrival"], name, iban, last[name]))
+            last[name] = iban
+    for size in (1, 10, 1000):
+        got = parties.bank_detail_changes(frame(spark, *rows), range_arrivals=size).collect()
+        assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
 def test_bank_match_by_bucket_equals_the_plain_join(spark):
     t = spark.range(400).select("id", (F.pmod(F.xxhash64("id"), F.lit(4000)) / 100 - 20).cast(MONEY).alias("amount"), F.concat(F.lit("VIR N"), F.col("id").cast("string")).alias("reference"))
     i = spark.range(300).select("id", F.concat(F.lit("N"), F.col("id").cast("string")).alias("invoice_number"), F.when(F.col("id") % 50 != 0, (F.pmod(F.xxhash64(F.col("id") + 7), F.lit(2000)) / 100).cast(MONEY)).alias("gross_amount"), F.lit("VALIDATED").alias("status"))

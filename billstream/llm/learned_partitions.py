@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import scratch, staged
 from .histogram_topk import dimension, finite, matrix, query_blocks
 
 SAMPLE_ROWS = 8192
@@ -115,7 +115,14 @@ class Router:
         return Router(*p)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component near 1: squares neither overflow nor vanish, and angles stay exactly what they were."""
+    most = np.abs(x).max(1, initial=0)
+    return np.ldexp(x, -np.frexp(most)[1][:, None])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -145,6 +152,7 @@ def fitted(x: np.ndarray, k: int = 5, recall: float = RECALL) -> Router:
 
 def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Cosines, added up component by component: equal vectors get equal scores wherever they stand."""
+    q, x = scaled(q), scaled(x)
     dot, qq, xx = np.zeros((len(q), len(x))), np.zeros(len(q)), np.zeros(len(x))
     for d in range(q.shape[1]):
         dot += q[:, d, None] * x[None, :, d]
@@ -191,7 +199,7 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, k: int = 5, divisor: int = 50, sample_rows: int = SAMPLE_ROWS, block: int = BLOCK_QUERIES, recall: float = RECALL) -> DataFrame:
-    """query_id, rank, vec_id, score: up to k near rows by cosine for each query, nearest first, ties to smaller ids.
+    """query_id, rank, vec_id, score, parts, probes: up to k near rows by cosine for each query, nearest first, ties to smaller ids; of how many parts the index has how many each query is sent to.
 
     vectors: vec_id, embedding; other columns are ignored. Queries are the rows
     whose id is divisible by divisor. The router is fitted on a sample of about
@@ -205,9 +213,9 @@ def nearest(vectors: DataFrame, k: int = 5, divisor: int = 50, sample_rows: int
     spark = vectors.sparkSession
     rows = finite(vectors).where(F.exists("embedding", lambda x: x != 0))
     dim = dimension(rows)
-    found = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    kind = "query_id long, rank int, vec_id long, score double"
     if not dim:
-        return found
+        return spark.createDataFrame([], f"{kind}, parts int, probes int")
     rows = rows.where(F.size("embedding") == dim)
     n = rows.count()
     share = min(1.0, sample_rows / n)
@@ -220,8 +228,9 @@ def nearest(vectors: DataFrame, k: int = 5, divisor: int = 50, sample_rows: int
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(router.scores(unit(x)).argmax(1).astype(np.int32))], names=["vec_id", "embedding", "part"])
 
     # The index: rows sorted by part within files, so that a task compares long runs of one part. They stay where they are: a part with a third of all rows lies in many tasks.
-    kind = rows.schema["embedding"].dataType.simpleString()
-    index = staged(rows.mapInArrow(file_rows, f"vec_id long, embedding {kind}, part int").sortWithinPartitions("part", "vec_id"), "vector_index")
+    array = rows.schema["embedding"].dataType.simpleString()
+    index = staged(rows.mapInArrow(file_rows, f"vec_id long, embedding {array}, part int").sortWithinPartitions("part", "vec_id"), "vector_index")
+    blocks = []
     for ids, q in query_blocks(rows.where(F.col("vec_id") % divisor == 0), dim, block):
         z = router.scores(unit(q))
         sent = np.zeros(z.shape, bool)
@@ -232,5 +241,8 @@ def nearest(vectors: DataFrame, k: int = 5, divisor: int = 50, sample_rows: int
         if short.any():
             rest = index.mapInArrow(_search(spark.sparkContext.broadcast((ids[short], q[short], None)), k), "query_id long, vec_id long, score double")
             near = near.join(F.broadcast(spark.createDataFrame([(i,) for i in ids[short].tolist()], "query_id long")), "query_id", "left_anti").unionByName(_ranked(rest, k))
-        found = found.unionByName(near)
-    return found
+        # A block's result is written before the next one starts, so plans don't grow with the number of blocks.
+        blocks.append(scratch(spark, "neighbours"))
+        near.write.parquet(blocks[-1])
+    found = spark.read.schema(kind).parquet(*blocks) if blocks else spark.createDataFrame([], kind)
+    return found.withColumn("parts", F.lit(router.b2.size)).withColumn("probes", F.lit(router.probes))

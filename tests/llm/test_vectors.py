@@ -1,6 +1,7 @@
 """The vector operators against brute force."""
 
 import collections
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -44,9 +45,26 @@ def test_exact_topk(spark, table):
     assert h.histogram_topk(table.where("vec_id = 100")).count() == 0
 
 
+def exact(q, x):
+    s = sum(int(Fraction(a) * 1024 // 1) * int(Fraction(b) * 1024 // 1) for a, b in zip(q, x, strict=True))
+    return min(max(s, -(1 << 63)), (1 << 63) - 1)
+
+
 def test_products_beyond_doubles():
-    a, b = np.array([[2.0**40, 3.0]]), np.array([[2.0**20, 1.0], [2.0**60, 0.0]])
-    assert h.products(a, b).tolist() == [[2**60 + 3, 1 << 61]]
+    x = np.array([[2.0**30, 3.0], [2.0**10, 1.0], [0.1, -0.1], [1e306, -1e-300], [-1.7e308, 1.0], [5e-324, -5e-324]])
+    assert h.products(x, x).tolist() == [[exact(a, b) for b in x.tolist()] for a in x.tolist()]
+    assert h.scores_of(h.ordered(np.array([-(1 << 63), -1, 0, (1 << 63) - 1]))).tolist() == [-(1 << 63), -1, 0, (1 << 63) - 1]
+
+
+def test_topk_of_very_large_and_small_components(spark):
+    r = np.random.default_rng(5)
+    big = [(k, (r.normal(size=3) * s).tolist()) for k, s in enumerate([1e306, 2.0**21, 2.0**20, 2.0**19, 1e12, 1.0, 1e-3, 1e-320] * 12)]
+    table = spark.createDataFrame(big, "vec_id long, embedding array<double>").repartition(3)
+    want = collections.Counter()
+    for q, v in big[::8]:
+        best = sorted(((-exact(v, x), i) for i, x in big if i != q))[:4]
+        want.update((q, k + 1, i, -s) for k, (s, i) in enumerate(best))
+    assert collections.Counter(map(tuple, h.histogram_topk(table, k=4, divisor=8).collect())) == want
 
 
 def brute(x, ids, k, divisor):
@@ -73,6 +91,23 @@ def test_nearest(spark, table):
     assert len(nearest(table.where("vec_id in (0, 1, 2)")).collect()) == 2
 
 
+def test_nearest_of_very_large_and_small_components(spark):
+    r = np.random.default_rng(7)
+    base = r.normal(size=(60, 4))
+    size = np.array([1e-170, 1.0, 1e160, 1e-310, 1e300] * 12)
+    x = base * size[:, None]
+    x[0] = [1e-170, 2e-170, 0, 0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = collections.defaultdict(list)
+    for row in sorted(nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), divisor=5).collect(), key=lambda y: y["rank"]):
+        got[row.query_id].append((row.vec_id, row.score))
+    true = x / size[:, None]
+    cos = (true @ true.T) / np.sqrt((true * true).sum(1)[:, None] * (true * true).sum(1)[None])
+    for q, found in got.items():
+        assert len(found) == 5 and all(abs(s - cos[q, i]) < (1e-9 if size[q] > 1e-300 and size[i] > 1e-300 else 1e-2) for i, s in found)
+    assert len(got) == 12
+
+
 def test_parts_are_balanced_and_routed():
     x = unit(vectors(3000, 8, 0).astype(float))
     part = balanced_parts(x, neighbours(x, np.arange(len(x)), 10), 16)

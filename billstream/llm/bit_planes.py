@@ -13,30 +13,39 @@ many ids it has and the length of each plane, from which a reader can tell
 which blocks and planes to fetch.
 
 Shards are ranges of doc_id, cut at quantiles; ids are in ascending doc_id
-order, rows of one doc_id in the order of their ids. Nothing is held whole: a
-task streams one shard, and holds a block and a batch of documents.
+order, rows of one doc_id in the order of a hash of their text, by which an id
+with very many rows is cut too. Nothing is held whole: a task streams one
+shard, and holds a block and a batch of documents.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Recent, scratch
+from .common import Recent, scratch, staged
 
 BLOCK_IDS = 1 << 16
 SHARD_ROWS = 8192
+MAX_SHARDS = 1 << 16  # beyond that many, shards hold more rows; their bounds go to all tasks
+LEAST = -(1 << 63)
 #: The pre-split of the word-level vocabulary.
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Characters whose composition, or lower case, could depend on their neighbours are among these.
+BEYOND_LATIN = re.compile("[^\0-\u024f]")
 BLOCKS = "shard int, block int, n_ids long, width int, planes array<binary>, parts binary"
 
 
@@ -67,12 +76,11 @@ def from_planes(planes: list[bytes], n_ids: int, unit: str = "byte") -> np.ndarr
 
 
 class WordEncoder:
-    """Encodes whole texts with the tokenizers library, each distinct pre-split word once.
+    """Encodes whole texts with the tokenizers library, each distinct piece between spaces once.
 
     White space never takes part in a token of this vocabulary, no character
     composes with it, and lower-casing goes by character: so a text's ids are
-    those of its pieces between spaces, and the pre-split alone decides what
-    the model sees.
+    those of its pieces, and the pre-split alone decides what the model sees.
     """
 
     def __init__(self, path: str, cached: int = 500_000):
@@ -83,9 +91,8 @@ class WordEncoder:
         self.library.no_padding()
         self.library.no_truncation()
         self.pre_split = regex.compile(PRE_SPLIT)
-        model, symbols = self.library.model, self._symbols()
-        self.of_word = Recent(lambda w: np.array([t.id for t in model.tokenize(w.encode().decode("latin-1").translate(symbols))], "<u4").tobytes(), cached)
-        self.of_piece = Recent(self._piece, cached)
+        self.model, self.symbols = self.library.model, self._symbols()
+        self.of_word, self.of_piece = Recent(self._word, cached), Recent(self._piece, cached)
 
     @staticmethod
     def _symbols() -> dict[int, str]:
@@ -94,18 +101,30 @@ class WordEncoder:
         return {b: s for s, b in byte_symbols().items()}
 
     def _piece(self, piece: str) -> bytes:
-        if not piece.isascii() or "<|" in piece:  # the library's normalizer and its special tokens
-            return np.array(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes() if "<|" in piece or not piece.isalpha() else self._words(self.library.normalizer.normalize_str(piece))
-        return self._words(piece.lower())
-
-    def _words(self, normal: str) -> bytes:
-        return b"".join(map(self.of_word.__getitem__, self.pre_split.findall(normal)))
+        if "<|" in piece:  # a special token, perhaps
+            return _packed(self.library.encode(piece, add_special_tokens=False).ids)
+        if not BEYOND_LATIN.search(piece):  # all composed; lower case goes by character
+            normal = piece.lower()
+        elif piece.isalpha():
+            normal = self.library.normalizer.normalize_str(piece)
+        else:
+            return _packed(self.library.encode(piece, add_special_tokens=False).ids)
+        return self._word(normal) if normal.isalpha() and normal.isascii() else b"".join(map(self.of_word.__getitem__, self.pre_split.findall(normal)))
+
+    def _word(self, word: str) -> bytes:
+        # Printable characters of ASCII are their own symbols.
+        symbols = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.symbols)
+        return _packed([t.id for t in self.model.tokenize(symbols)])
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers; null counts as empty."""
         return b"".join(map(self.of_piece.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 _LOADED: dict[str, WordEncoder] = {}
 
 
@@ -115,20 +134,50 @@ def _encoder(path: str) -> WordEncoder:
     return _LOADED[path]
 
 
-def encode_ids(docs: DataFrame, vocabulary: str, end_id: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_tokens, ids (zstd of the byte planes) of every row, end_id appended."""
+def shard_cuts(doc_ids: DataFrame, shard_rows: int) -> np.ndarray:
+    """Quantiles of the ids (one column; null counts as the least long), at most MAX_SHARDS - 1: where shards end. An id with many rows is there several times."""
+    n = doc_ids.count()
+    shards = min(MAX_SHARDS, -(-n // shard_rows))
+    if shards < 2:
+        return np.empty(0, np.int64)
+    ids = doc_ids.select(F.coalesce(doc_ids.columns[0], F.lit(LEAST)).alias("id"))
+    return np.sort(np.array(ids.agg(F.percentile_approx("id", [i / shards for i in range(1, shards)], 10 * shards)).first()[0], np.int64))
+
+
+def shards_of(ids: np.ndarray, place: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """The shard of each id. The rows of an id that is cut several times are spread by their place (unsigned 64 bits), so shards are in the order of (id, place)."""
+    low, high = np.searchsorted(cuts, ids, "left"), np.searchsorted(cuts, ids, "right")
+    return low + ((place >> np.uint64(32)) * (high - low).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+
+
+def encode_ids(docs: DataFrame, vocabulary: str, end_id: int, cuts: np.ndarray, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """shard, doc_id, place, n_tokens, ids of every row, end_id appended. ids: the byte planes, one after the other, without those of zeros; place: a hash of the text, by which rows of one id are ordered."""
+    spark = docs.sparkSession
+    held = spark.sparkContext.broadcast(cuts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = _encoder(vocabulary), end_id.to_bytes(4, "little")
         for batch in batches:
             n, out = [], []
-            for t in batch.column(1):
-                ids = np.frombuffer(enc.encode(t.as_py()) + end, "<u4")
-                n.append(len(ids))
-                out.append(zstandard.compress(np.ascontiguousarray(ids.view("u1").reshape(-1, 4).T).tobytes(), 1))
-            yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            for t in batch.column(1).to_pylist():
+                ids = np.frombuffer(enc.encode(t) + end, "u1").reshape(-1, 4).T
+                n.append(ids.shape[1])
+                out.append(ids[: _used(ids)].tobytes())
+            key = batch.column(0).fill_null(LEAST).to_numpy()
+            place = batch.column(2)
+            shard = shards_of(key, place.to_numpy().view(np.uint64), held.value)
+            yield pa.record_batch([pa.array(shard.astype(np.int32)), batch.column(0), place, pa.array(n, pa.int64()), pa.array(out, pa.binary())], names=["shard", "doc_id", "place", "n_tokens", "ids"])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("place"))
+    return rows.mapInArrow(run, "shard int, doc_id long, place long, n_tokens long, ids binary")
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+
+def _used(planes: np.ndarray) -> int:
+    """How many of the byte planes, lowest first, there must be: at least one."""
+    n = len(planes)
+    while n > 1 and not planes[n - 1].any():
+        n -= 1
+    return n
 
 
 def _into_blocks(block_ids: int, unit: str):
@@ -153,8 +202,10 @@ def _into_blocks(block_ids: int, unit: str):
                     if parts:
                         yield flush()
                     shard, number, ordinal, room = s, 0, 0, block_ids
-                ids = np.frombuffer(zstandard.decompress(packed.as_py()), "u1").reshape(4, n).T
-                ids, at = np.ascontiguousarray(ids).view("<u4").reshape(-1), 0
+                planes = np.frombuffer(packed.as_py(), "u1").reshape(-1, n)
+                ids, at = np.zeros((n, 4), "u1"), 0
+                ids[:, : len(planes)] = planes.T
+                ids = ids.view("<u4").reshape(-1)
                 while True:
                     take = min(room, n - at)
                     held.append(ids[at : at + take])
@@ -172,30 +223,23 @@ def _into_blocks(block_ids: int, unit: str):
     return run
 
 
-def write_planes(encoded: DataFrame, path: str, ids_of_docs: DataFrame, block_ids: int = BLOCK_IDS, unit: str = "byte", shard_rows: int = SHARD_ROWS) -> None:
-    """Write encode_ids() rows below path. ids_of_docs: their doc_id column, for the shards' bounds (a scan of that column alone)."""
+def write_planes(encoded: DataFrame, path: str, n_shards: int, block_ids: int = BLOCK_IDS, unit: str = "byte") -> None:
+    """Write encode_ids() rows below path. They move once, to the task of their shard."""
     spark = encoded.sparkSession
-    n = ids_of_docs.count()
-    n_shards = max(1, -(-n // shard_rows))
-    cuts = ids_of_docs.agg(F.percentile_approx("doc_id", [i / n_shards for i in range(1, n_shards)], 10 * n_shards)).first()[0] if n_shards > 1 else []
-    bounds = F.array(*(F.lit(c).cast("long") for c in sorted(set(cuts or [])))) if cuts else None
-    shard = F.coalesce(F.size(F.filter(bounds, lambda c: c < F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
     (
-        encoded.withColumn("shard", shard.cast("int"))
+        encoded.repartitionById(n_shards, F.col("shard"))
+        .sortWithinPartitions("shard", "doc_id", F.expr("shiftrightunsigned(place, 1)"), "place", "n_tokens", "ids")
         .select("shard", "doc_id", "n_tokens", "ids")
-        .repartitionById(n_shards, F.col("shard"))
-        .sortWithinPartitions("shard", "doc_id", "n_tokens", "ids")
         .mapInArrow(_into_blocks(block_ids, unit), BLOCKS)
         .write.parquet(f"{path}/blocks")
     )
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").select("shard", "block", "n_ids", F.transform("planes", lambda p: F.octet_length(p)).alias("plane_bytes"))
-    starts = shard_starts(blocks)
     inside = F.sum("n_ids").over(W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
-    blocks.join(F.broadcast(starts), "shard").select("shard", "block", (F.col("shard_start") + F.coalesce(inside, F.lit(0))).alias("start"), "n_ids", "plane_bytes").write.parquet(f"{path}/chunks")
+    blocks.join(F.broadcast(shard_starts(blocks)), "shard").select("shard", "block", (F.col("shard_start") + F.coalesce(inside, F.lit(0))).alias("start"), "n_ids", "plane_bytes").write.parquet(f"{path}/chunks")
 
 
 def shard_starts(blocks: DataFrame) -> DataFrame:
-    """shard, shard_start: ids before each shard. One row a shard, that is one for thousands of documents."""
+    """shard, shard_start: ids before each shard. One row a shard, of which there are MAX_SHARDS at most."""
     before = F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
     return blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", F.coalesce(before, F.lit(0)).alias("shard_start"))
 
@@ -224,21 +268,21 @@ def crc32_joined(first: int, second: int, second_bytes: int) -> int:
 
 
 def read_parts(spark: SparkSession, path: str) -> DataFrame:
-    """shard, ordinal, doc_id, at, n, ends, crc: the parts of documents in each block, from the blocks read back and opened."""
+    """shard, block, ordinal, doc_id, at, n, offset, ends, crc: the parts of documents in each block, from the blocks read back and opened. at: of the part in its document, offset: in the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 ids = from_planes(row["planes"], row["n_ids"], "bit" if row["width"] == 1 else "byte").tobytes()
                 p = np.frombuffer(zstandard.decompress(row["parts"]), "<i8").reshape(-1, 6)
-                ends = np.cumsum(p[:, 4]) * 4
-                crc = [zlib.crc32(ids[e - 4 * n : e]) for e, n in zip(ends.tolist(), p[:, 4].tolist(), strict=True)]
+                ends = np.cumsum(p[:, 4])
+                crc = [zlib.crc32(ids[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), p[:, 4].tolist(), strict=True)]
                 yield pa.record_batch(
-                    [pa.array(np.full(len(p), row["shard"]), pa.int32()), pa.array(np.full(len(p), row["block"]), pa.int32()), pa.array(p[:, 0]), pa.array(p[:, 2], mask=p[:, 1] == 0), pa.array(p[:, 3]), pa.array(p[:, 4]), pa.array(p[:, 5] != 0), pa.array(crc, pa.int64())],
-                    names=["shard", "block", "ordinal", "doc_id", "at", "n", "ends", "crc"],
+                    [pa.array(np.full(len(p), row["shard"]), pa.int32()), pa.array(np.full(len(p), row["block"]), pa.int32()), pa.array(p[:, 0]), pa.array(p[:, 2], mask=p[:, 1] == 0), pa.array(p[:, 3]), pa.array(p[:, 4]), pa.array(ends - p[:, 4]), pa.array(p[:, 5] != 0), pa.array(crc, pa.int64())],
+                    names=["shard", "block", "ordinal", "doc_id", "at", "n", "offset", "ends", "crc"],
                 )
 
-    return spark.read.schema(BLOCKS).parquet(f"{path}/blocks").mapInArrow(run, "shard int, block int, ordinal long, doc_id long, at long, n long, ends boolean, crc long")
+    return spark.read.schema(BLOCKS).parquet(f"{path}/blocks").mapInArrow(run, "shard int, block int, ordinal long, doc_id long, at long, n long, offset long, ends boolean, crc long")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -255,28 +299,30 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BLOCKS).parquet(f"{path}/blocks").mapInArrow(run, "shard int, ordinal long, doc_id long, at long, ids array<long>")
 
 
+@F.pandas_udf(T.LongType())
+def _joined_crc(parts: pd.Series) -> pd.Series:
+    """The crc of each document from those of its parts, in order: [{n, crc}, ...]."""
+    out = []
+    for of in parts:
+        crc = of[0]["crc"]
+        for x in of[1:]:
+            crc = crc32_joined(crc, x["crc"], 4 * x["n"])
+        out.append(crc)
+    return pd.Series(out, dtype="int64")
+
+
 def digest(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files. A document in several blocks is joined from its parts' crcs."""
-    chunks = spark.read.parquet(f"{path}/chunks")
-    starts = chunks.select("shard", "block", F.col("start").alias("block_start"))
-    parts = read_parts(spark, path)
-    inside = F.struct("at", "n", "crc")
-
-    @F.udf("long")
-    def joined(of) -> int:
-        crc = None
-        for x in sorted(of):
-            crc = x[2] if crc is None else crc32_joined(crc, x[2], 4 * x[1])
-        return crc
-
-    whole = parts.where("at = 0 and ends").select("shard", "ordinal", "doc_id", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
-    split = parts.where("not (at = 0 and ends)").groupBy("shard", "ordinal", "doc_id").agg(F.collect_list(inside).alias("of"), F.sum("n").alias("n_tokens")).select("shard", "ordinal", "doc_id", "n_tokens", joined("of").alias("ids_crc32"))
-    before = F.sum("n_tokens").over(W.partitionBy("shard").orderBy("ordinal").rowsBetween(W.unboundedPreceding, -1))
-    first = starts.groupBy("shard").agg(F.min("block_start").alias("shard_start"))
-    return whole.unionByName(split).join(first, "shard").select("doc_id", (F.col("shard_start") + F.coalesce(before, F.lit(0))).alias("start"), "n_tokens", "ids_crc32")
-
-
-def plane_digests(docs: DataFrame, vocabulary: str, end_id: int = 1, path: str | None = None, **how) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files: each block is opened once, the chunk index says where it starts. A document in several blocks is joined from its parts' crcs; no other moves."""
+    parts = staged(read_parts(spark, path), "id_parts")
+    starts = spark.read.parquet(f"{path}/chunks").select("shard", "block", F.col("start").alias("block_start"))
+    parts = parts.join(starts, ["shard", "block"]).withColumn("start", F.col("block_start") + F.col("offset"))
+    whole = parts.where("at = 0 and ends").select("doc_id", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+    of = F.transform(F.sort_array(F.collect_list(F.struct("at", "n", "crc"))), lambda x: F.struct(x.n.alias("n"), x.crc.alias("crc")))
+    split = parts.where("not (at = 0 and ends)").groupBy("shard", "ordinal", "doc_id").agg(F.min("start").alias("start"), F.sum("n").alias("n_tokens"), of.alias("of"))
+    return whole.unionByName(split.select("doc_id", "start", "n_tokens", _joined_crc("of").alias("ids_crc32")))
+
+
+def plane_digests(docs: DataFrame, vocabulary: str, end_id: int = 1, path: str | None = None, shard_rows: int = SHARD_ROWS, block_ids: int = BLOCK_IDS, unit: str = "byte") -> DataFrame:
     """Encode docs (doc_id, text; other columns are ignored), write the file form, read it back: doc_id, start, n_tokens, ids_crc32.
 
     Null and empty texts have the end id only. Repeated rows stay, null ids
@@ -285,5 +331,6 @@ def plane_digests(docs: DataFrame, vocabulary: str, end_id: int = 1, path: str |
     """
     spark = docs.sparkSession
     path = path or scratch(spark, "id_planes")
-    write_planes(encode_ids(docs, vocabulary, end_id), path, docs.select(F.col("doc_id").cast("long").alias("doc_id")), **how)
+    cuts = shard_cuts(docs.select(F.col("doc_id").cast("long").alias("doc_id")), shard_rows)
+    write_planes(encode_ids(docs, vocabulary, end_id, cuts), path, len(cuts) + 1, block_ids, unit)
     return digest(spark, path)

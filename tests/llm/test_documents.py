@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -11,9 +12,11 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from billstream.llm import bit_planes, secret_ledger, shingles, source_budgets, token_rollups
+from billstream.llm import bit_planes, language_profiles, secret_ledger, shingles, source_budgets, token_rollups
 from billstream.llm.bpe_automaton import ByteBpe, bpe_digests, encoded
 from billstream.llm.components import components
 from billstream.llm.jaccard_join import jaccard_components, jaccard_link_counts, jaccard_pairs, one_of_each
@@ -108,6 +111,29 @@ def test_planes_hold_the_ids(spark, docs, tmp_path, unit, block, shard):
     assert sum(c.n_ids for c in chunks) == at and {c.start for c in chunks} >= {0}
 
 
+def test_word_encoder_on_random_text():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, mine, r = Tokenizer.from_file(path), bit_planes.WordEncoder(path, cached=50), random.Random(2)
+    alphabet = "aAeEhtIno rsT  \n\t'sltdvm.,;!|=#*$<>\x1c\x85\xa0éÉİßǅſﬁΣς 中😀K01²½\u0301\u0307\u1100\u1161\x00\x7f"
+    for n in range(4000):
+        x = "".join(r.choice(alphabet) for _ in range(r.randint(0, 40))) + ("<|endoftext|> " if n % 50 == 0 else "")
+        assert np.frombuffer(mine.encode(x), "<u4").tolist() == lib.encode(x, add_special_tokens=False).ids, repr(x)
+
+
+def test_an_id_with_many_rows_is_cut(spark, tmp_path):
+    r = random.Random(6)
+    rows = [(5 if k % 3 else k, f"text {r.random()} {k % 50}") for k in range(300)] + [(None, str(k)) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    cuts = bit_planes.shard_cuts(docs.select("doc_id"), 20)
+    assert (cuts == 5).sum() > 5 and (cuts == bit_planes.LEAST).sum() > 1
+    got = sorted(bit_planes.plane_digests(docs, public_tokenizers.path("word_bpe_49k.json"), path=f"{tmp_path}/hot", shard_rows=20, block_ids=16).collect(), key=lambda x: x.start)
+    assert [x.start for x in got] == list(np.cumsum([0, *(x.n_tokens for x in got[:-1])])) and len(got) == 360
+    ids = [x.doc_id for x in got]
+    assert ids == sorted(ids, key=lambda x: (x is not None, x or 0))
+    per_shard = spark.read.parquet(f"{tmp_path}/hot/chunks").groupBy("shard").count().count()
+    assert per_shard > 10
+
+
 def test_planes_of_nothing(empty, tmp_path):
     assert bit_planes.plane_digests(empty, public_tokenizers.path("word_bpe_49k.json"), path=f"{tmp_path}/none").count() == 0
 
@@ -139,6 +165,54 @@ def test_languages(docs, empty):
     assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in kept.collect()} == {300, 301, 302, 303}
 
 
+def brute_languages(rows, size, document_size):
+    """Ranks and distances n-gram by n-gram, from (text, lang) rows to learn from; text -> (language, score)."""
+
+    def grams(text):
+        found = collections.Counter()
+        for word in regex.findall(r"\p{L}+", text.lower()):
+            found.update(word)
+            for n in (2, 3):
+                found.update(f"_{word}_"[i : i + n] for i in range(len(word) + 3 - n))
+        return found
+
+    profiles, common = {}, collections.Counter()
+    for lang in sorted({la for t, la in rows if t is not None and la}):
+        counts = sum((grams(t) for t, la in rows if la == lang and t), collections.Counter())
+        top = sorted(counts, key=lambda g: (-counts[g], g))[:size]
+        profiles[lang] = {g: k for k, g in enumerate(top)}
+        for g in top:
+            common[g] += counts[g] / sum(counts[x] for x in top)
+
+    def of(text):
+        if not text or not any(c.isalpha() for c in text) or not profiles:
+            return "und", 0.0
+        counts = {g: n for g, n in grams(text).items() if g in common}
+        ranked = sorted(counts, key=lambda g: (-counts[g], -common[g], g))[:document_size]
+        if not ranked:
+            return min(profiles), 1 / len(profiles)
+        far = {la: sum(abs(p.get(g, size) - k) for k, g in enumerate(ranked)) / len(ranked) for la, p in profiles.items()}
+        best = min(far, key=lambda la: (far[la], la))
+        return best, 1 / sum(math.exp(-language_profiles.SHARPNESS / size * (x - far[best])) for x in far.values())
+
+    return of
+
+
+def test_languages_by_brute_force(docs, monkeypatch):
+    learn = [(t, la) for i, t, la, _ in awkward() if zlib.crc32(("" if i is None else str(i)).encode()) % 4 != 2]
+    of = brute_languages(learn, language_profiles.PROFILE_SIZE, language_profiles.DOCUMENT_SIZE)
+    want = collections.Counter((i, of(t)[0], round(of(t)[1], 5)) for i, t, *_ in awkward())
+    assert collections.Counter((r.doc_id, r.lang_pred, round(r.score, 5)) for r in language_ids(docs).collect()) == want
+    # Short profiles and documents: n-grams that a language lacks, ties, and cuts in the ranks.
+    monkeypatch.setattr(language_profiles, "DOCUMENT_SIZE", 12)
+    texts = [t for _, t, *_ in awkward()] + ["zz zz qq", "ab ba", "der the", "ß", "x1y2", "THE Haus"]
+    for size in (5, 40):
+        judge = language_profiles.Profiles.learned(docs.where("crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 4 <> 2"), size=size).judge(cached=10)
+        of = brute_languages(learn, size, 12)
+        for t in texts:
+            assert judge(t)[0] == of(t)[0] and judge(t)[1] == pytest.approx(of(t)[1], abs=1e-5), t
+
+
 # 4: language model
 
 
@@ -159,17 +233,54 @@ def test_scores(docs, empty):
     assert all(r.train_tokens == 0 and r.n_known == 0 for r in only)
 
 
+def test_score_is_the_models(docs, monkeypatch):
+    """score against the formula, word by word, with dense sums over all classes and places, and a word list so short that rare words are met too."""
+    from billstream.llm import maxent_scores as m
+
+    monkeypatch.setattr(m, "HEAD", 30)
+    learn = docs.where("doc_id is null or crc32(cast(cast(doc_id as string) as binary)) % 5 <> 1")
+    counts, v, n = m.vocabulary_of(learn)
+    tables = m.trained(learn.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))), v)
+    assert all(np.abs(t).max() > 0 for t in tables.values())
+    count = {np.int64(r.token).view(np.uint64): r.c for r in counts.collect()}
+    assert n == sum(count.values())
+    rank = {t: k for k, t in enumerate(sorted(count, key=lambda t: (-count[t], np.uint64(t).view(np.int64)))[:30])}
+    kind = lambda t: int(t) % m.RARE_CLASSES
+    context = lambda t: rank[t] if t in rank else m.MODELLED + (int(t) >> 20) % m.MODELLED
+    weight = {k: 0.5 + sum(c + 0.5 for t, c in count.items() if kind(t) == k and t not in rank) for k in range(m.RARE_CLASSES)}
+    bias = [math.log(sum(count[t] + 0.5 for t in rank))] + [-60.0] * (HEAD_CLASSES - 1) + [math.log(weight[k]) for k in range(m.RARE_CLASSES)]
+    want = {}
+    for i, t, *_ in awkward()[:70] + awkward()[-12:-4]:
+        total, w1, w2 = 0.0, m.CONTEXTS - 1, m.CONTEXTS - 1
+        for token in next(_with_ends(pa.array([t], pa.string())))[0]:
+            cls = 0 if token in rank else HEAD_CLASSES + kind(token)
+            pair = ((w1 * 0x9E3779B1 + w2 * 0x85EBCA77) >> 7) % m.PAIRS
+            z = np.array(bias) + tables["before"][w1] + tables["skip"][w2] + tables["pair"][pair]
+            p = np.exp(z)[cls] / np.exp(z).sum()
+            if cls == 0:
+                near, far = ((w1 * 0x9E3779B1 + cls * 0xC2B2AE35) >> 5) % m.ROWS, ((w2 * 0x27D4EB2F + cls * 0x165667B1) >> 5) % m.ROWS
+                z = np.array([math.log(count[x] + 0.5) for x in rank] + [-60.0] * (MEMBERS - len(rank))) + tables["word_before"][near] + tables["word_skip"][far]
+                p *= np.exp(z)[rank[token]] / np.exp(z).sum()
+            else:
+                p *= (count.get(token, 0) + 0.5) / weight[kind(token)]
+            total, w2, w1 = total + math.log10(p), w1, context(token)
+        want[i] = total
+    monkeypatch.setattr(m, "trained", lambda *_: tables)
+    got = {r.doc_id: r.score for r in lm_scores(docs).collect() if r.doc_id in want}
+    assert len(want) > 70 and got == pytest.approx(want, abs=0.02, rel=1e-4)
+
+
 def test_model_is_a_distribution():
     """All words of a small vocabulary, and the unknown ones, add up to 1 in any context, before and after training."""
     texts = pa.array(["a b a c", "b a c a d", "x y z a"] * 20)
     runs = list(_with_ends(texts))
-    tokens, kinds = np.concatenate([t for t, _, _ in runs]), np.concatenate([k for _, _, k in runs])
-    distinct, first, count = np.unique(tokens, return_index=True, return_counts=True)
+    tokens = np.concatenate([t for t, _ in runs])
+    distinct, count = np.unique(tokens, return_counts=True)
     order = np.argsort(-count, kind="stable")
     masses = [0.5] * 32
-    v = Vocabulary(distinct[order], kinds[first][order], count[order].astype(float), 1.0, masses)
+    v = Vocabulary(distinct[order], count[order].astype(float), 1.0, masses)
     tables = empty_tables()
-    square, used = {k: np.zeros_like(t) for k, t in tables.items()}, {k: np.zeros(len(t)) for k, t in tables.items()}
+    square, used = ({k: np.zeros(len(t), np.float32) for k, t in tables.items()} for _ in range(2))
     for trained in (False, True):
         if trained:
             before = sum(log_probabilities(v, tables, *v.features(*r)[1:]).sum() for r in runs)
@@ -218,34 +329,70 @@ def test_mix_takes_prefixes_of_epochs(docs, empty):
 # 6: secrets
 
 
-def brute_spans(text):
+def brute_spans(text, rules=secret_ledger.BASE_KINDS):
     found = []
-    for i, (_, pattern, group, least) in enumerate(secret_ledger.BASE_KINDS):
+    for i, (_, pattern, group, least) in enumerate(rules):
         found += [(m.start(), i, m.end()) for m in re.finditer(pattern, text) if len(m.group(group)) >= least]
     return sorted(found)
 
 
-def test_secrets(spark, docs, empty, tmp_path):
+def spans_text(text, rules):
+    return ",".join(f"{rules[k][0]}:{s}:{e}" for s, k, e in brute_spans(text or "", rules))
+
+
+def brute_secrets(rows):
     want = collections.Counter()
-    for i, t, *_ in awkward():
-        f = brute_spans(t or "")
-        text = ",".join(f"{secret_ledger.BASE_KINDS[k][0]}:{s}:{e}" for s, k, e in f)
-        want[(i, *(sum(x[1] == k for x in f) for k in range(3)), hashlib.sha256(text.encode()).hexdigest())] += 1
+    for i, t in rows:
+        base = brute_spans(t or "")
+        want[(i, *(sum(x[1] == k for x in base) for k in range(3)), hashlib.sha256(spans_text(t, secret_ledger.BASE_KINDS).encode()).hexdigest(), spans_text(t, secret_ledger.RULES))] += 1
+    return want
+
+
+def secret_rows():
+    """awkward() and rows with every kind, near misses, overlaps and copies."""
+    forge, pem = "ghp_" + "aB3" * 12, "-----BEGIN EC PRIVATE KEY-----"
+    odd = [forge + "x" * 4, forge + " ghx_" + "a" * 40, f"{pem}{pem} token={forge}zzzz", "AKIA" + "A" * 13 + " AKIA" + "B" * 14 + "AKIA9", "f" * 15 + "g" + "0" * 16, "api-key = x password='aaaaaaaaaaaa'secret:\nbbbbbbbbbbbbb passwd=ccccccccccccc", "é" * 7 + "TOKEN:" + "d" * 40, "apikey=" + "e" * 11]
+    rows = [(i, t) for i, t, *_ in awkward()] + [(600 + k, t) for k, t in enumerate(odd)]
+    return rows + [(700 + k, odd[2]) for k in range(30)] + [(700, odd[2]), (700, odd[3]), (None, odd[3]), (None, odd[3]), (None, odd[0])]
+
+
+def test_secrets(spark, docs, empty, tmp_path):
+    rows = secret_rows()
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     ledger = f"{tmp_path}/ledger"
-    got = secret_ledger.secret_spans(docs, ledger)
-    assert collections.Counter(tuple(r)[:5] for r in got.collect()) == want
-    assert {i for i, *k, _ in want if sum(k)} == {400, 401, 402}
-    assert any("pem" in r.spans for r in got.collect())
-    assert secret_ledger.scan_unseen(docs, ledger) == 0
-    more = docs.unionByName(spark.createDataFrame([(7, "a new version", "en", "s", 1, "n", 1, "t", 2, 3, 4, 5)], SCHEMA))
-    assert secret_ledger.scan_unseen(more, ledger) == 1
+    got = rows_of(secret_ledger.secret_spans(table, ledger))
+    assert got == brute_secrets(rows)
+    assert {x.split(":")[0] for r in got for x in r[5].split(",") if x} == {k for k, *_ in secret_ledger.RULES}
+    assert rows_of(secret_ledger.secret_spans(docs)) == brute_secrets([(i, t) for i, t, *_ in awkward()])
     assert secret_ledger.secret_spans(empty, f"{tmp_path}/none").count() == 0
 
 
-def test_both_ways_of_the_secret_scan_agree(docs, monkeypatch):
-    sent = rows_of(secret_ledger.secret_spans(docs))
-    monkeypatch.setattr(secret_ledger, "SENT_ROWS", -1)
-    assert rows_of(secret_ledger.secret_spans(docs)) == sent
+def test_only_unseen_pairs_are_scanned(spark, tmp_path):
+    rows, ledger = secret_rows(), f"{tmp_path}/ledger"
+    blobs = len({t or "" for _, t in rows})
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    half = spark.createDataFrame(rows[::2], "doc_id long, text string")
+    first = secret_ledger.scan_unseen(half, ledger)
+    assert first == len({t or "" for _, t in rows[::2]}) and secret_ledger.scan_unseen(half, ledger) == 0
+    assert secret_ledger.scan_unseen(table, ledger) == blobs - first
+    assert secret_ledger.scan_unseen(table.unionByName(spark.createDataFrame([(7, "a new version"), (8, "a new version")], table.schema)), ledger) == 1
+    # Another rule version has its own pairs, and leaves the others' findings as they were.
+    assert secret_ledger.scan_unseen(table, ledger, rules=secret_ledger.BASE_KINDS) == blobs
+    assert secret_ledger.scan_unseen(table, ledger, rules=secret_ledger.BASE_KINDS) == 0
+    assert rows_of(secret_ledger.findings(table, ledger)) == brute_secrets(rows)
+    by_base = secret_ledger.findings(table, ledger, rules=secret_ledger.BASE_KINDS)
+    assert rows_of(by_base.select("doc_id", "spans")) == collections.Counter((i, spans_text(t, secret_ledger.BASE_KINDS)) for i, t in rows)
+    pairs = secret_ledger.read_ledger(spark, ledger)
+    assert pairs.count() == pairs.select("blob", "rule_version").distinct().count() == 2 * blobs + 1
+
+
+@pytest.mark.parametrize("bits", [1, 64])
+def test_a_full_bitmap_changes_nothing(spark, monkeypatch, bits):
+    monkeypatch.setattr(secret_ledger, "BITMAP_BITS", bits)
+    rows = secret_rows()
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert rows_of(secret_ledger.secret_spans(table)) == brute_secrets(rows)
+    assert {r.doc_id: r.text for r in secret_ledger.redacted(table).collect()}[606] == "é" * 7 + "[secret]"
 
 
 def test_redaction(docs):
@@ -272,10 +419,23 @@ def test_rollups(spark, docs, empty, tmp_path):
     assert got == collections.Counter((*k, *v) for k, v in want.items())
     again = token_rollups.Rollup(spark, f"{tmp_path}/rollup")
     assert again.committed("load") and not again.committed("other")
+    assert not again.commit("load", token_rollups.inserts(token_rollups.counted(docs)))
     assert rows_of(again.totals(["load", "load", "recount", "withdraw", "other"])) == got
     assert token_rollups.token_totals(empty, labels.limit(0), f"{tmp_path}/none").count() == 0
 
 
+def test_a_broken_batch_neither_counts_nor_undoes_one(spark, tmp_path):
+    rollup = token_rollups.Rollup(spark, f"{tmp_path}/broken")
+    good = spark.createDataFrame([("s", "en", "t", 1, 5), ("s", "en", "t", 1, 6)], "source string, lang string, tokenizer string, docs long, tokens long")
+    bad = good.withColumn("tokens", F.when(F.col("tokens") > 5, F.raise_error(F.lit("broken"))).otherwise(F.col("tokens")).cast("long"))
+    with pytest.raises(Exception, match="broken"):
+        rollup.commit("a", bad)
+    assert not rollup.committed("a") and rollup.totals(["a"]).count() == 0
+    assert rollup.commit("a", good)
+    assert not rollup.commit("a", bad)  # a retry of what is committed does nothing
+    assert list(map(tuple, rollup.totals(["a", "b"]).collect())) == [("s", "en", "t", 2, 11)]
+
+
 # 9: Jaccard
 
 
@@ -315,8 +475,7 @@ def test_chains_and_hot_groups(spark, monkeypatch):
     from billstream.llm import jaccard_join
 
     monkeypatch.setattr(jaccard_join, "COMMON", 4)
-    monkeypatch.setattr(jaccard_join, "CHUNK_MEMBERS", 3)
-    monkeypatch.setattr(jaccard_join, "CHUNK_QUERIES", 2)
+    monkeypatch.setattr(jaccard_join, "CHUNK_TOKENS", 200)
     r = random.Random(3)
     rows = []
     for g in range(4):
@@ -367,11 +526,28 @@ def test_groups_of_mixed_ends(spark, common):
     assert rows_of(jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))) == want
 
 
+def test_long_words_of_the_same_blocks_differ(spark):
+    a, b = "a" * 64, "b" * 64
+    words = [a + b + b + a, b + a + a + b, a + b + a + b, a + a + b + b, a, b, a + a, a + b, b + a, a + "c", a + "cc"]
+    rows = list(enumerate(words)) + [(100, words[0].upper())]
+    assert rows_of(jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_components(rows)
+    texts = [" ".join(r) for r in itertools.product(["x" * 70, "x" * 64 + "y" * 6, "y" * 140, "y" * 139, "z"], repeat=3)]
+    assert len({h.tobytes() for h in shingles.shingle_sets(pa.array(texts))}) == len(texts)
+
+
+def test_an_id_with_several_texts(spark):
+    long = [" ".join(f"{c}{k}" for k in range(60)) for c in "abc"]
+    rows = [(3, long[0]), (5, long[0]), (5, long[1]), (4, long[1]), (9, long[2]), (9, long[2]), (10, long[2] + " more"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = rows_of(jaccard_components(docs))
+    assert got == collections.Counter({(3, 56, 3): 1, (5, 56, 3): 2, (4, 56, 3): 1, (9, 56, 9): 2, (10, 57, 9): 1, (5, 0, 5): 1})
+    assert sorted(r.doc_id for r in one_of_each(docs).collect()) == [3, 9, 9]
+
+
 def test_all_pairs_and_link_counts(spark, monkeypatch):
     from billstream.llm import jaccard_join
 
-    monkeypatch.setattr(jaccard_join, "CHUNK_MEMBERS", 3)
-    monkeypatch.setattr(jaccard_join, "CHUNK_QUERIES", 2)
+    monkeypatch.setattr(jaccard_join, "CHUNK_TOKENS", 200)
     r = random.Random(4)
     rows = [(900, None), (901, ""), (None, "only here")]
     for g in range(3):

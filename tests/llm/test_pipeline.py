@@ -1,5 +1,6 @@
 """The pipeline, stage by stage, against brute force."""
 
+import collections
 import hashlib
 
 import corpus_pipeline
@@ -8,7 +9,40 @@ import public_tokenizers
 from test_documents import awkward, brute_components, brute_spans
 from tokenizers import Tokenizer
 
+from billstream.llm import secret_ledger
+
 SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def rows_of(df):
+    return collections.Counter(map(tuple, df.collect()))
+
+
+def test_stages_on_awkward_rows(spark):
+    """Null ids and texts, repeated rows, an id with several texts: each stage on all of them."""
+    rows = [(i, t, la, s, len(t or "")) for i, t, la, s in awkward()] + [(7, "another text of this id, which is quite long", "en", "src0", None), (900, None, None, None, None), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    out = {name: stage(spark, docs, SF) for name, stage in stages.items()}
+    letters = collections.Counter(r for r in rows if any(c.isalpha() for c in r[1] or ""))
+    assert rows_of(out["language ID"]) == letters
+    gone = {i for i, n, c in brute_components([(r[0], r[1]) for r in rows]) if n and i is not None and i != c}
+    assert gone and rows_of(out["Jaccard join"]) == collections.Counter(r for r in rows if r[0] not in gone)
+    scanned = rows_of(out["secret scan"])
+    assert sum(scanned.values()) == len(rows) and sum((collections.Counter(r for r in rows if not secret_ledger.finder()(r[1] or "")) - scanned).values()) == 0
+    assert not any(secret_ledger.finder()(t or "") for _, t, *_ in scanned)
+    mixed = rows_of(out["source mix"])
+    assert mixed and not mixed - collections.Counter(rows) and len(mixed) < len(set(rows))
+    lib = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.VOCABULARY))
+    assert collections.Counter((r.doc_id, r.n_tokens) for r in out["BPE"].collect()) == collections.Counter((r[0], len(lib.encode(r[1] or "", add_special_tokens=False).ids)) for r in rows)
+
+
+def test_stages_on_nothing(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, SF)
+        assert out.count() == 0 and (name == "BPE" or out.columns == empty.columns)
 
 
 def test_stages(spark):

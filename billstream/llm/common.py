@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name below the cluster's shared checkpoint folder; a folder of our own only where that is unset."""
+    """A new folder name below the cluster's shared checkpoint folder. Where that is unset: an error on a cluster, as executors share no other folder; on one machine, below a folder of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/{name}-{uuid.uuid4().hex}"
@@ -44,6 +47,14 @@ def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None
         spark.conf.set(BATCH_SETTING, before)
 
 
+def limit_batches(df: DataFrame, size: int = BATCH_BYTES) -> DataFrame:
+    """df, for whose Python tasks the session's Arrow batches are limited to about size bytes from now on: for results that the caller runs."""
+    spark = df.sparkSession
+    if int(spark.conf.get(BATCH_SETTING).lower().rstrip("b") or 0) > size:
+        spark.conf.set(BATCH_SETTING, str(size))
+    return df
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: what follows no longer depends on its lineage."""
     path = scratch(df.sparkSession, name)
@@ -83,16 +94,26 @@ def words(text: str | None) -> list[str]:
 
 
 class Recent(dict):
-    """A bounded map that computes what it lacks: the entries of the last two generations stay."""
+    """A bounded map that computes what it lacks. A key enters when it is asked for again, so that keys met once leave room for others; the entries of the last two generations stay."""
+
+    MARKS = 1 << 21
 
     def __init__(self, make, limit: int):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
+        self.met, self.marks = bytearray(self.MARKS), 0
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+            mark = hash(key) % self.MARKS
+            if not self.met[mark]:
+                self.met[mark] = 1
+                self.marks += 1
+                if self.marks > self.MARKS // 4:
+                    self.met, self.marks = bytearray(self.MARKS), 0
+                return value
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Recent, fold
+from .common import Recent, fold, limit_batches
 
 PROFILE_SIZE = 2000
 #: About so many rows of a language are learned from, chosen by a hash of their id; all of a language that has no more.
@@ -144,15 +144,18 @@ def language_ids(docs: DataFrame) -> DataFrame:
     Profiles are learned from the rows outside the held-out fold that have a
     text and a language. Null texts and texts without letters are ``und`` at 0,
     and so are all if there is nothing to learn from. A text whose n-grams no
-    profile has goes to the first language at the score of a guess. Repeated
-    rows stay. Texts count whole.
+    profile has goes to the first language at the score of a guess. n-grams of
+    one frequency are ranked by the n-gram in profiles, and in documents by how
+    common they are over all profiles; of languages that are equally far, the
+    first by name wins. Repeated rows stay. Texts count whole. No rows: an
+    empty result.
     """
     profiles = Profiles.learned(docs.where(fold(docs, divisor=4) != 2))
-    return docs.select("doc_id", (fold(docs, divisor=4) == 2).alias("held_out"), judged(F.col("text"), profiles).alias("r")).select("doc_id", "held_out", "r.lang_pred", "r.score")
+    return limit_batches(docs.select("doc_id", (fold(docs, divisor=4) == 2).alias("held_out"), judged(F.col("text"), profiles).alias("r")).select("doc_id", "held_out", "r.lang_pred", "r.score"))
 
 
 def identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
     """docs without the rows of undetermined language or of a confidence below least; columns as they were."""
     profiles = Profiles.learned(docs.where(fold(docs, divisor=4) != 2))
     marked = docs.select(*docs.columns, judged(F.col("text"), profiles).alias("__language"))
-    return marked.where((F.col("__language.lang_pred") != UNDETERMINED) & (F.col("__language.score") >= least)).select(*docs.columns)
+    return limit_batches(marked).where((F.col("__language.lang_pred") != UNDETERMINED) & (F.col("__language.score") >= least)).select(*docs.columns)

@@ -280,7 +280,8 @@ def _joined(docs: DataFrame, doc_id: str, text: str, every: bool) -> tuple[DataF
     described = seen.where("slice is null").select("doc_id", "n", "key")
     load = (described.agg(F.sum("n")).first()[0] or 0) // SLOTS
     level = sketch(seen.where("slice is not null").select("slice", "counts"), (8 + 2 * load, COMMON + 4 * load))
-    classes = described.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("node"))
+    # Written out, so that a set with very many copies is split among tasks where rows meet their class.
+    classes = staged(described.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("node")), "classes")
     marked = bitmap(classes.where("node is not null").select("node"))
 
     prefixes = early.staged(with_id.mapInArrow(_prefixes(spark.sparkContext.broadcast((level, marked))), PREFIXES), "prefixes")

@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Recent, scratch, staged
+from .common import Recent, scratch, small_batches, staged
 
 BLOCK_IDS = 1 << 16
 SHARD_ROWS = 8192
@@ -83,7 +83,7 @@ class WordEncoder:
     those of its pieces, and the pre-split alone decides what the model sees.
     """
 
-    def __init__(self, path: str, cached: int = 500_000):
+    def __init__(self, path: str, cached: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -226,13 +226,9 @@ def _into_blocks(block_ids: int, unit: str):
 def write_planes(encoded: DataFrame, path: str, n_shards: int, block_ids: int = BLOCK_IDS, unit: str = "byte") -> None:
     """Write encode_ids() rows below path. They move once, to the task of their shard."""
     spark = encoded.sparkSession
-    (
-        encoded.repartitionById(n_shards, F.col("shard"))
-        .sortWithinPartitions("shard", "doc_id", F.expr("shiftrightunsigned(place, 1)"), "place", "n_tokens", "ids")
-        .select("shard", "doc_id", "n_tokens", "ids")
-        .mapInArrow(_into_blocks(block_ids, unit), BLOCKS)
-        .write.parquet(f"{path}/blocks")
-    )
+    sorted_ = encoded.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", F.expr("shiftrightunsigned(place, 1)"), "place", "n_tokens", "ids")
+    with small_batches(spark):
+        sorted_.select("shard", "doc_id", "n_tokens", "ids").mapInArrow(_into_blocks(block_ids, unit), BLOCKS).write.parquet(f"{path}/blocks")
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").select("shard", "block", "n_ids", F.transform("planes", lambda p: F.octet_length(p)).alias("plane_bytes"))
     inside = F.sum("n_ids").over(W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
     blocks.join(F.broadcast(shard_starts(blocks)), "shard").select("shard", "block", (F.col("shard_start") + F.coalesce(inside, F.lit(0))).alias("start"), "n_ids", "plane_bytes").write.parquet(f"{path}/chunks")
@@ -254,16 +250,24 @@ def _times(matrix: list[int], v: int) -> int:
     return out
 
 
+#: What moves a crc on by 1, 2, 4, ... bytes, as far as lengths asked for it.
+_MOVES: list[list[int]] = []
+
+
+def _move(k: int) -> list[int]:
+    while len(_MOVES) <= k:
+        op = _MOVES[-1] if _MOVES else [0xEDB88320, *(1 << i for i in range(31))]  # fixed value: the polynomial; moves on by one bit
+        for _ in range(1 if _MOVES else 3):
+            op = [_times(op, v) for v in op]
+        _MOVES.append(op)
+    return _MOVES[k]
+
+
 def crc32_joined(first: int, second: int, second_bytes: int) -> int:
     """crc32 of a + b from crc32(a), crc32(b) and len(b)."""
-    op = [0xEDB88320, *(1 << i for i in range(31))]  # moves on by one bit
-    for _ in range(3):
-        op = [_times(op, v) for v in op]
-    n = second_bytes
-    while n:
-        if n & 1:
-            first = _times(op, first)
-        op, n = [_times(op, v) for v in op], n >> 1
+    for k in range(second_bytes.bit_length()):
+        if second_bytes >> k & 1:
+            first = _times(_move(k), first)
     return first ^ second
 
 

@@ -325,7 +325,7 @@ def vocabulary_of(learn: DataFrame) -> tuple[DataFrame, Vocabulary, int]:
     counts = staged(learn.select("text").mapInArrow(_counted, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")), "word_counts")
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = total.n or 0, total.v
-    head = counts.orderBy(F.desc("c"), "token").limit(HEAD).collect()
+    head = most_frequent(counts, HEAD)
     # What the words of each rare class weigh, and its unknown word.
     kind = F.col("token").bitwiseAND(F.lit(RARE_CLASSES - 1))
     mass = {r.kind: r.mass for r in counts.groupBy(kind.alias("kind")).agg(F.sum(F.col("c") + 0.5).alias("mass")).collect()}
@@ -335,6 +335,21 @@ def vocabulary_of(learn: DataFrame) -> tuple[DataFrame, Vocabulary, int]:
     return counts, Vocabulary(tokens, c, math.log10(n + 0.5 * (v + 1)), np.maximum(masses, 0.5).tolist()), n
 
 
+def most_frequent(counts: DataFrame, n: int) -> list:
+    """The n rows of largest c, ties by token. How many rows have each c is counted first, so that no task sends many more rows than are wanted."""
+    left, least = n, None
+    for r in counts.groupBy("c").agg(F.count("*").alias("k")).orderBy(F.desc("c")).limit(n).collect():
+        if r.k >= left:
+            least = r.c
+            break
+        left -= r.k
+    if least is None:
+        rows = counts.collect()
+    else:
+        rows = counts.where(F.col("c") > least).collect() + counts.where(F.col("c") == least).orderBy("token").limit(left).collect()
+    return sorted(rows, key=lambda r: (-r.c, r.token))
+
+
 def lm_scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text; other columns are ignored).
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Recent
+from .common import Recent, limit_batches
 
 #: The pre-split of byte-level BPE.
 PRE_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -83,32 +83,32 @@ class TokenAutomaton:
         return True
 
     def _spell(self) -> None:
-        """The bytes of the arc labels as a table: (node, byte) -> node; of each node its token; of each token its longest proper prefix that is a token."""
-        self.step: dict[int, int] = {}
-        self.token_at = [-1]
+        """The bytes of the arc labels as a tree: at each node byte -> (node below, its token or -1); of each token its longest proper prefix that is a token."""
+        leaf: dict = {}
+        self.root: dict[int, tuple[dict, int]] = {}
         self.shorter: dict[int, int] = {}
-        reachable = sorted([*self.made, *self.first_byte_ids.values()], key=lambda t: len(self.labels[t]))
-        for t in reachable:
-            node, best = 0, -1
-            for byte in self.labels[t]:
-                if self.token_at[node] >= 0:
-                    best = self.token_at[node]
-                key = node << 8 | byte
-                node = self.step.get(key, 0)
-                if not node:
-                    node = self.step[key] = len(self.token_at)
-                    self.token_at.append(-1)
-            self.token_at[node] = t
+        for t in sorted([*self.made, *self.first_byte_ids.values()], key=lambda t: len(self.labels[t])):
+            node, best, label = self.root, -1, self.labels[t]
+            for i, byte in enumerate(label[:-1]):
+                below, token = node.get(byte, (leaf, -1))
+                if below is leaf:
+                    below = {}
+                    node[byte] = (below, token)
+                if token >= 0:
+                    best = token
+                node = below
+            node[label[-1]] = (node.get(label[-1], (leaf, -1))[0], t)
             self.shorter[t] = best
 
     def longest(self, word: bytes, at: int) -> int:
-        node, best, step, token_at = 0, -1, self.step, self.token_at
-        for i in range(at, len(word)):
-            node = step.get(node << 8 | word[i])
-            if node is None:
+        node, best = self.root, -1
+        for byte in word[at:]:
+            found = node.get(byte)
+            if found is None:
                 break
-            if token_at[node] >= 0:
-                best = token_at[node]
+            node, token = found
+            if token >= 0:
+                best = token
         return best
 
     def encode(self, word: bytes) -> list[int]:
@@ -126,7 +126,7 @@ class TokenAutomaton:
                     key = path[-1] << 32 | token
                     fits = table.get(key)
                     if fits is None:
-                        if len(table) > 1_000_000:
+                        if len(table) > 500_000:
                             table.clear()
                         fits = table[key] = self.arc(path[-1], token)
                 if fits:
@@ -229,5 +229,9 @@ def digests(text: Column, vocabulary: str) -> Column:
 
 
 def bpe_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs (doc_id, text; other columns are ignored, repeated rows and null ids stay)."""
-    return docs.select("doc_id", digests(F.col("text"), vocabulary).alias("r")).select("doc_id", "r.*")
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs (doc_id, text; other columns are ignored).
+
+    Null and empty texts have no ids and the digests of nothing. Repeated rows
+    and null ids stay. Texts of any length count whole. No rows: an empty result.
+    """
+    return limit_batches(docs.select("doc_id", digests(F.col("text"), vocabulary).alias("r")).select("doc_id", "r.*"))

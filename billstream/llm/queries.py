@@ -14,7 +14,10 @@ from .jaccard_join import jaccard_components
 from .language_profiles import language_ids
 from .learned_partitions import nearest
 from .maxent_scores import lm_scores
+from .periodic_runs import run_digests
+from .prefix_trie import prefix_trie
 from .secret_ledger import secret_spans
+from .wu_manber import hit_digests
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -59,6 +62,18 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hit_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 _CASE = lambda column, weights: f"case {column} " + " ".join(f"when '{k}' then {v}" for k, v in weights.items()) + " else 1 end"
 
 
@@ -107,5 +122,5 @@ select source, lang, tokenizer, count(*)::bigint as docs, sum(tokens)::bigint as
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_bit_planes, op2_rank_profiles, op3_histogram_topk, op4_maxent_scores, op5_source_budgets, op6_secret_ledger, op7_learned_partitions, op8_token_rollups, op9_jaccard_join, op10_bpe_automaton)
+    for f in (op1_bit_planes, op2_rank_profiles, op3_histogram_topk, op4_maxent_scores, op5_source_budgets, op6_secret_ledger, op7_learned_partitions, op8_token_rollups, op9_jaccard_join, op10_bpe_automaton, op11_periodic_runs, op12_wu_manber, op13_prefix_trie)
 }

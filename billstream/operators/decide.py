@@ -6,12 +6,21 @@ schemas.INVOICE.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from billstream.config import LEARNED_BASE, LEARNED_MOST, LEARNED_STEP, NO_RULE_CONFIDENCE, POLICY, RISK_LIMIT, RULES, SCORES, Policy, Rule
 from billstream.functions.expressions import filled, fingerprint, money, percent, two_decimals
 
+#: Parts that the arrivals of one invoice are dealt out to.
+PARTS = 200
+#: So many keywords are a chain of conditions; more of them go to an automaton.
+CHAIN_KEYWORDS = 64
+
 
 def fingerprinted(invoices: DataFrame) -> DataFrame:
     """Adds ``fingerprint``."""
@@ -19,15 +28,22 @@ def fingerprinted(invoices: DataFrame) -> DataFrame:
     return invoices.withColumn("fingerprint", fingerprint(of("supplier.siren"), of("supplier.name"), of("invoice_number"), of("issue_date"), of("gross_amount"), of("currency")))
 
 
-def duplicates_marked(invoices: DataFrame, history: DataFrame | None = None) -> DataFrame:
+def duplicates_marked(invoices: DataFrame, history: DataFrame | None = None, parts: int = PARTS) -> DataFrame:
     """Adds ``fingerprint`` and ``duplicate``: an earlier arrival, or a stored invoice (history: fingerprint), has the same fingerprint.
 
-    First arrivals are found by an aggregate and joined back, so that an
-    invoice that was sent very often is split over tasks.
+    One pass over the invoices: the rows of a fingerprint are dealt out to parts
+    by their arrival, where all but the first of each part are known to be
+    repeats. Only these firsts, a row for each part at most, then meet; the
+    others are dealt out as before. So an invoice that was sent very often is
+    split over tasks, and what the invoices are made from is read once.
     """
-    marked = fingerprinted(invoices)
-    first = marked.groupBy("fingerprint").agg(F.min("arrival").alias("__first"))
-    marked = marked.join(first, "fingerprint").withColumn("duplicate", F.col("arrival") > F.col("__first")).drop("__first")
+    part, first = F.col("__part"), F.min("arrival")
+    marked = fingerprinted(invoices).withColumn("__part", F.pmod(F.xxhash64("arrival"), F.lit(parts)))
+    marked = marked.withColumn("__first", first.over(W.partitionBy("fingerprint", "__part")))
+    marked = marked.withColumn("__part", F.when(F.col("arrival").eqNullSafe(F.col("__first")), F.lit(-1)).otherwise(part))
+    least = first.over(W.partitionBy("fingerprint", "__part"))
+    later = F.coalesce(F.col("arrival") > least, least.isNotNull())  # no arrival comes last
+    marked = marked.withColumn("duplicate", (part >= 0) | later).drop("__part", "__first")
     if history is not None:
         stored = history.select("fingerprint").distinct().withColumn("__stored", F.lit(True))
         marked = marked.join(stored, "fingerprint", "left").withColumn("duplicate", F.col("duplicate") | F.coalesce("__stored", F.lit(False))).drop("__stored")
@@ -40,16 +56,56 @@ def searched_text() -> Column:
     return F.concat(lines, F.lit(" "), F.lower(F.coalesce("raw_text", F.lit(""))))
 
 
+def _proposal(account: str | None, confidence, source: str) -> Column:
+    return F.struct(F.lit(account).cast("string").alias("account"), F.lit(confidence).cast("decimal(4,2)").alias("confidence"), F.lit(source).alias("source"))
+
+
+def first_rule(text: Column, rules: tuple[Rule, ...]) -> Column:
+    """The place of the first rule with a keyword in the text, null if there is none: all keywords are looked for at once, by an automaton that each task builds; texts pass through it in Arrow batches."""
+    import ahocorasick
+
+    place: dict[str, int] = {}
+    for i, rule in enumerate(rules):
+        for k in rule.keywords:
+            place.setdefault(k.lower(), i)
+    always = place.pop("", len(rules))  # the empty keyword is in every text
+
+    @F.pandas_udf("int")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = ahocorasick.Automaton()
+        for k, i in place.items():
+            automaton.add_word(k, i)
+        automaton.make_automaton()
+        found = automaton.iter if place else lambda _: ()
+        for batch in batches:
+            least = [min((i for _, i in found(t)), default=always) for t in batch]
+            yield pd.Series([min(i, always) if min(i, always) < len(rules) else None for i in least], dtype="Int32")
+
+    return run(text)
+
+
 def rule_proposal(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """struct(account, confidence, source) of the first rule with a keyword in the text: a chain of conditions, evaluated in the scan's stage."""
-    proposal = lambda a, c, s: F.struct(F.lit(a).cast("string").alias("account"), F.lit(c).cast("decimal(4,2)").alias("confidence"), F.lit(s).alias("source"))
+    """struct(account, confidence, source) of the first rule with a keyword in the text.
+
+    Few rules are a chain of conditions, evaluated in the scan's stage. The plan
+    of such a chain, and the time a text takes, grow with the keywords; those of
+    many rules are found by first_rule().
+    """
+    none = _proposal(None, NO_RULE_CONFIDENCE, "none")
+    if not rules:
+        return none
+    if sum(len(r.keywords) for r in rules) > CHAIN_KEYWORDS:
+        of = F.lit([f"{r.confidence} {r.account}" for r in rules])
+        pair = F.get(of, first_rule(text, rules))
+        known = F.struct(F.substring_index(pair, " ", 1).cast("decimal(4,2)").alias("confidence"), F.regexp_replace(pair, "^[^ ]* ", "").alias("account"))
+        return F.when(pair.isNull(), none).otherwise(F.struct(known["account"].alias("account"), known["confidence"].alias("confidence"), F.lit("rules").alias("source")))
     out = None
     for rule in rules:
-        hit = None
+        hit = F.lit(False)
         for k in rule.keywords:
-            hit = F.contains(text, F.lit(k.lower())) if hit is None else hit | F.contains(text, F.lit(k.lower()))
-        out = (F if out is None else out).when(hit, proposal(rule.account, rule.confidence, "rules"))
-    return out.otherwise(proposal(None, NO_RULE_CONFIDENCE, "none"))
+            hit = hit | F.contains(text, F.lit(k.lower()))
+        out = (F if out is None else out).when(hit, _proposal(rule.account, rule.confidence, "rules"))
+    return out.otherwise(none)
 
 
 def learned_confidence(validations: Column) -> Column:

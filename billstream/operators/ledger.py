@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from billstream.functions.expressions import if_filled
@@ -11,6 +11,8 @@ from billstream.functions.expressions import if_filled
 JOURNAL, VAT_ACCOUNT, SUPPLIER_ACCOUNT, VAT_LABEL, NO_ACCOUNT = "ACH", "44566", "401", "TVA déductible", "A_VERIFIER"
 HEADER = ["Date", "Journal", "Compte", "Libelle", "Debit", "Credit", "Piece"]
 
+CSV = {"sep": ";", "header": True, "lineSep": "\r\n", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
 
 def ledger_entries(invoices: DataFrame) -> DataFrame:
     """id, pos and the columns of HEADER: three entries for each approved invoice."""
@@ -35,7 +37,23 @@ def write_ledger(entries: DataFrame, path: str, bom: bool = True, one_file: bool
     rows = rows.coalesce(1) if one_file else rows
     if bom:
         rows = rows.withColumnRenamed("Date", "﻿Date")
-    rows.write.option("sep", ";").option("header", True).option("lineSep", "\r\n").option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    rows.write.options(**CSV).csv(path)
+
+
+def write_ledger_months(entries: DataFrame, path: str) -> None:
+    """The entries as CSV like write_ledger's, in a folder for each month of their date (``month=YYYY-MM``; no date: Spark's default folder), in their order inside each.
+
+    Only the months that entries have are written: their folders are replaced
+    whole, those of other months are left as they are. So one month is exported
+    again without the rest. A month with very many entries is split into files.
+    """
+    rows = entries.withColumn("month", F.substring(F.col("Date").cast("string"), 1, 7)).repartitionByRange("month", "Date", "id", "pos").sortWithinPartitions("month", "Date", "id", "pos")
+    rows.select(*HEADER, "month").write.partitionBy("month").mode("overwrite").options(partitionOverwriteMode="dynamic", **CSV).csv(path)
+
+
+def read_ledger_months(spark: SparkSession, path: str) -> DataFrame:
+    """The columns of HEADER, as text, and month of what write_ledger_months() wrote."""
+    return spark.read.schema(", ".join(f"{c} string" for c in [*HEADER, "month"])).options(**CSV).csv(path)
 
 
 def unbalanced(entries: DataFrame) -> DataFrame:

@@ -22,9 +22,19 @@ def folded(decisions: DataFrame) -> DataFrame:
     )
 
 
+def refolded(states: DataFrame) -> DataFrame:
+    """States of folded() over several batches of decisions as one row an invoice. The order of batches doesn't count, as each part carries its seq."""
+    return states.groupBy("invoice_id").agg(F.max("last").alias("last"), F.min("first").alias("first"), F.max("approval").alias("approval"), F.max("rejection").alias("rejection"))
+
+
 def invoices_after(invoices: DataFrame, decisions: DataFrame) -> DataFrame:
     """invoices (id, status, proposed_account, ...) with status, approved_account, approved_by, rejected_by and rejection_reason as decided."""
-    f = folded(decisions).withColumnRenamed("invoice_id", "id")
+    return invoices_in_state(invoices, folded(decisions))
+
+
+def invoices_in_state(invoices: DataFrame, states: DataFrame) -> DataFrame:
+    """invoices_after(), from states of folded() or refolded()."""
+    f = states.withColumnRenamed("invoice_id", "id")
     out = invoices.join(f, "id", "left")
     out = out.withColumn("status", F.when(F.col("last.action") == "approve", "APPROVED").when(F.col("last.action") == "reject", "REJECTED").otherwise(F.col("status")))
     account = F.coalesce(F.when(F.col("approval.account") != "", F.col("approval.account")), F.col("proposed_account"))
@@ -39,7 +49,12 @@ def unknown_decisions(invoices: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def reviews_after(reviews: DataFrame, decisions: DataFrame) -> DataFrame:
     """reviews closed by the first decision on their invoice."""
-    first = folded(decisions).select("invoice_id", "first")
+    return reviews_in_state(reviews, folded(decisions))
+
+
+def reviews_in_state(reviews: DataFrame, states: DataFrame) -> DataFrame:
+    """reviews_after(), from states of folded() or refolded()."""
+    first = states.select("invoice_id", "first")
     out = reviews.drop("resolved").join(first, "invoice_id", "left")
     resolution = F.when(F.col("first.action") == "approve", "APPROVED").when(F.col("first.action") == "reject", "REJECTED")
     return out.withColumn("resolved", F.col("first").isNotNull()).withColumn("resolution", resolution).withColumn("resolved_by", F.col("first.username")).drop("first")

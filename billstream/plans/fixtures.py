@@ -6,8 +6,24 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from billstream.config import POLICY, RULES, Rule
+
 TABLES = ("customer", "supplier", "part", "orders", "lineitem", "events")
 AS_OF = "1999-01-01"
+#: From this arrival on, invoices are repeats; the month whose entries are exported twice.
+LATER, AGAIN = 100_000_000, "1996-03"
+
+#: The words of part names and of the labels in the fixture's line descriptions.
+PART_WORDS = (("blue", "cold", "green", "hot", "large", "red", "small", "tiny"), ("anchor", "bolt", "gadget", "gear", "gizmo", "ring", "sprocket", "widget"))
+LINE_LABELS = ("abonnement internet", "assurance flotte", "honoraires", "commission bancaire", "papeterie", "location bureau", "marketing", "ordinateur", "divers")
+MANY_RULES = 5000
+
+
+def many_rules() -> tuple[Rule, ...]:
+    """So many rules, of which every ninth or so can match a line of the fixture."""
+    lines = [f"{a} {b} {x}" for x in LINE_LABELS for a in PART_WORDS[0] for b in PART_WORDS[1]]
+    keys = [lines[i // 9] if i % 9 == 8 and i // 9 < len(lines) else f"mot {i}" for i in range(MANY_RULES)]
+    return tuple(Rule((k, f"autre {i}"), f"6{i:04d}", POLICY.accounting_confidence if i % 2 else RULES[0].confidence) for i, k in enumerate(keys))
 
 VIEWS = {
     "fx_line": """

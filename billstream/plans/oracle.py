@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from billstream.config import RULES, SCORES
 from billstream.operators.reminders import BODY, SUBJECT
-from billstream.plans.fixtures import AS_OF, with_views
+from billstream.plans.fixtures import AGAIN, AS_OF, LATER, many_rules, with_views
 
 
 def _rules(rules=RULES) -> str:
@@ -144,6 +144,8 @@ from (select k, case k % 6 when 0 then '.pdf' when 1 then '.XML' when 2 then '.u
     "stream_intake": "select arrival, fingerprint, status, risk_score from all_decided",
     "stream_dedup": "select distinct fingerprint from all_marked",
 }
+_NAMED = "trim(coalesce(supplier_name, '') || case when k % 4 = 3 then ' é€' else ' é' end)"
+_FILES = "(select *, 'doc' || k || ext as source_file from (select *, case k // 4 % 6 when 0 then '.pdf' when 1 then '.XML' when 2 then '.ubl' when 3 then '.Cii' when 4 then '.txt' else '' end as ext from fx_invoice0))"
 _SQL |= {
     "account_rules_from_file": "select arrival, r.account, r.confidence::double as confidence, case when r.account is null then 'none' else 'rules' end as source from fx_invoice v join fx_reversed r on v.k = r.k",
     "decisions_by_policy_file": "select arrival, status, risk_score from strict_decided",
@@ -160,6 +162,28 @@ from (select *, (id % 2)::int as batch, year(issue_date) as y, row_number() over
     "stream_dedup": """select k, case when arrival <> k then 'far' when k % 3 = 0 then 'later' else 'first' end as wave, fingerprint from all_marked
 where arrival = k or (k % 3 <> 0 and k % 2 <> 0 and k % 5 <> 0)""",
 }
+_MANY = ", ".join(f"({i}, {r.keywords[0]!r}, {r.keywords[1]!r}, '{r.account}', {r.confidence})" for i, r in enumerate(many_rules()))
+_SQL |= {
+    "bank_csv_quoted": """select '2026-08-20' as booking_date, case tx_id % 4 when 0 then 'VIR "client", n ' || tx_id when 1 then 'ligne 1' || chr(10) || 'ligne 2, ' || tx_id else '"' || tx_id || '"' end as label, amount::double as amount, 'EUR' as currency, reference from fx_bank""",
+    "account_rules_many": f"""select m.arrival, r.account, coalesce(r.confidence, 0.25)::double as confidence, case when r.account is null then 'none' else 'rules' end as source from all_marked m
+left join (select k, min(i) as i from (select distinct k, lower(description) as txt from fx_line) join (values {_MANY}) v(i, one, two, account, confidence) on contains(txt, one) or contains(txt, two) group by k) f on f.k = m.k
+left join (values {_MANY}) r(i, one, two, account, confidence) on r.i = f.i""",
+    "fingerprints_known": "select distinct fingerprint from all_marked where fingerprint in (select fingerprint from all_marked where k % 3 < 2)",
+    "ledger_months": f"""select cast(issue_date as varchar) as "Date", case when strftime(issue_date, '%Y-%m') = '{AGAIN}' then 'AC2' else 'ACH' end as "Journal", case pos when 0 then coalesce(nullif(approved_account, ''), nullif(account, ''), 'A_VERIFIER') when 1 then '44566' else '401' end as "Compte",
+  case pos when 1 then 'TVA déductible' else supplier_name end as "Libelle", (case pos when 0 then net_amount when 1 then vat_amount else 0 end)::double as "Debit", (case pos when 2 then gross_amount else 0 end)::double as "Credit", invoice_number as "Piece", strftime(issue_date, '%Y-%m') as month
+from after_rows, range(3) t(pos) where status = 'APPROVED'""",
+    "suppliers_snapshot": _SQL["suppliers_merged"],
+    "src_xml_encodings": f"select k, {_NAMED} as supplier_name, gross_amount::double as gross_amount from fx_invoice0 where k % 7 <> 0 and k % 11 <> 0",
+    "ingest_records": f"""select k, source_file, 'file:/in/' || source_file as source_path, case when k % 3 = 0 and invoice_number is not null then 'CII' else 'UBL' end as format, invoice_number, {_NAMED} as supplier_name, gross_amount::double as gross_amount
+from {_FILES} where ext in ('.XML', '.ubl', '.Cii') and k % 7 <> 0 and k % 11 <> 0""",
+    "ingest_rejects": f"""select k, source_file, 'file:/in/' || source_file as source_path, case when ext in ('.txt', '') then 'unsupported format' when k % 7 = 0 then 'cannot be decoded' else 'not one XML document' end as reason
+from {_FILES} where ext in ('.txt', '') or (ext <> '.pdf' and (k % 7 = 0 or k % 11 = 0))""",
+    "ingest_waiting": f"select k, source_file, 'file:/in/' || source_file as source_path from {_FILES} where ext = '.pdf'",
+    "stream_decisions_invoices": _SQL["invoices_after_decisions"],
+    "stream_decisions_reviews": _SQL["reviews_resolved"],
+    "stream_decisions_learned": f"""select m.arrival, case when m.arrival >= {LATER} and t.account is not null then t.account else m.account end as account, case when m.arrival >= {LATER} and t.account is not null then t.confidence else m.confidence end::double as confidence,
+  case when m.arrival >= {LATER} and t.account is not null then 'learning' when m.account is null then 'none' else 'rules' end as source from all_marked m left join top_rows t on t.supplier_name = m.supplier_name""",
+}
 _SQL["stream_bank_match"] = _SQL["bank_matches"]
 
 ORACLE = {name: with_views(sql, MORE) for name, sql in _SQL.items()}

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from billstream.config import POLICY, RULES, load_policy, load_rules
 from billstream.functions.expressions import gross_amount_in, invoice_number_in, normalized_amount
-from billstream.operators import decide, learning, ledger, matching, outbound, parties, reminders, reports, workflow
-from billstream.plans.fixtures import AS_OF, fixture
-from billstream.session import append, scratch
+from billstream.operators import decide, history, learning, ledger, matching, outbound, parties, reminders, reports, workflow
+from billstream.plans.fixtures import AGAIN, AS_OF, LATER, fixture, many_rules
+from billstream.session import append, committed, compact, drop_folded, scratch
 from billstream.session import stored as stored_rows
 from billstream.sources import bank, invoices as documents
+from billstream.streaming import approvals as approving
 from billstream.streaming import intake
 
 QUERIES = {}
@@ -153,6 +154,22 @@ def decisions_by_policy_file(spark, sf_dir):
     return decide.decided(records(spark, sf_dir), policy=load_policy(spark, path)).select("arrival", "status", "risk_score")
 
 
+@query
+def account_rules_many(spark, sf_dir):
+    return plain(decide.proposed(records(spark, sf_dir), rules=many_rules()).select("arrival", "proposal.*"))
+
+
+@query
+def fingerprints_known(spark, sf_dir):
+    """What the first two of three batches have, by buckets and filter; the first is folded into a snapshot."""
+    folder, rows = scratch(spark, "history"), decide.fingerprinted(records(spark, sf_dir))
+    for batch in range(3):
+        if batch == 2:
+            history.compact_history(spark, folder, 1)
+        history.remember(rows.where(F.col("k") % 3 == batch), folder, batch)
+    return history.known(rows, folder, 2).distinct()
+
+
 # Learning and workflow
 
 
@@ -207,9 +224,34 @@ def ledger_balance(spark, sf_dir):
     return plain(ledger.unbalanced(ledger.ledger_entries(after(spark, sf_dir))))
 
 
+@query
+def ledger_months(spark, sf_dir):
+    """The entries exported by month, of which one is exported again, with another journal."""
+    path, entries = scratch(spark, "ledger"), ledger.ledger_entries(after(spark, sf_dir))
+    ledger.write_ledger_months(entries, path)
+    ledger.write_ledger_months(entries.where(F.substring("Date", 1, 7) == AGAIN).withColumn("Journal", F.lit("AC2")), path)
+    number = lambda c: F.col(c).cast("double").alias(c)
+    return ledger.read_ledger_months(spark, path).select("Date", "Journal", "Compte", "Libelle", number("Debit"), number("Credit"), "Piece", "month")
+
+
 # Parties
 
 
+@query
+def suppliers_snapshot(spark, sf_dir):
+    """Suppliers stored as deltas of four batches, in order of arrival; the first three are folded into snapshots, and removed."""
+    rows, table = records(spark, sf_dir), scratch(spark, "suppliers")
+    most = rows.agg(F.max(F.when(F.col("arrival") < LATER, F.col("arrival")))).first()[0] or 0
+    rows = rows.withColumn("batch", F.when(F.col("arrival") >= LATER, 3).otherwise(F.floor(F.col("arrival") * 3 / (most + 1))))
+    fold = lambda x: parties.of_deltas(x, "supplier").drop("risk_level")
+    for batch in range(4):
+        append(parties.delta(rows.where(F.col("batch") == batch), "supplier"), table, batch)
+        if batch in (1, 2):
+            compact(spark, table, intake.DELTAS["supplier"], fold)
+            drop_folded(spark, table)
+    return parties.of_deltas(stored_rows(spark, table, intake.DELTAS["supplier"]), "supplier")
+
+
 @query
 def suppliers_merged(spark, sf_dir):
     return parties.suppliers(records(spark, sf_dir))
@@ -248,7 +290,17 @@ def _bank_file(spark, sf_dir) -> str:
 
 @query
 def bank_rows_rejected(spark, sf_dir):
-    return bank.read_bank_csv(spark, _bank_file(spark, sf_dir))[1]
+    return bank.read_bank_csv(spark, _bank_file(spark, sf_dir))[1].drop("record")
+
+
+@query
+def bank_csv_quoted(spark, sf_dir):
+    """Labels with commas, quotes and line breaks, amounts with a decimal comma, all in quotes."""
+    path, k = scratch(spark, "bank_csv"), F.col("tx_id").cast("string")
+    label = F.when(F.col("tx_id") % 4 == 0, F.concat(F.lit('VIR "client", n '), k)).when(F.col("tx_id") % 4 == 1, F.concat(F.lit("ligne 1\nligne 2, "), k)).otherwise(F.concat(F.lit('"'), k, F.lit('"')))
+    rows = fixture(spark, sf_dir, "fx_bank").select(F.lit("2026-08-20").alias("date"), label.alias("libelle"), F.replace(F.col("amount").cast("string"), F.lit("."), F.lit(",")).alias("montant"), "reference")
+    rows.write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return plain(bank.read_bank_csv(spark, path)[0])
 
 
 @query
@@ -422,6 +474,43 @@ def invoice_format_tag(spark, sf_dir):
     return read.groupBy("format").agg(F.count("*").alias("n"))
 
 
+def _files(spark, sf_dir) -> DataFrame:
+    """The documents as files of several kinds and encodings: k, content, source_file, source_path. Every seventh can't be decoded, every eleventh is cut off."""
+    k = F.col("k")
+    name = F.regexp_replace("xml", "</(cbc:RegistrationName|ram:Name)>", " é</$1>")
+    encoding = F.when(k % 7 == 0, "UTF-8").otherwise(F.element_at(F.array(*map(F.lit, ("UTF-8", "ISO-8859-1", "UTF-16", "windows-1252"))), (k % 4 + 1).cast("int")))
+    text = F.concat(F.lit('<?xml version="1.0" encoding="'), F.col("encoding"), F.lit('"?>'), F.regexp_replace("named", r"^<\?xml[^>]*\?>", ""))
+    latin = F.encode("text", "ISO-8859-1")
+    euro = F.unhex(F.replace(F.hex(latin), F.lit("20E9"), F.lit("20E980")))
+    content = F.when((k % 7 == 0) | (F.col("encoding") == "ISO-8859-1"), latin).when(F.col("encoding") == "UTF-16", F.encode("text", "UTF-16")).when(F.col("encoding") == "windows-1252", euro).otherwise(F.encode("text", "UTF-8"))
+    rows = _xml(spark, sf_dir).withColumn("named", name).withColumn("encoding", encoding).withColumn("text", text).withColumn("content", content)
+    rows = rows.withColumn("content", F.when(k % 11 == 0, F.substring("content", F.lit(1), F.length("content") - 6)).otherwise(F.col("content")))
+    extension = F.element_at(F.array(*map(F.lit, (".pdf", ".XML", ".ubl", ".Cii", ".txt", ""))), (F.floor(k / 4) % 6 + 1).cast("int"))
+    source = F.concat(F.lit("doc"), k.cast("string"), extension)
+    return rows.select("k", "content", source.alias("source_file"), F.concat(F.lit("file:/in/"), source).alias("source_path"))
+
+
+@query
+def src_xml_encodings(spark, sf_dir):
+    read, _ = documents.invoice_xml(documents.decoded_xml(_files(spark, sf_dir)))
+    return plain(read.select("k", F.col("supplier.name").alias("supplier_name"), "gross_amount"))
+
+
+@query
+def ingest_records(spark, sf_dir):
+    return plain(documents.ingested(_files(spark, sf_dir)).records.select("k", "source_file", "source_path", "format", "invoice_number", F.col("supplier.name").alias("supplier_name"), "gross_amount"))
+
+
+@query
+def ingest_rejects(spark, sf_dir):
+    return documents.ingested(_files(spark, sf_dir)).rejects
+
+
+@query
+def ingest_waiting(spark, sf_dir):
+    return documents.ingested(_files(spark, sf_dir)).waiting
+
+
 @query
 def src_bank_csv(spark, sf_dir):
     path = scratch(spark, "bank_csv")
@@ -451,7 +540,7 @@ def _arriving(spark, sf_dir):
     path = scratch(spark, "arriving")
     rows = records(spark, sf_dir).drop("k")
     for later in (False, True):
-        rows.where((F.col("arrival") >= 100_000_000) == later).write.mode("append").json(path)
+        rows.where((F.col("arrival") >= LATER) == later).write.mode("append").json(path)
         yield path
 
 
@@ -482,6 +571,47 @@ def stream_intake_suppliers(spark, sf_dir):
     return intake.parties_of(spark, target, "supplier")
 
 
+def _first_taken_in(spark, sf_dir) -> str:
+    """A folder with what intake stored of the first arrivals."""
+    target = scratch(spark, "intake")
+    intake.intake(spark, next(_arriving(spark, sf_dir)), target, scratch(spark, "stream"), files_per_batch=None).awaitTermination()
+    return target
+
+
+def _decided_on(spark, sf_dir, target: str) -> None:
+    """Decisions on the stored invoices in two waves, rejections first."""
+    path, checkpoint = scratch(spark, "decisions"), scratch(spark, "stream")
+    for action in ("reject", "approve"):
+        fixture(spark, sf_dir, "fx_decision").where(F.col("action") == action).write.mode("append").json(path)
+        approving.decide(spark, path, target, checkpoint, files_per_batch=None).awaitTermination()
+
+
+@query
+def stream_decisions_invoices(spark, sf_dir):
+    """The invoices that intake stored, as a stream of decisions left them."""
+    target = _first_taken_in(spark, sf_dir)
+    _decided_on(spark, sf_dir, target)
+    return approving.invoices_of(spark, target).select("id", "status", "approved_account", "approved_by", "rejected_by", "rejection_reason")
+
+
+@query
+def stream_decisions_reviews(spark, sf_dir):
+    target = _first_taken_in(spark, sf_dir)
+    _decided_on(spark, sf_dir, target)
+    return approving.reviews_of(spark, target)
+
+
+@query
+def stream_decisions_learned(spark, sf_dir):
+    """Accounts for repeats that come after approvals, which taught them; first arrivals had the rules."""
+    target, checkpoint = scratch(spark, "intake"), scratch(spark, "stream")
+    for path in _arriving(spark, sf_dir):
+        intake.intake(spark, path, target, checkpoint, files_per_batch=None, mappings=f"{target}/mappings").awaitTermination()
+        if not committed(spark, f"{target}/mappings"):
+            _decided_on(spark, sf_dir, target)
+    return plain(spark.read.parquet(f"{target}/decisions").select("arrival", "proposal.*"))
+
+
 DAYS = {"first": 0, "later": 5, "near": 0.5, "far": 10, "late": 1}
 
 

@@ -4,25 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The names a column may have, and what stands in for an empty one.
 ALIASES = {"booking_date": ("booking_date", "date"), "label": ("label", "libelle"), "amount": ("amount", "montant"), "currency": ("currency", "devise"), "reference": ("reference",)}
 DEFAULTS = {"amount": "0", "currency": "EUR", "reference": ""}
+MARK = "﻿"
 
 
 def read_bank_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Transactions (booking_date, label, amount, currency, reference), and the rows whose amount is no number.
 
     Comma-separated with a header, a byte order mark is passed over; amounts
-    may have a decimal comma.
+    may have a decimal comma. Fields may be quoted: commas and line breaks in
+    quotes belong to the field, two quotes are one. Rows with too few fields
+    lack the last ones, further fields are passed over; ``record`` is the raw
+    text of such rows among the rejected, null for others. All files below path
+    must have the same header, else reading fails. A file is read by one task,
+    as a line break may be inside a field.
     """
-    raw = spark.read.csv(path, header=True)
-    there = {c.lower(): c for c in raw.columns}
+    options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "enforceSchema": False}
+    names = spark.read.options(**options).csv(path).columns
+    record = next(c for c in ("_record", "__record", "___record") if c not in names)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, record]])
+    raw = spark.read.options(**options, columnNameOfCorruptRecord=record).schema(schema).csv(path)
+    there = {c.removeprefix(MARK).strip().lower(): c for c in names}
 
     def column(name: str):
         found = [F.when(F.col(f"`{there[a]}`") != "", F.col(f"`{there[a]}`")) for a in ALIASES[name] if a in there]
         return F.coalesce(*found, F.lit(DEFAULTS.get(name)).cast("string"))
 
-    rows = raw.select(*(column(n).alias(n) for n in ALIASES)).withColumn("text", F.col("amount"))
+    rows = raw.select(*(column(n).alias(n) for n in ALIASES), F.col(f"`{record}`").alias("record")).withColumn("text", F.col("amount"))
     rows = rows.withColumn("amount", F.replace("text", F.lit(","), F.lit(".")).try_cast("decimal(18,2)"))
-    return rows.where("amount is not null").drop("text"), rows.where("amount is null").drop("amount").withColumnRenamed("text", "amount")
+    bad = rows.where("amount is null").drop("amount").withColumnRenamed("text", "amount")
+    return rows.where("amount is not null").drop("text", "record"), bad

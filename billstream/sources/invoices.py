@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,15 +79,93 @@ def invoice_xml(documents: DataFrame, legacy_id_order: bool = False) -> tuple[Da
     return record.where("__ok").select(*rest, "__record.*"), rows.where(~F.col("__ok")).select(*documents.columns)
 
 
+#: Byte order marks, and how a document begins that has none of them, in hexadecimal; the longest first.
+BEGINNINGS = {"EFBBBF": "utf-8-sig", "0000FEFF": "utf-32", "FFFE0000": "utf-32", "FEFF": "utf-16", "FFFE": "utf-16", "003C003F": "utf-16-be", "3C003F00": "utf-16-le"}
+DECLARED = r"""^\s*<\?xml[^>]*?encoding\s*=\s*["']([A-Za-z0-9._-]+)["']"""
+
+
+def encoding_of(content: Column) -> Column:
+    """The encoding of an XML document: by its first bytes, else as declared, else UTF-8. A declared 16- or 32-bit encoding that the first bytes rule out is UTF-8."""
+    head = F.hex(F.substring(content, 1, 4))
+    declared = F.lower(F.regexp_extract(F.decode(F.substring(content, 1, 400), "ISO-8859-1"), DECLARED, 1))
+    out = None
+    for mark, name in BEGINNINGS.items():
+        out = (F if out is None else out).when(head.startswith(mark), F.lit(name))
+    return out.when((declared == "") | declared.rlike("^(utf-?(8|16|32)|ucs-?[24])"), F.lit("utf-8")).otherwise(declared)
+
+
+def decoded(content: Column, encoding: Column) -> Column:
+    """The text of documents in any encoding that Python knows; null for unknown names and for bytes that can't be decoded. UTF-8 doesn't leave the JVM."""
+    @F.pandas_udf("string")
+    def other(content: pd.Series, encoding: pd.Series) -> pd.Series:
+        def text(data: bytes | None, name: str) -> str | None:
+            try:
+                return None if data is None else data.decode(name)
+            except (UnicodeError, LookupError):
+                return None
+
+        return pd.Series([text(d, n) for d, n in zip(content, encoding, strict=True)], dtype=object)
+
+    plain = encoding.isin("utf-8", "utf-8-sig")
+    text = content.cast("string")
+    return F.when(plain, F.when(F.is_valid_utf8(text), text)).otherwise(other(F.when(~plain, content), encoding))
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """content, source_file, source_path of the files below path, in whatever folder. Spark reads the bytes only where a query asks for them; it passes over files without any."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("content", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("source_path"))
+
+
+def decoded_xml(files: DataFrame) -> DataFrame:
+    """files (content, and others) with xml, the text in their encoding, instead of content; null if it can't be decoded."""
+    known = files.select(F.struct(*files.columns).alias("of"), encoding_of(F.col("content")).alias("encoding"))
+    read = known.select("of", decoded(F.col("of.content"), F.col("encoding")).alias("xml"))
+    return read.select(*(F.col("of")[c].alias(c) for c in files.columns if c not in ("content", "xml")), "xml")
+
+
 def read_xml(spark: SparkSession, path: str) -> DataFrame:
-    """xml, source_file, source_path of the files below path."""
-    return spark.read.text(path, wholetext=True).select(F.col("value").alias("xml"), F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("source_path"))
+    """xml, source_file, source_path of the files below path, in the encoding that each declares."""
+    return decoded_xml(read_files(spark, path)).select("xml", "source_file", "source_path")
+
+
+class Ingested(NamedTuple):
+    """What files became: records (schemas.INVOICE and the files' other columns), rejects (with reason), and PDF files that wait for text extraction."""
+
+    records: DataFrame
+    rejects: DataFrame
+    waiting: DataFrame
+
+
+#: Why a file was rejected.
+UNKNOWN_FORMAT, UNREADABLE, BROKEN = "unsupported format", "cannot be decoded", "not one XML document"
+
+
+def ingested(files: DataFrame, legacy_id_order: bool = False) -> Ingested:
+    """files (content, source_file, source_path, and others, which stay) by their extension: XML documents become records with their file's name and path, or are rejected; so are files of other kinds.
+
+    Each part reads what it needs only: the bytes of XML files, none of others.
+    An empty document is a broken one, null content can't be decoded, and a file
+    without a name has no extension.
+    """
+    rest = [c for c in files.columns if c != "content"]
+    route = route_of(F.col("source_file"))
+    records, broken = invoice_xml(decoded_xml(files.where(route == "xml")), legacy_id_order)
+    reason = F.when(F.col("xml").isNull(), UNREADABLE).otherwise(BROKEN)
+    rejects = files.where(route == "rejected").select(*rest, F.lit(UNKNOWN_FORMAT).alias("reason")).unionByName(broken.select(*rest, reason.alias("reason")))
+    return Ingested(records, rejects, files.where(route == "pdf").select(*rest))
+
+
+def ingest(spark: SparkSession, folder: str, legacy_id_order: bool = False) -> Ingested:
+    """Records, rejects and waiting PDF files of a folder of mixed files."""
+    return ingested(read_files(spark, folder), legacy_id_order)
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """Records of JSON documents, one a line; what can't be read is in _corrupt_record."""
+    """Records of JSON documents, one a line, with the name and path of the file that each is in; what can't be read is in _corrupt_record."""
     schema = T.StructType([*INVOICE.fields, T.StructField("_corrupt_record", T.StringType())])
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+    return rows.withColumns({"source_file": F.col("_metadata.file_name"), "source_path": F.col("_metadata.file_path")})
 
 
 def from_raw_json(raw: Column) -> Column:
@@ -105,8 +186,16 @@ def invoice_text(texts: DataFrame) -> DataFrame:
     )
 
 
+def _extension(source_file: Column) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(source_file, F.lit("")), r"(\.[^.]+)$", 1))
+
+
+def route_of(source_file: Column) -> Column:
+    """xml, pdf (kept for extraction elsewhere) or rejected, by the file's extension."""
+    extension = _extension(source_file)
+    return F.when(extension == ".pdf", "pdf").when(extension.isin(*EXTENSIONS), "xml").otherwise("rejected")
+
+
 def routed(files: DataFrame) -> DataFrame:
-    """files (source_file, and others) with extension (small letters) and route: xml, pdf (kept for extraction elsewhere) or rejected."""
-    extension = F.lower(F.regexp_extract("source_file", r"(\.[^.]+)$", 1))
-    route = F.when(extension == ".pdf", "pdf").when(extension.isin(*EXTENSIONS), "xml").otherwise("rejected")
-    return files.withColumn("extension", extension).withColumn("route", route)
+    """files (source_file, and others) with extension (small letters) and route, by route_of()."""
+    return files.withColumn("extension", _extension(F.col("source_file"))).withColumn("route", route_of(F.col("source_file")))

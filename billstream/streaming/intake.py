@@ -8,54 +8,75 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from billstream.config import POLICY, RULES, Policy, Rule
+from billstream.operators import history
 from billstream.operators.decide import accepted, audit_events, decided, fingerprinted, reviews
 from billstream.operators.learning import top_accounts
 from billstream.operators.matching import bank_matches
 from billstream.operators.parties import delta, of_deltas
 from billstream.schemas import CUSTOMER_PARTY, INVOICE, LEARNED_MAPPINGS, SUPPLIER_PARTY
-from billstream.session import append, stored
+from billstream.session import append, committed, compact, exists, stored
 
 ARRIVING = T.StructType([T.StructField("arrival", T.LongType()), *INVOICE.fields])
-FINGERPRINTS = "fingerprint string"
-
+MAPPINGS = T.StructType([*LEARNED_MAPPINGS.fields, T.StructField("batch", T.LongType())])
+#: Stored deltas are folded into a snapshot before every so many batches.
+COMPACT_EVERY = 50
 
 DELTAS = {party: T.StructType([*fields, T.StructField("batch", T.LongType())]) for party, fields in (("supplier", SUPPLIER_PARTY.fields), ("customer", CUSTOMER_PARTY.fields))}
 
 
-def intake(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int | None = 1, mappings: str | None = None, policy: Policy = POLICY, rules: tuple[Rule, ...] = RULES) -> StreamingQuery:
+def intake(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int | None = 1, mappings: str | None = None, policy: Policy = POLICY, rules: tuple[Rule, ...] = RULES, compact_every: int | None = COMPACT_EVERY) -> StreamingQuery:
     """Decide invoices (JSON lines of ARRIVING) as they come, against all earlier ones.
 
     Each micro-batch is the batch job: its results are appended to
     target/<table> as one batch, which a restart doesn't write again. An
     invoice is a duplicate if its fingerprint was stored by an earlier batch;
-    that is kept for all time, in a table, not in stream state. Accounts are
-    proposed from the stored mappings (a folder of learned() rows, read anew
+    these are kept for all time, in buckets of which a batch reads those it may
+    be in, not in stream state. Accounts are proposed from the stored mappings
+    (a folder of learned() rows, or the batches of approvals.decide(), read anew
     for each batch) before the rules. Suppliers and customers of all invoices,
     duplicates too, are stored as deltas, which parties_of() folds. With
-    files_per_batch None, a batch has all files that are there.
+    files_per_batch None, a batch has all files that are there. Before every
+    compact_every batches, what they stored is folded into snapshots.
     """
     reader = spark.readStream.schema(ARRIVING)
     stream = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).json(source)
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        known = stored(spark, f"{target}/fingerprints", f"{FINGERPRINTS}, batch long").where(F.col("batch") < batch_id)
-        learned = top_accounts(stored(spark, mappings, LEARNED_MAPPINGS)) if mappings else None
-        decisions = decided(batch, known, learned, policy, rules).persist()
+        if compact_every and batch_id and batch_id % compact_every == 0:
+            compact_intake(spark, target, batch_id)
+        arrived = fingerprinted(batch).persist()
+        learned = top_accounts(stored_mappings(spark, mappings)) if mappings else None
+        decisions = decided(arrived, history.known(arrived, target, batch_id), learned, policy, rules).persist()
         try:
             put = lambda df, name: append(df, f"{target}/{name}", batch_id)
             put(decisions.select("arrival", "fingerprint", "status", "risk_score", "proposal"), "decisions")
             put(accepted(decisions), "invoices")
             put(audit_events(decisions), "audit_events")
             put(reviews(decisions), "reviews")
-            put(decisions.where("status <> 'DUPLICATE'").select("fingerprint"), "fingerprints")
+            history.remember(decisions.where("status <> 'DUPLICATE'"), target, batch_id)
             for party in DELTAS:
                 put(delta(decisions, party), f"{party}s")
         finally:
             decisions.unpersist()
+            arrived.unpersist()
 
     return stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stored_mappings(spark: SparkSession, folder: str) -> DataFrame:
+    """The learned mappings in a folder: batches that add up, or plain files; none if there is no such folder."""
+    if committed(spark, folder):
+        return stored(spark, folder, MAPPINGS).groupBy("supplier_name", "account").agg(F.sum("validations").alias("validations"))
+    return spark.read.schema(LEARNED_MAPPINGS).parquet(folder) if exists(spark, folder) else spark.createDataFrame([], LEARNED_MAPPINGS)
+
+
+def compact_intake(spark: SparkSession, target: str, before: int) -> None:
+    """Fold what the batches before a number stored of parties and fingerprints: reading it no longer depends on how many batches there were."""
+    history.compact_history(spark, target, before)
+    for party, schema in DELTAS.items():
+        compact(spark, f"{target}/{party}s", schema, lambda rows, party=party: of_deltas(rows, party).select(*(f.name for f in DELTAS[party].fields if f.name != "batch")), before)
+
+
 def parties_of(spark: SparkSession, target: str, party: str) -> DataFrame:
     """The suppliers, or customers, of all that intake() has taken in."""
     return of_deltas(stored(spark, f"{target}/{party}s", DELTAS[party]), party)

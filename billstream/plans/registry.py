@@ -475,7 +475,7 @@ def invoice_format_tag(spark, sf_dir):
 
 
 def _files(spark, sf_dir) -> DataFrame:
-    """The documents as files of several kinds and encodings: k, content, source_file, source_path. Every seventh can't be decoded, every eleventh is cut off."""
+    """The documents as files of several kinds and encodings: k, content, source_file, source_path. Every seventh can't be decoded, every eleventh is cut off. They are stored, so that no reader makes them anew."""
     k = F.col("k")
     name = F.regexp_replace("xml", "</(cbc:RegistrationName|ram:Name)>", " é</$1>")
     encoding = F.when(k % 7 == 0, "UTF-8").otherwise(F.element_at(F.array(*map(F.lit, ("UTF-8", "ISO-8859-1", "UTF-16", "windows-1252"))), (k % 4 + 1).cast("int")))
@@ -487,7 +487,9 @@ def _files(spark, sf_dir) -> DataFrame:
     rows = rows.withColumn("content", F.when(k % 11 == 0, F.substring("content", F.lit(1), F.length("content") - 6)).otherwise(F.col("content")))
     extension = F.element_at(F.array(*map(F.lit, (".pdf", ".XML", ".ubl", ".Cii", ".txt", ""))), (F.floor(k / 4) % 6 + 1).cast("int"))
     source = F.concat(F.lit("doc"), k.cast("string"), extension)
-    return rows.select("k", "content", source.alias("source_file"), F.concat(F.lit("file:/in/"), source).alias("source_path"))
+    rows, path = rows.select("k", "content", source.alias("source_file"), F.concat(F.lit("file:/in/"), source).alias("source_path")), scratch(spark, "files")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 @query

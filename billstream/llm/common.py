@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,13 +50,29 @@ def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None
 
 
 def limit_batches(df: DataFrame, size: int = BATCH_BYTES) -> DataFrame:
-    """df, for whose Python tasks the session's Arrow batches are limited to about size bytes from now on: for results that the caller runs."""
+    """df, for whose Python tasks the session's Arrow batches are limited to about size bytes from now on: for results that the caller runs. A smaller limit stays; the setting may be written in any of Spark's units."""
     spark = df.sparkSession
-    if int(spark.conf.get(BATCH_SETTING).lower().rstrip("b") or 0) > size:
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_SETTING))
+    if now > size:
         spark.conf.set(BATCH_SETTING, str(size))
     return df
 
 
+def apart(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """stage, for tables whose columns may have any names: those that begin with two underscores, as the stage's own do, have others while it works."""
+
+    @functools.wraps(stage)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        taken = {c.lower() for c in docs.columns}
+        free = (f"other{i}" for i in itertools.count() if f"other{i}" not in taken)
+        names = [next(free) if c.startswith("__") else c for c in docs.columns]
+        if names == docs.columns:
+            return stage(docs, *args, **kwargs)
+        return stage(docs.toDF(*names), *args, **kwargs).select(*names).toDF(*docs.columns)
+
+    return run
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: what follows no longer depends on its lineage."""
     path = scratch(df.sparkSession, name)

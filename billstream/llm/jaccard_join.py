@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Temporary, staged
+from .common import Temporary, apart, staged
 from .components import components
 from .shingles import set_key, shingle_sets
 
@@ -400,6 +400,7 @@ def _sets_of(temporary: Temporary, texts: DataFrame, nodes: DataFrame) -> DataFr
     return temporary.staged(texts.mapInArrow(_sets(marked), "node long, set binary"), "sets")
 
 
+@apart
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one document of each component: that of the smallest doc_id (all its rows, if the id is repeated). Rows without an id stay, and documents without shingles. Columns as they were. No rows: an empty result."""
     of = jaccard_components(docs).where("doc_id is not null and n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()

@@ -20,10 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Recent, fold, limit_batches
+from .common import Recent, apart, fold, limit_batches
 
 PROFILE_SIZE = 2000
-#: About so many rows of a language are learned from, chosen by a hash of their id; all of a language that has no more.
+#: About so many different rows of a language are learned from, chosen by a hash of their id and text; all of a language that has no more.
 FIT_ROWS = 5000
 DOCUMENT_SIZE = 1000
 ORDERS = (1, 2, 3)
@@ -82,11 +82,13 @@ class Profiles:
 
     @staticmethod
     def learned(docs: DataFrame, size: int = PROFILE_SIZE, held: int = 300_000, fit_rows: int = FIT_ROWS) -> Profiles:
-        """From the columns text and lang of about fit_rows rows a language where neither is null, whole texts. What comes to the driver is size n-grams a language."""
-        usable = docs.where("text is not null and lang is not null").select("doc_id", "lang", "text")
-        share = usable.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(fit_rows)) / F.count("*")).alias("share"))
-        place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-        counts = usable.join(F.broadcast(share), "lang").where(place < F.col("share")).select("lang", "text").mapInPandas(_counted(held), "lang string, ngram string, n long").groupBy("lang", "ngram").agg(F.sum("n").alias("n"))
+        """From the columns text and lang of about fit_rows rows a language where neither is null, whole texts. Rows are chosen by a hash of id and text, repeated ones count once, and every language has one at least. What comes to the driver is size n-grams a language."""
+        place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+        usable = docs.where("text is not null and lang is not null").select("doc_id", "lang", "text", place.alias("place"))
+        # The first row always counts, so no language is without any.
+        share = usable.groupBy("lang").agg(F.greatest(F.lit(float(fit_rows)) / F.approx_count_distinct("place"), F.min("place")).alias("share"))
+        chosen = usable.join(F.broadcast(share), "lang").where("place <= share").select("doc_id", "lang", "text").distinct()
+        counts = chosen.select("lang", "text").mapInPandas(_counted(held), "lang string, ngram string, n long").groupBy("lang", "ngram").agg(F.sum("n").alias("n"))
         place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "ngram"))
         top = counts.withColumn("place", place).where(F.col("place") <= size).collect()
         languages = sorted({r.lang for r in top})
@@ -154,6 +156,7 @@ def language_ids(docs: DataFrame) -> DataFrame:
     return limit_batches(docs.select("doc_id", (fold(docs, divisor=4) == 2).alias("held_out"), judged(F.col("text"), profiles).alias("r")).select("doc_id", "held_out", "r.lang_pred", "r.score"))
 
 
+@apart
 def identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
     """docs without the rows of undetermined language or of a confidence below least; columns as they were."""
     profiles = Profiles.learned(docs.where(fold(docs, divisor=4) != 2))

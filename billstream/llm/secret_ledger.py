@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Temporary, exists, limit_batches, scratch, small_batches, staged
+from .common import Temporary, apart, exists, limit_batches, scratch, small_batches, staged
 
 #: Kind, pattern, group whose length counts, least length. The first three kinds are the base.
 BASE_KINDS = (
@@ -169,6 +169,7 @@ def secret_spans(docs: DataFrame, ledger: str | None = None, arrivals: int = ARR
     return findings(docs, ledger)
 
 
+@apart
 def redacted(docs: DataFrame, ledger: str | None = None, mark: str = "[secret]") -> DataFrame:
     """docs with every span replaced by mark, overlapping spans by one, and n_chars, if there, counted anew. All rows and columns stay; texts without findings are unchanged."""
     ledger = ledger or scratch(docs.sparkSession, "secret_ledger")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import apart, staged
 
 LEAF = ["domain", "lang", "source"]
 #: Weights among siblings; 1 where none is given.
@@ -109,6 +109,7 @@ def mixed(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, seed: int
     return taken.unionByName(inside).unionByName(last)
 
 
+@apart
 def chosen(docs: DataFrame, share: float = SHARE, seed: int = SEED) -> DataFrame:
     """The rows of docs whose id one epoch takes; columns as they were."""
     ids = mixed(docs, share, 1, seed).select(F.col("doc_id").alias("__id")).distinct()

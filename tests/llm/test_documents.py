@@ -64,6 +64,22 @@ def rows_of(df):
 # 10 and 1: tokenizers
 
 
+@pytest.mark.parametrize("same", [None, 1003, 1004, 1007, 1008])
+def test_languages_under_one_id_are_learned(spark, same):
+    """All rows of a language share an id, or have none; a language of one text, repeated, and one of a single row are learned too."""
+    r = random.Random(8)
+    words = {"de": "der die und straße über haus wasser nicht größe".split(), "en": "the of and to house water under light green river".split()}
+    text = lambda la: " ".join(r.choice(words[la]) for _ in range(30))
+    rows = [(same, text("de"), "de") for _ in range(400)] + [(i, text("en"), "en") for i in range(400)] + [(i, "kala vesi talo yö", "fi") for i in range(2000, 2300)] + [(3001, "ola agua casa noche", "es"), (3002, "ola agua casa noche", "es")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    found = language_profiles.Profiles.learned(docs, fit_rows=50)
+    assert found.languages == ["de", "en", "es", "fi"]
+    judge = found.judge()
+    assert [judge(t)[0] for t in (text("de"), text("en"), "ola agua casa noche", "kala vesi talo yö")] == ["de", "en", "es", "fi"]
+    if zlib.crc32(b"" if same is None else str(same).encode()) % 4 != 2:  # else no row of de is learned from
+        assert {(x.doc_id, x.lang_pred) for x in language_ids(docs).where(F.col("doc_id").eqNullSafe(F.lit(same)) | (F.col("doc_id") < 400)).collect()} == {(same, "de"), *((i, "en") for i in range(400))}
+
+
 def test_bpe_equals_the_library(docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)

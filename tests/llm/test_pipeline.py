@@ -6,10 +6,13 @@ import hashlib
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pytest
 from test_documents import awkward, brute_components, brute_spans
 from tokenizers import Tokenizer
 
 from billstream.llm import secret_ledger
+from billstream.llm.bpe_automaton import bpe_digests
+from billstream.llm.common import BATCH_BYTES, BATCH_SETTING
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -81,3 +84,31 @@ def test_stages(spark):
             break
         assert out.columns == docs.columns
         docs = spark.createDataFrame(after, docs.schema)
+
+
+def test_stages_on_clashing_names(spark):
+    """Columns named as the stages' own pass through, whatever their kind."""
+    names = ["__language", "__blob", "__spans", "__maybe", "__bucket", "__bits", "__place", "__id", "other0", "share", "place", "of"]
+    schema = SCHEMA + "".join(f", `{n}` {'array<int>' if i % 2 else 'string'}" for i, n in enumerate(names))
+    rows = [(i, t, la, s, len(t or ""), *([i or 0] if k % 2 else f"{n}{i}" for k, n in enumerate(names))) for i, t, la, s in awkward()]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in corpus_pipeline.STAGES:
+        out, want = stage(spark, docs, SF), stage(spark, plain, SF)
+        if name == "BPE":
+            assert rows_of(out) == rows_of(want)
+            continue
+        assert out.columns == docs.columns and rows_of(out.select(*plain.columns)) == rows_of(want)
+        assert all(r["__id"] == [r.doc_id or 0] and r["__language"] == f"__language{r.doc_id}" and r.other0 == f"other0{r.doc_id}" for r in out.collect())
+
+
+@pytest.mark.parametrize("size", ["64m", "64MB", "1g", "268435456", "1k"])
+def test_batch_limit_in_any_unit(spark, size):
+    before = spark.conf.get(BATCH_SETTING)
+    try:
+        spark.conf.set(BATCH_SETTING, size)
+        docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+        assert bpe_digests(docs, public_tokenizers.path(corpus_pipeline.VOCABULARY)).count() == 1
+        assert spark.conf.get(BATCH_SETTING) == ("1k" if size == "1k" else str(BATCH_BYTES))
+    finally:
+        spark.conf.set(BATCH_SETTING, before)

@@ -6,16 +6,18 @@ built from the merges, in their order, by one merge gadget each. For a merge of
 ``a b`` into ``c`` the gadget
 
 * copies the state that ``a`` leads to, without the arc ``b``, and lets ``a``
-  lead to the copy (so ``a b`` can't be read any more);
+  lead to the copy (so ``a b`` can't be read any more); where no other token
+  leads to that state, it is changed in place;
 * adds an arc ``c`` beside every arc ``a``, leading to where ``a b`` led.
 
-All arcs of one token lead to the same state, so a state is named by that token
-and, for states that later copies grew from, the number of merges made so far.
-Written out, the arcs would be a matrix of states by tokens. As a copy differs
-from its original by one arc, we keep the removed arc only and look the rest up
-in the original: ``cuts[a][b]`` is the number of the merge that removed ``b``
-behind ``a``; behind ``c`` holds what held behind ``b`` when ``c`` was made; and
-an arc ``c`` is missing wherever ``a`` was missing when ``c`` was made.
+All arcs of one token lead to the same state, so the table of transitions is a
+bit for each state and token, and a state for each token. It is compiled once,
+in the driver, and goes to the tasks with equal states and tokens with equal
+columns sharing theirs: some 20 MB for 50,000 merges, whatever the data.
+
+A word is encoded from left to right. As every beginning of a word has one path
+too, each place gets one token: of the arcs behind the places before it, the
+only one that the table has. Reading these back from the end gives the path.
 """
 
 from __future__ import annotations
@@ -24,12 +26,14 @@ import hashlib
 import json
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,7 +41,6 @@ from .common import Recent, limit_batches
 
 #: The pre-split of byte-level BPE.
 PRE_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LATE = 1 << 60
 RESULT = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
 DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
@@ -49,119 +52,129 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class TokenAutomaton:
-    """labels: the bytes of each token id; merges: (left id, right id, merged id) by priority."""
+@dataclass
+class Table:
+    """bits: a row of bits for each different state; row: that of the state behind each token, -1 if no path has the token; column: the bit of each token. Row 0 is the start's."""
+
+    bits: np.ndarray
+    row: np.ndarray
+    column: np.ndarray
+
+    @staticmethod
+    def compiled(labels: list[bytes], merges: list[tuple[int, int, int]]) -> Table:
+        """labels: the bytes of each token id; merges: (left id, right id, merged id) by priority."""
+        bits, to, users = np.zeros((1024, -(-len(labels) // 8)), np.uint8), [-1] * len(labels), [1]  # the start itself uses state 0
+        for t in range(len(labels)):
+            if len(labels[t]) == 1:
+                bits[0, t >> 3] |= 1 << (t & 7)
+                to[t] = 0
+                users[0] += 1
+        for a, b, c in merges:
+            state = to[a]
+            if to[c] >= 0 or state < 0 or not bits[state, b >> 3] >> (b & 7) & 1:
+                continue  # a merge that can't happen any more, or whose token exists
+            to[c] = to[b]
+            users[to[b]] += 1
+            if users[state] > 1:
+                if len(users) == len(bits):
+                    bits = np.concatenate([bits, np.zeros_like(bits)])
+                bits[len(users)] = bits[state]
+                users[state] -= 1
+                state = to[a] = len(users)
+                users.append(1)
+            bits[state, b >> 3] &= 255 ^ (1 << (b & 7))
+            beside = bits[: len(users), a >> 3] >> (a & 7) & 1
+            bits[: len(users), c >> 3] |= beside << (c & 7)
+        # States with the same arcs share a row, tokens with the same bits in all rows a column.
+        rows: dict[bytes, int] = {bits[0].tobytes(): 0}
+        row = np.array([rows.setdefault(bits[s].tobytes(), len(rows)) if s >= 0 else -1 for s in to], np.int32)
+        bits = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+        columns: dict[bytes, int] = {}
+        column = np.array([columns.setdefault(c.tobytes(), len(columns)) for c in _turned(bits)][: len(labels)], np.int32)
+        columns_ = np.frombuffer(b"".join(columns), np.uint8).reshape(len(columns), -1)
+        return Table(np.stack(list(_turned(columns_))[: len(rows)]), row, column)
+
+
+def _turned(bits: np.ndarray, block: int = 128) -> Iterator[np.ndarray]:
+    """The columns of a matrix of bits as rows, block bytes of columns at a time."""
+    for first in range(0, bits.shape[1], block):
+        yield from np.packbits(np.unpackbits(bits[:, first : first + block], axis=1, bitorder="little").T, axis=1, bitorder="little")
 
-    def __init__(self, labels: list[bytes], merges: list[tuple[int, int, int]]):
-        self.labels = labels
-        self.head, self.tail, self.made = {}, {}, {}
-        self.cuts: dict[int, dict[int, int]] = {}
-        self.first_byte_ids = {labels[i]: i for i in range(len(labels)) if len(labels[i]) == 1}
-        for k, merge in enumerate(merges):
-            self._gadget(k, *merge)
-        self._spell()
-        self.table: dict[int, bool] = {}
-
-    def _gadget(self, k: int, a: int, b: int, c: int) -> None:
-        if c in self.made or not self.arc(a, b):
-            return  # a merge that can't happen any more, or whose token exists
-        self.cuts.setdefault(a, {})[b] = k
-        self.head[c], self.tail[c], self.made[c] = a, b, k
-
-    def arc(self, a: int, b: int) -> bool:
-        """Whether the state behind token a has an arc b."""
-        before, x = LATE, a
-        while x is not None:
-            if cut := self.cuts.get(x):
-                y, until = b, LATE
-                while y is not None:
-                    k = cut.get(y)
-                    if k is not None and k <= until and k < before:  # k = until: a merge of a token with itself
-                        return False
-                    until, y = self.made.get(y, -1), self.head.get(y)
-            before, x = self.made.get(x, -1), self.tail.get(x)
-        return True
-
-    def _spell(self) -> None:
-        """The bytes of the arc labels as a tree: at each node byte -> (node below, its token or -1); of each token its longest proper prefix that is a token."""
+
+class TokenAutomaton:
+    """Encodes words by a compiled table. labels: the bytes of each token id."""
+
+    def __init__(self, labels: list[bytes], table: Table):
+        rows = [r.tobytes() for r in table.bits]
+        self.start, self.behind = rows[0], [rows[r] for r in table.row.tolist()]
+        #: For each token the byte of its bit in a row, and the bit.
+        self.byte, self.bit = (table.column >> 3).tolist(), (1 << (table.column & 7)).tolist()
+        # The labels as a tree: at each node byte -> (node below, its token or -1).
         leaf: dict = {}
         self.root: dict[int, tuple[dict, int]] = {}
-        self.shorter: dict[int, int] = {}
-        for t in sorted([*self.made, *self.first_byte_ids.values()], key=lambda t: len(self.labels[t])):
-            node, best, label = self.root, -1, self.labels[t]
-            for i, byte in enumerate(label[:-1]):
+        for t in sorted(np.flatnonzero(table.row >= 0).tolist(), key=lambda t: len(labels[t])):
+            node, label = self.root, labels[t]
+            for byte in label[:-1]:
                 below, token = node.get(byte, (leaf, -1))
                 if below is leaf:
                     below = {}
                     node[byte] = (below, token)
-                if token >= 0:
-                    best = token
                 node = below
             node[label[-1]] = (node.get(label[-1], (leaf, -1))[0], t)
-            self.shorter[t] = best
-
-    def longest(self, word: bytes, at: int) -> int:
-        node, best = self.root, -1
-        for byte in word[at:]:
-            found = node.get(byte)
-            if found is None:
-                break
-            node, token = found
-            if token >= 0:
-                best = token
-        return best
+        self.labels = labels
 
     def encode(self, word: bytes) -> list[int]:
-        """The labels on the path that spells the word. A place that turns out not to lie on the path is not tried again, so a word takes time in proportion to its length."""
-        path: list[int] = []
-        at, end, labels, table = 0, len(word), self.labels, self.table
-        dead: set[int] = set()
-        token = self.longest(word, 0) if word else -1
-        while at < end:
-            stop = at + len(labels[token])
-            if stop not in dead:
-                if not path:
-                    fits = True
-                else:
-                    key = path[-1] << 32 | token
-                    fits = table.get(key)
-                    if fits is None:
-                        if len(table) > 500_000:
-                            table.clear()
-                        fits = table[key] = self.arc(path[-1], token)
-                if fits:
-                    path.append(token)
-                    at = stop
-                    if at < end:
-                        token = self.longest(word, at)
-                    continue
-            token = self.shorter[token]
-            while token < 0:
-                dead.add(at)
-                token = path.pop()
-                at -= len(labels[token])
-                token = self.shorter[token]
-        return path
-
-
-class ByteBpe:
-    """A byte-level BPE vocabulary file: pre-split, special tokens, automaton."""
-
-    def __init__(self, path: str, cached: int = 150_000):
+        """The labels on the path that spells the word: a step of the table for each token at each place."""
+        byte, bit, behind, root, n = self.byte, self.bit, self.behind, self.root, len(word)
+        last = [-1] * (n + 1)  # the token that ends at each place
+        row = self.start
+        for at in range(n):
+            if at:
+                row = behind[last[at]]
+            node, place = root, at
+            while node and place < n:
+                found = node.get(word[place])
+                if found is None:
+                    break
+                place += 1
+                node, token = found
+                if token >= 0 and row[byte[token]] & bit[token]:
+                    last[place] = token
+        path = []
+        while n:
+            path.append(last[n])
+            n -= len(self.labels[last[n]])
+        return path[::-1]
+
+
+@dataclass
+class Vocabulary:
+    """A vocabulary file: the bytes of each token, special tokens, the compiled table."""
+
+    labels: list[bytes]
+    special: dict[str, int]
+    table: Table
+
+    @staticmethod
+    def read(path: str) -> Vocabulary:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, to_byte = spec["model"]["vocab"], byte_symbols()
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        size = max([*vocab.values(), *self.special.values()]) + 1
-        labels = [b""] * size
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        labels = [b""] * (max([*vocab.values(), *special.values()]) + 1)
         for s, i in vocab.items():
             labels[i] = bytes(to_byte[c] for c in s)
-        merges = []
-        for m in spec["model"]["merges"]:
-            a, b = m if isinstance(m, list) else m.split(" ")
-            merges.append((vocab[a], vocab[b], vocab[a + b]))
-        self.automaton = TokenAutomaton(labels, merges)
-        self.labels = list(labels)
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        return Vocabulary(labels, special, Table.compiled(labels, [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]))
+
+
+class ByteBpe:
+    """A byte-level BPE vocabulary: pre-split, special tokens, automaton."""
+
+    def __init__(self, vocabulary: Vocabulary, cached: int = 150_000):
+        self.special = vocabulary.special
+        self.automaton = TokenAutomaton(vocabulary.labels, vocabulary.table)
+        self.labels = list(vocabulary.labels)
         for s, i in self.special.items():
             self.labels[i] = s.encode()
         self.pre_split = regex.compile(PRE_SPLIT)
@@ -192,22 +205,35 @@ class ByteBpe:
         return b"".join(map(self.labels.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_LOADED: dict[str, ByteBpe] = {}
+#: Compiled vocabularies by application and path: in the driver as sent, in a worker process as read.
+_SENT: dict[tuple[str, str], Broadcast] = {}
+_LOADED: dict[tuple[str, str], ByteBpe] = {}
 
 
-def loaded(path: str) -> ByteBpe:
-    """One compiled vocabulary a worker process."""
-    if path not in _LOADED:
-        _LOADED[path] = ByteBpe(path)
-    return _LOADED[path]
+def sent(path: str) -> Callable[[], ByteBpe]:
+    """What gives a task the vocabulary. It is compiled once an application and goes to all tasks: its size is that of the file and the table, whatever the data."""
+    context = SparkSession.active().sparkContext
+    key = (context.applicationId, path)
+    if key not in _SENT:
+        _SENT[key] = context.broadcast(Vocabulary.read(path))
+    vocabulary = _SENT[key]
+
+    def loaded() -> ByteBpe:
+        if key not in _LOADED:
+            _LOADED[key] = ByteBpe(vocabulary.value)
+        return _LOADED[key]
+
+    return loaded
 
 
 def encoded(text: Column, vocabulary: str) -> Column:
     """struct(n_tokens, ids, decoded) of each text. Null and empty texts have no ids and decode to ''; texts of any length are taken whole."""
 
+    loaded = sent(vocabulary)
+
     @F.pandas_udf(RESULT)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        bpe = loaded(vocabulary)
+        bpe = loaded()
         for batch in batches:
             ids = [bpe.encode(t) for t in batch]
             yield pd.DataFrame({"n_tokens": [len(x) // 4 for x in ids], "ids": ids, "decoded": [bpe.decode(x) for x in ids]})
@@ -218,9 +244,11 @@ def encoded(text: Column, vocabulary: str) -> Column:
 def digests(text: Column, vocabulary: str) -> Column:
     """struct(n_tokens, ids_sha256, decoded_sha256): as encoded(), but only digests leave the worker."""
 
+    loaded = sent(vocabulary)
+
     @F.pandas_udf(DIGESTS)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        bpe = loaded(vocabulary)
+        bpe = loaded()
         for batch in batches:
             ids = [bpe.encode(t) for t in batch]
             yield pd.DataFrame({"n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids], "decoded_sha256": [hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids]})

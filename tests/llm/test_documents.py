@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from billstream.llm import bit_planes, language_profiles, secret_ledger, shingles, source_budgets, token_rollups
-from billstream.llm.bpe_automaton import ByteBpe, bpe_digests, encoded
+from billstream.llm.bpe_automaton import ByteBpe, Table, TokenAutomaton, bpe_digests, encoded
+from billstream.llm.bpe_automaton import Vocabulary as ByteVocabulary
 from billstream.llm.components import components
 from billstream.llm.jaccard_join import jaccard_components, jaccard_link_counts, jaccard_pairs, one_of_each
 from billstream.llm.language_profiles import identified, language_ids
@@ -64,6 +65,39 @@ def rows_of(df):
 # 10 and 1: tokenizers
 
 
+def test_table_has_one_path_for_each_word():
+    """Small vocabularies, all words: of all ways to spell a word, the table lets through the one that merging by priority gives."""
+    r = random.Random(7)
+    for _ in range(30):
+        labels, merges, seen = [b"a", b"b", b"c"], [], set()
+        while len(merges) < r.randint(1, 12):
+            a, b = r.randrange(len(labels)), r.randrange(len(labels))
+            if labels[a] + labels[b] not in {*labels, *seen}:
+                merges.append((a, b, len(labels)))
+                labels.append(labels[a] + labels[b])
+        table = Table.compiled(labels, merges)
+        mine = TokenAutomaton(labels, table)
+        bit = lambda row, t: table.bits[row, table.column[t] >> 3] >> (table.column[t] & 7) & 1
+
+        def spellings(word, row=0):
+            if not word:
+                yield []
+            for t, label in enumerate(labels):
+                if word.startswith(label) and bit(row, t):
+                    yield from ([t, *rest] for rest in spellings(word[len(label) :], table.row[t]))
+
+        for n in range(7):
+            for word in map(bytes, itertools.product(b"abc", repeat=n)):
+                tokens = [labels.index(bytes([x])) for x in word]
+                for a, b, c in merges:
+                    i = 0
+                    while i + 1 < len(tokens):
+                        if tokens[i : i + 2] == [a, b]:
+                            tokens[i : i + 2] = [c]
+                        i += 1
+                assert list(spellings(word)) == [tokens] and mine.encode(word) == tokens
+
+
 @pytest.mark.parametrize("same", [None, 1003, 1004, 1007, 1008])
 def test_languages_under_one_id_are_learned(spark, same):
     """All rows of a language share an id, or have none; a language of one text, repeated, and one of a single row are learned too."""
@@ -94,7 +128,7 @@ def test_bpe_equals_the_library(docs, empty):
 
 def test_bpe_on_random_text():
     path = public_tokenizers.path("byte_bpe_50k.json")
-    lib, mine, r = Tokenizer.from_file(path), ByteBpe(path, cached=50), random.Random(1)
+    lib, mine, r = Tokenizer.from_file(path), ByteBpe(ByteVocabulary.read(path), cached=50), random.Random(1)
     alphabet = "aaeehtino rst  \n\t'sltdvm.,;!|=#*$\x1c\x85\xa0é 中😀ſK01²\x00"
     for n in range(3000):
         x = "".join(r.choice(alphabet) for _ in range(r.randint(0, 40))) + ("<|endoftext|> " if n % 50 == 0 else "")

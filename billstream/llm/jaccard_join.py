@@ -26,6 +26,7 @@ larger tables they get less selective, which costs time but no link.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Temporary, apart, staged
+from .common import Temporary, apart, small_batches, staged
 from .components import components
 from .shingles import set_key, shingle_sets
 
@@ -68,15 +69,18 @@ def _slices(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def _gathered(slices: DataFrame, merged, size: int) -> np.ndarray:
-    """One array of size bytes from the tasks' slices, each merged in one task from a piece a task; what comes back has a fixed size."""
+    """One array of size bytes from the tasks' slices. A slice's pieces, one a task, stream through the task that merges them, which holds one of them at a time; what comes back has a fixed size."""
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        whole = merged(zstandard.decompress(c) for c in pdf["counts"])
-        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "counts": [zstandard.compress(whole.astype(np.uint8).tobytes(), 3)]})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = (x for batch in batches for x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+        for k, own in itertools.groupby(pieces, key=lambda x: x[0]):
+            whole = merged(zstandard.decompress(c.as_py()) for _, c in own)
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([zstandard.compress(whole.astype(np.uint8).tobytes(), 3)], pa.binary())], names=["slice", "counts"])
 
     out = np.zeros(size, np.uint8)
-    for r in slices.groupBy("slice").applyInPandas(add, "slice int, counts binary").collect():
-        out[r.slice * SLICE : (r.slice + 1) * SLICE] = np.frombuffer(zstandard.decompress(r.counts), np.uint8)
+    with small_batches(slices.sparkSession):
+        for r in slices.repartition("slice").sortWithinPartitions("slice").mapInArrow(add, "slice int, counts binary").collect():
+            out[r.slice * SLICE : (r.slice + 1) * SLICE] = np.frombuffer(zstandard.decompress(r.counts), np.uint8)
     return out
 
 

@@ -630,3 +630,18 @@ def test_shingles_of_pieces(monkeypatch):
     whole = [h.tobytes() for h in shingles.shingle_sets(pa.array(texts, pa.string()))]
     monkeypatch.setattr(shingles, "PIECE", 40)
     assert [h.tobytes() for h in shingles.shingle_sets(pa.array(texts, pa.string()))] == whole
+
+
+def test_sketch_of_very_many_tasks(spark, monkeypatch):
+    """Pieces of thousands of tasks are merged one after the other."""
+    from billstream.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "SLOTS", 4 * jaccard_join.SLICE)
+    counts = np.random.default_rng(3).integers(0, 3, (40, jaccard_join.SLICE), np.uint8)
+    packed = [bytearray(jaccard_join.zstandard.compress(c.tobytes(), 1)) for c in counts]
+    rows = spark.createDataFrame([(k % 3, packed[k % 40]) for k in range(3000)], "slice int, counts binary").repartition(7)
+    total = np.zeros((4, jaccard_join.SLICE), np.int64)
+    for k in range(3000):
+        total[k % 3] += counts[k % 40]
+    got = jaccard_join.sketch(rows, (900, 1000, 1100)).reshape(4, -1)
+    assert (got == (total >= 900).astype(int) + (total >= 1000) + (total >= 1100)).all() and not got[3].any()

@@ -15,9 +15,10 @@ bit for each state and token, and a state for each token. It is compiled once,
 in the driver, and goes to the tasks with equal states and tokens with equal
 columns sharing theirs: some 20 MB for 50,000 merges, whatever the data.
 
-A word is encoded from left to right. As every beginning of a word has one path
-too, each place gets one token: of the arcs behind the places before it, the
-only one that the table has. Reading these back from the end gives the path.
+Every beginning of a word has one path too. So one token ends at each place: of
+those that spell the bytes before it, the only one for which the table has an
+arc from the state at the token's own beginning. These are looked up from the
+word's end, place by place, as far as they are needed.
 """
 
 from __future__ import annotations
@@ -109,11 +110,11 @@ class TokenAutomaton:
         self.start, self.behind = rows[0], [rows[r] for r in table.row.tolist()]
         #: For each token the byte of its bit in a row, and the bit.
         self.byte, self.bit = (table.column >> 3).tolist(), (1 << (table.column & 7)).tolist()
-        # The labels as a tree: at each node byte -> (node below, its token or -1).
+        # The labels, read from their ends, as a tree: at each node byte -> (node below, its token or -1).
         leaf: dict = {}
         self.root: dict[int, tuple[dict, int]] = {}
         for t in sorted(np.flatnonzero(table.row >= 0).tolist(), key=lambda t: len(labels[t])):
-            node, label = self.root, labels[t]
+            node, label = self.root, labels[t][::-1]
             for byte in label[:-1]:
                 below, token = node.get(byte, (leaf, -1))
                 if below is leaf:
@@ -121,29 +122,45 @@ class TokenAutomaton:
                     node[byte] = (below, token)
                 node = below
             node[label[-1]] = (node.get(label[-1], (leaf, -1))[0], t)
-        self.labels = labels
+        self.size = list(map(len, labels))
 
     def encode(self, word: bytes) -> list[int]:
-        """The labels on the path that spells the word: a step of the table for each token at each place."""
-        byte, bit, behind, root, n = self.byte, self.bit, self.behind, self.root, len(word)
-        last = [-1] * (n + 1)  # the token that ends at each place
-        row = self.start
-        for at in range(n):
-            if at:
-                row = behind[last[at]]
-            node, place = root, at
-            while node and place < n:
-                found = node.get(word[place])
-                if found is None:
+        """The labels on the path that spells the word. The token that ends at a place is the one with an arc in the table from the state at its beginning, of which there is one; places that the word's last token doesn't depend on are left out."""
+        byte, bit, behind, size, root = self.byte, self.bit, self.behind, self.size, self.root
+        n = len(word)
+        state, last, tokens = [None] * (n + 1), [0] * (n + 1), [None] * (n + 1)
+        state[0] = self.start
+        todo, at = [], n
+        while state[n] is None:
+            some = tokens[at]
+            if some is None:  # the tokens that end here, the longest last
+                some, node, begin = [], root, at
+                while begin:
+                    begin -= 1
+                    step = node.get(word[begin])
+                    if step is None:
+                        break
+                    node, token = step
+                    if token >= 0:
+                        some.append(token)
+                tokens[at] = some
+            while True:
+                token = some[-1]
+                row = state[at - size[token]]
+                if row is None:
+                    todo.append(at)
+                    at -= size[token]
                     break
-                place += 1
-                node, token = found
-                if token >= 0 and row[byte[token]] & bit[token]:
-                    last[place] = token
+                if row[byte[token]] & bit[token]:
+                    last[at], state[at] = token, behind[token]
+                    if todo:
+                        at = todo.pop()
+                    break
+                some.pop()
         path = []
         while n:
             path.append(last[n])
-            n -= len(self.labels[last[n]])
+            n -= size[last[n]]
         return path[::-1]
 
 

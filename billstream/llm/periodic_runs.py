@@ -19,6 +19,7 @@ can only make stretches longer.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,62 +41,70 @@ class Tree:
     """The suffix tree of a list of numbers that ends in one found nowhere else: Euler tour of depths, the tour's place of each suffix, and the suffixes in order."""
 
     def __init__(self, s: list[int]):
-        n = len(s)
-        start, end, link, below = [0], [0], [0], [{}]
+        n, width = len(s), max(s) + 2
+        # Arcs by node and first number (from -1) in one map; nodes' other properties are numbers in arrays.
+        start, end, link, arcs = array("i", [0]), array("i", [0]), array("i", [0]), {}
         node = edge = length = rest = 0
         for i, c in enumerate(s):
             rest, unlinked = rest + 1, 0
             while rest:
                 if not length:
                     edge = i
-                child = below[node].get(s[edge])
-                if child is None:
-                    below[node][s[edge]] = len(start)
+                key = node * width + s[edge]
+                child = arcs.get(key, 0)
+                if not child:
+                    arcs[key] = len(start)
                     at = node
                 else:
-                    size = end[child] - start[child]
+                    first = start[child]
+                    size = end[child] - first
                     if length >= size:
                         node, edge, length = child, edge + size, length - size
                         continue
-                    if s[start[child] + length] == c:
+                    if s[first + length] == c:
                         length += 1
                         if unlinked:
                             link[unlinked] = node
                         break
                     at = len(start)
-                    below[node][s[edge]] = at
-                    start.append(start[child])
-                    end.append(start[child] + length)
+                    arcs[key] = at
+                    start.append(first)
+                    end.append(first + length)
                     link.append(0)
-                    start[child] += length
-                    below.append({s[start[child]]: child, c: at + 1})
+                    start[child] = first + length
+                    arcs[at * width + s[first + length]] = child
+                    arcs[at * width + c] = at + 1
                 start.append(i)
                 end.append(n)
                 link.append(0)
-                below.append(None)
                 if unlinked:
                     link[unlinked] = at
-                unlinked = at if child is not None else 0
+                unlinked = at if child else 0
                 rest -= 1
                 if node:
                     node = link[node]
                 elif length:
                     length, edge = length - 1, i - rest + 1
-        tour, place, order, stack = [], [0] * n, [], [(0, 0)]
+        # Arcs in the order of node and number, which is that of the tour.
+        keys, below = (np.fromiter(x, np.int64, len(arcs)) for x in (arcs.keys(), arcs.values()))
+        arcs.clear()
+        order = np.argsort(keys)
+        bounds = array("i", np.searchsorted((keys[order] + 1) // width, np.arange(len(start) + 1)).astype(np.int32).tobytes())
+        below = array("i", below[order].astype(np.int32).tobytes())
+        tour, place, suffixes, stack = array("i"), array("i", bytes(4 * n)), array("i"), [(0, 0)]
         while stack:
             v, depth = stack.pop()
-            if v < 0:  # back in the node of this depth
-                tour.append(depth)
-            elif below[v] is None:
-                place[n - depth] = len(tour)
-                order.append(n - depth)
-                tour.append(depth)
-            else:
-                tour.append(depth)
-                for _, child in sorted(below[v].items(), reverse=True):
+            if v >= 0:  # else back in the node of this depth
+                first, last = bounds[v], bounds[v + 1]
+                if first == last:
+                    place[n - depth] = len(tour)
+                    suffixes.append(n - depth)
+                for k in range(last - 1, first - 1, -1):
+                    child = below[k]
                     stack.append((-1, depth))
                     stack.append((child, depth + end[child] - start[child]))
-        self.tour, self.place, self.order = np.array(tour, np.int32), np.array(place, np.int64), order
+            tour.append(depth)
+        self.tour, self.place, self.order = np.array(tour, np.int32), np.array(place, np.int64), np.array(suffixes, np.int64)
 
     def extensions(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """How many numbers are the same from a[k] and from b[k] on. Ranges are answered by size, so that one level of the table of minima is held at a time."""
@@ -124,9 +133,9 @@ def runs_of(symbols: list[int], least: int = LEAST, periods: int = PERIODS) -> l
     """(start, length, period) of the runs of a list of numbers from 0 that have that many elements and periods (two or more), in order."""
     n = len(symbols)
     forward, backward = Tree([*symbols, -1]), Tree([*symbols[::-1], -1])
-    rank = [0] * (n + 1)
-    for r, i in enumerate(forward.order):
-        rank[i] = r
+    rank = np.empty(n + 1, np.int64)
+    rank[forward.order] = np.arange(n + 1)
+    rank = rank.tolist()
     found: set[tuple[int, int, int]] = set()
     for larger in (False, True):
         j = _next(rank, larger)[:n]

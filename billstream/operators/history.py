@@ -12,11 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billstream.session import append, compact, stored
+from billstream.session import append, committed, compact, stored
 
 #: Hexadecimal digits: 256 buckets.
 BUCKET_DIGITS = 2
-#: Bits of the filter: 16 MB at most. Good for some 10^7 fingerprints a bit of share; more are right too, but read more.
+#: Bits of the filter: 16 MB at most. With 10^7 fingerprints, one new invoice of 14 is looked up in vain; with many more, most are.
 FILTER_BITS = 1 << 27
 FINGERPRINTS = "fingerprint string, bucket string, batch long"
 FILTERS = "piece long, bits binary, batch long"
@@ -56,6 +56,8 @@ def in_buckets(spark: SparkSession, folder: str, before: int, buckets: list[str]
 
 def known(rows: DataFrame, folder: str, before: int) -> DataFrame:
     """fingerprint of those rows that an earlier batch has."""
+    if not any(int(b) < before for b in committed(rows.sparkSession, f"{folder}/fingerprint_filter")):
+        return rows.sparkSession.createDataFrame([], "fingerprint string")
     maybe = maybe_known(rows, folder, before)
     buckets = [r.bucket for r in maybe.select("bucket").distinct().collect()]  # 256 at most
     return in_buckets(rows.sparkSession, folder, before, buckets).join(maybe.select("fingerprint"), "fingerprint", "left_semi")

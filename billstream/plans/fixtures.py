@@ -83,6 +83,13 @@ select arrival + n * 100000000 as arrival, k, supplier_name, supplier_siren, sup
 from fx_invoice0 lateral view explode(if(k % 17 = 0, array(0, 1), array(0))) as n""",
 }
 
+#: Both decisions on an invoice from one pass over the invoices.
+SPARK_DECISIONS = {
+    "fx_decision": """
+select k as invoice_id, k * 10 + n * 5 as seq, if(n = 0, 'approve', 'reject') as action, if(n = 0 and k % 7 = 0, '6064', null) as account, if(n = 0, 'u' || cast(k % 5 as varchar(2)), 'u9') as username, if(n = 1, 'montant', null) as reason
+from fx_invoice0 lateral view explode(if(k % 6 = 0, array(0, 1), if(k % 2 = 0, array(0), array()))) as n""",
+}
+
 
 def with_views(query: str, more: dict[str, str] | None = None) -> str:
     """query below the views, and more views, that it needs."""
@@ -104,4 +111,4 @@ def fixture(spark: SparkSession, sf_dir: str, name: str, lines: bool = False) ->
     """A view over the tables in sf_dir. lines: fx_invoice and fx_invoice0 have the column lines too."""
     for t in TABLES:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(with_views(f"select * from {name}", SPARK_VIEWS if lines else None))
+    return spark.sql(with_views(f"select * from {name}", SPARK_DECISIONS | (SPARK_VIEWS if lines else {})))

@@ -165,6 +165,7 @@ where arrival = k or (k % 3 <> 0 and k % 2 <> 0 and k % 5 <> 0)""",
 _MANY = ", ".join(f"({i}, {r.keywords[0]!r}, {r.keywords[1]!r}, '{r.account}', {r.confidence})" for i, r in enumerate(many_rules()))
 _SQL |= {
     "bank_csv_quoted": """select '2026-08-20' as booking_date, case tx_id % 4 when 0 then 'VIR "client", n ' || tx_id when 1 then 'ligne 1' || chr(10) || 'ligne 2, ' || tx_id else '"' || tx_id || '"' end as label, amount::double as amount, 'EUR' as currency, reference from fx_bank""",
+    "bank_csv_mixed": "select case tx_id % 2 when 0 then '2026-08-20' else '2026-08-21' end as booking_date, cast(tx_id as varchar) as label, amount::double as amount, case tx_id % 2 when 0 then 'EUR' else 'CHF' end as currency, reference from fx_bank",
     "account_rules_many": f"""select m.arrival, r.account, coalesce(r.confidence, 0.25)::double as confidence, case when r.account is null then 'none' else 'rules' end as source from all_marked m
 left join (select k, min(i) as i from (select distinct k, lower(description) as txt from fx_line) join (values {_MANY}) v(i, one, two, account, confidence) on contains(txt, one) or contains(txt, two) group by k) f on f.k = m.k
 left join (values {_MANY}) r(i, one, two, account, confidence) on r.i = f.i""",

@@ -303,6 +303,17 @@ def bank_csv_quoted(spark, sf_dir):
     return plain(bank.read_bank_csv(spark, path)[0])
 
 
+@query
+def bank_csv_mixed(spark, sf_dir):
+    """A folder of statements of two banks, with other names and in another order of columns; one gives no currency."""
+    path, rows = scratch(spark, "bank_csv"), fixture(spark, sf_dir, "fx_bank")
+    put = lambda df: df.write.mode("append").options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    label, amount = F.col("tx_id").cast("string"), F.col("amount").cast("string")
+    put(rows.where("tx_id % 2 = 0").select(F.lit("2026-08-20").alias("date"), label.alias("libelle"), F.replace(amount, F.lit("."), F.lit(",")).alias("montant"), "reference"))
+    put(rows.where("tx_id % 2 = 1").select(F.lit("CHF").alias("currency"), amount.alias("amount"), "reference", label.alias("label"), F.lit("2026-08-21").alias("booking_date")))
+    return plain(bank.read_bank_folder(spark, path)[0])
+
+
 @query
 def bank_transactions_stored(spark, sf_dir):
     """Two imports of one file, the first of them retried: lines of two imports are two, those of a retry aren't."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -15,11 +16,14 @@ from billstream.operators.matching import bank_matches
 from billstream.operators.parties import delta, of_deltas
 from billstream.schemas import CUSTOMER_PARTY, INVOICE, LEARNED_MAPPINGS, SUPPLIER_PARTY
 from billstream.session import append, committed, compact, exists, stored
+from billstream.sources.invoices import ingested
 
 ARRIVING = T.StructType([T.StructField("arrival", T.LongType()), *INVOICE.fields])
 MAPPINGS = T.StructType([*LEARNED_MAPPINGS.fields, T.StructField("batch", T.LongType())])
 #: Stored deltas are folded into a snapshot before every so many batches.
 COMPACT_EVERY = 50
+#: The files of a batch are numbered in so many parts, below 2^BATCH_BITS.
+PARTS, BATCH_BITS = 4096, 40
 
 DELTAS = {party: T.StructType([*fields, T.StructField("batch", T.LongType())]) for party, fields in (("supplier", SUPPLIER_PARTY.fields), ("customer", CUSTOMER_PARTY.fields))}
 
@@ -42,23 +46,67 @@ def intake(spark: SparkSession, source: str, target: str, checkpoint: str, files
     stream = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).json(source)
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        if compact_every and batch_id and batch_id % compact_every == 0:
-            compact_intake(spark, target, batch_id)
-        arrived = fingerprinted(batch).persist()
-        learned = top_accounts(stored_mappings(spark, mappings)) if mappings else None
-        decisions = decided(arrived, history.known(arrived, target, batch_id), learned, policy, rules).persist()
+        take_in(batch, batch_id, target, mappings, policy, rules, compact_every)
+
+    return stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def take_in(batch: DataFrame, batch_id: int, target: str, mappings: str | None = None, policy: Policy = POLICY, rules: tuple[Rule, ...] = RULES, compact_every: int | None = COMPACT_EVERY) -> None:
+    """Decide one batch of invoices (the columns of ARRIVING) and store what comes of it."""
+    spark = batch.sparkSession
+    if compact_every and batch_id and batch_id % compact_every == 0:
+        compact_intake(spark, target, batch_id)
+    arrived = fingerprinted(batch).persist()
+    learned = top_accounts(stored_mappings(spark, mappings)) if mappings else None
+    decisions = decided(arrived, history.known(arrived, target, batch_id), learned, policy, rules).persist()
+    try:
+        put = lambda df, name: append(df, f"{target}/{name}", batch_id)
+        put(decisions.select("arrival", "fingerprint", "status", "risk_score", "proposal"), "decisions")
+        put(accepted(decisions), "invoices")
+        put(audit_events(decisions), "audit_events")
+        put(reviews(decisions), "reviews")
+        history.remember(decisions.where("status <> 'DUPLICATE'"), target, batch_id)
+        for party in DELTAS:
+            put(delta(decisions, party), f"{party}s")
+    finally:
+        decisions.unpersist()
+        arrived.unpersist()
+
+
+def arrivals(files: DataFrame, batch_id: int) -> DataFrame:
+    """files (source_path, and others) with arrival: after those of earlier batches, and inside the batch the same whenever it is tried again.
+
+    Files are dealt out to parts by a hash of their path; a file's place is the
+    number of files in earlier parts and its place by path in its own, so no
+    task numbers them all. A path that is there twice has two numbers.
+    """
+    rows = files.withColumn("__part", F.pmod(F.xxhash64("source_path"), F.lit(PARTS)))
+    sums = rows.groupBy("__part").agg(F.count("*").alias("__k"))
+    before = F.coalesce(F.sum("__k").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # PARTS rows at most
+    rows = rows.join(sums.select("__part", before.alias("__before")), "__part")
+    place = F.col("__before") + F.row_number().over(W.partitionBy("__part").orderBy("source_path"))
+    return rows.select(*files.columns, (F.lit(batch_id << BATCH_BITS) + place).alias("arrival"))
+
+
+def intake_files(spark: SparkSession, folder: str, target: str, checkpoint: str, files_per_batch: int | None = None, mappings: str | None = None, policy: Policy = POLICY, rules: tuple[Rule, ...] = RULES, compact_every: int | None = COMPACT_EVERY) -> StreamingQuery:
+    """Take in the files that arrive in a folder, and below it: XML invoices are read and decided as by intake(); files that are rejected (table rejected, with the reason) and PDF files (waiting) are noted beside them.
+
+    Invoices arrive in the order of batches; a file that is replaced under its
+    own name is not read again. A target belongs to one stream.
+    """
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true")
+    stream = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).load(folder)
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        files = batch.select("content", F.regexp_extract("path", "([^/]*)$", 1).alias("source_file"), F.col("path").alias("source_path"))
+        found = ingested(files)
+        records = found.records.persist()
         try:
-            put = lambda df, name: append(df, f"{target}/{name}", batch_id)
-            put(decisions.select("arrival", "fingerprint", "status", "risk_score", "proposal"), "decisions")
-            put(accepted(decisions), "invoices")
-            put(audit_events(decisions), "audit_events")
-            put(reviews(decisions), "reviews")
-            history.remember(decisions.where("status <> 'DUPLICATE'"), target, batch_id)
-            for party in DELTAS:
-                put(delta(decisions, party), f"{party}s")
+            take_in(arrivals(records, batch_id).select(*ARRIVING.names), batch_id, target, mappings, policy, rules, compact_every)
+            append(found.rejects, f"{target}/rejected", batch_id)
+            append(found.waiting, f"{target}/waiting", batch_id)
         finally:
-            decisions.unpersist()
-            arrived.unpersist()
+            records.unpersist()
 
     return stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -17,10 +17,10 @@ from billstream.plans import registry
 from billstream.plans.fixtures import fixture
 from billstream.plans.registry import records
 from billstream.session import append, committed, compact, drop_folded, stored
-from billstream.sources.bank import read_bank_csv
+from billstream.sources.bank import read_bank_csv, read_bank_folder
 from billstream.sources.invoices import BROKEN, UNKNOWN_FORMAT, UNREADABLE, ingest, ingested, read_json, read_xml
 from billstream.streaming import approvals
-from billstream.streaming.intake import DELTAS, compact_intake, intake, parties_of, stored_mappings
+from billstream.streaming.intake import DELTAS, arrivals, compact_intake, intake, intake_files, parties_of, stored_mappings
 
 SF = "/root/testdata/sf0.001"
 UBL = '<Invoice xmlns="u"><ID>N1</ID><AccountingSupplierParty><RegistrationName>{}</RegistrationName></AccountingSupplierParty><PayableAmount>10</PayableAmount></Invoice>'
@@ -71,6 +71,14 @@ def test_bank_files_with_other_headers_fail(spark, tmp_path):
     (tmp_path / "in" / "b.csv").write_text("label,date,amount\nx,2026-01-01,1\n")
     with pytest.raises(Exception, match="(?i)header"):
         read_bank_csv(spark, f"{tmp_path}/in")[0].collect()
+    (tmp_path / "in" / "c 1.csv").write_text("\ufeffdate,amount,label\r\n2026-01-02,\"2,5\",\"y\nz\"\r\n2026-01-02,?,z\r\n")
+    (tmp_path / "in" / "d[1]+%20.csv").write_text("montant\n3\n")
+    good, bad = read_bank_folder(spark, f"{tmp_path}/in")
+    assert sorted((str(r.booking_date), str(r.label), str(r.amount)) for r in good.collect()) == [("2026-01-01", "x", "1.00"), ("2026-01-01", "x", "1.00"), ("2026-01-02", "y\nz", "2.50"), ("None", "None", "3.00")]
+    assert [(r.label, r.amount) for r in bad.collect()] == [("z", "?")]
+    (tmp_path / "none").mkdir()
+    nothing = read_bank_folder(spark, f"{tmp_path}/none")
+    assert [x.columns for x in nothing] == [good.columns, bad.columns] and nothing[0].count() == nothing[1].count() == 0
 
 
 NAME = "Société Générale"
@@ -272,6 +280,39 @@ def test_compacted_intake_equals_batch_after_a_restart(spark, tmp_path):
     assert len(stored(spark, f"{tmp_path}/out/suppliers", DELTAS["supplier"]).inputFiles()) < parts * 2
 
 
+def test_files_that_arrive(spark, tmp_path):
+    """Two waves of files; the second runs again, as if it had broken off. A copy of an invoice is a duplicate in whatever batch and encoding it comes."""
+    document = lambda number, name: f"<Invoice><ID>{number}</ID><IssueDate>2026-01-02</IssueDate><AccountingSupplierParty><RegistrationName>{name}</RegistrationName></AccountingSupplierParty><PayableAmount>10</PayableAmount></Invoice>"
+    (tmp_path / "in" / "a").mkdir(parents=True)
+    run = lambda: intake_files(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+    for i in range(6):
+        (tmp_path / "in" / ("a" if i % 2 else "") / f"n {i}.xml").write_bytes((f"<?xml version='1.0' encoding='{('utf-8', 'iso-8859-1')[i % 2]}'?>" + document(f"F{i // 2}", NAME)).encode(("utf-8", "latin-1")[i % 2]))
+    (tmp_path / "in" / "note.txt").write_text("x")
+    (tmp_path / "in" / "scan.pdf").write_bytes(b"%PDF")
+    run()
+    for name, content in (("again.ubl", document("F1", NAME)), ("new.cii", document("F9", NAME)), ("broken.xml", "<a>"), ("other.pdf", "%PDF")):
+        (tmp_path / "in" / "a" / name).write_text(content)
+    run()
+    lose_last_batch(tmp_path / "ck", tmp_path / "out", "reviews", "fingerprints", "waiting")
+    run()
+    read = lambda t: spark.read.parquet(f"{tmp_path}/out/{t}").collect()
+    assert sorted((r.invoice_number, r.supplier_name) for r in read("invoices")) == [(f"F{i}", NAME) for i in (0, 1, 2, 9)]
+    decisions = read("decisions")
+    assert len(decisions) == len({r.arrival for r in decisions}) == 8 and sum(r.status == "DUPLICATE" for r in decisions) == 4
+    assert max(r.arrival for r in decisions if r.batch == 0) < min(r.arrival for r in decisions if r.batch == 1)
+    assert {(r.source_file, r.reason) for r in read("rejected")} == {("note.txt", UNKNOWN_FORMAT), ("broken.xml", BROKEN)}
+    assert {r.source_file for r in read("waiting")} == {"scan.pdf", "other.pdf"}
+    assert {r.source_file for r in read("invoices")} <= {*(f"n {i}.xml" for i in range(6)), "new.cii"}
+    assert {r.invoice_id for r in read("reviews")} <= {r.arrival for r in decisions}
+
+
+def test_arrivals_are_the_same_again(spark):
+    files = spark.createDataFrame([(f"file:/in/{i % 90}", i) for i in range(100)], "source_path string, k int")
+    one, two = (sorted((r.source_path, r.arrival) for r in arrivals(files.repartition(n), 3).collect()) for n in (1, 7))
+    assert one == two and {a for _, a in one} == {(3 << 40) + i for i in range(1, 101)}
+    assert arrivals(files.limit(0), 3).count() == 0
+
+
 # The stream of decisions
 
 

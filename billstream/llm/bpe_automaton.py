@@ -78,7 +78,7 @@ class Table:
             users[to[b]] += 1
             if users[state] > 1:
                 if len(users) == len(bits):
-                    bits = np.concatenate([bits, np.zeros_like(bits)])
+                    bits.resize((len(bits) + 2048, bits.shape[1]), refcheck=False)
                 bits[len(users)] = bits[state]
                 users[state] -= 1
                 state = to[a] = len(users)
@@ -87,19 +87,24 @@ class Table:
             beside = bits[: len(users), a >> 3] >> (a & 7) & 1
             bits[: len(users), c >> 3] |= beside << (c & 7)
         # States with the same arcs share a row, tokens with the same bits in all rows a column.
-        rows: dict[bytes, int] = {bits[0].tobytes(): 0}
-        row = np.array([rows.setdefault(bits[s].tobytes(), len(rows)) if s >= 0 else -1 for s in to], np.int32)
-        bits = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+        rows: dict[bytes, int] = {}
+        of = [rows.setdefault(hashlib.sha256(bits[s]).digest(), len(rows)) if s >= 0 else -1 for s in (0, *to)]
+        state = dict(zip(reversed(of), reversed((0, *to)), strict=True))
+        kept = np.array([state[r] for r in range(len(rows))])
         columns: dict[bytes, int] = {}
-        column = np.array([columns.setdefault(c.tobytes(), len(columns)) for c in _turned(bits)][: len(labels)], np.int32)
-        columns_ = np.frombuffer(b"".join(columns), np.uint8).reshape(len(columns), -1)
-        return Table(np.stack(list(_turned(columns_))[: len(rows)]), row, column)
+        column = np.array([columns.setdefault(c.tobytes(), len(columns)) for c in _turned(bits, kept)][: len(labels)], np.int32)
+        del bits
+        shared = np.frombuffer(b"".join(columns), np.uint8).reshape(len(columns), -1)
+        turned = np.empty((len(rows), -(-len(columns) // 8)), np.uint8)
+        for r, c in zip(range(len(rows)), _turned(shared, np.arange(len(shared))), strict=False):
+            turned[r] = c
+        return Table(turned, np.array(of[1:], np.int32), column)
 
 
-def _turned(bits: np.ndarray, block: int = 128) -> Iterator[np.ndarray]:
-    """The columns of a matrix of bits as rows, block bytes of columns at a time."""
+def _turned(bits: np.ndarray, rows: np.ndarray, block: int = 64) -> Iterator[np.ndarray]:
+    """The columns of these rows of a matrix of bits as rows, block bytes of columns at a time."""
     for first in range(0, bits.shape[1], block):
-        yield from np.packbits(np.unpackbits(bits[:, first : first + block], axis=1, bitorder="little").T, axis=1, bitorder="little")
+        yield from np.packbits(np.unpackbits(bits[rows, first : first + block], axis=1, bitorder="little").T, axis=1, bitorder="little")
 
 
 class TokenAutomaton:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from billstream.config import RULES, Rule
 from billstream.operators import history, learning, ledger, parties, workflow
-from billstream.operators.decide import CHAIN_KEYWORDS, decided, duplicates_marked, fingerprinted, first_rule, rule_proposal
+from billstream.operators.decide import CHAIN_KEYWORDS, decided, duplicates_marked, first_rule, rule_proposal
 from billstream.plans import registry
 from billstream.plans.fixtures import fixture
 from billstream.plans.registry import records

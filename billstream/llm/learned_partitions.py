@@ -6,38 +6,45 @@ tell a vector's part. It then files every row of the table under its most
 probable part, and sends a query to the rows of several probable parts, where
 it is compared exactly. How many parts a query needs is measured on sampled
 vectors that the classifier was not trained on.
+
+The index is written by part, and queries meet the rows of their parts in a
+join by part, so parts without queries aren't read. A part with many rows, or
+many queries, is dealt out in pieces; each pair of pieces is one group of
+bounded size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import scratch, staged
-from .histogram_topk import dimension, finite, matrix, query_blocks
+from .histogram_topk import dimension, finite, matrix
 
-SAMPLE_ROWS = 8192
+#: The sample, and with it the number of parts, grows with the square root of the table, from the first number of rows to the second.
+SAMPLE_LEAST, SAMPLE_ROWS, SAMPLE_PER_ROOT = 8192, 32_768, 16
 NEIGHBOURS = 10
 PART_ROWS = 128
-MAX_PARTS = 128
 HIDDEN = 128
 EPOCHS = 20
 RECALL = 0.97
-BLOCK_QUERIES = 4096
+#: Rows, and queries, of a part that one group holds. Small tables have smaller pieces, so that a part with many of their rows is dealt out too.
+PIECE_LEAST, PIECE_ROWS, PIECE_QUERIES = 512, 1 << 17, 8192
 
 
 def neighbours(x: np.ndarray, of: np.ndarray, k: int) -> np.ndarray:
     """The k rows of x nearest by angle to each row of x[of], without itself; all unit vectors."""
-    out = []
-    for a in range(0, len(of), 512):
-        s = x[of[a : a + 512]] @ x.T
-        s[np.arange(len(s)), of[a : a + 512]] = -np.inf
+    out, step = [], max(1, (1 << 22) // max(1, len(x)))
+    for a in range(0, len(of), step):
+        s = x[of[a : a + step]] @ x.T
+        s[np.arange(len(s)), of[a : a + step]] = -np.inf
         out.append(np.argpartition(-s, k - 1, 1)[:, :k])
     return np.concatenate(out)
 
@@ -81,13 +88,14 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, n_parts: int, rounds: int =
 
 @dataclass
 class Router:
-    """A network of one hidden layer from unit vectors to parts, and how many parts a query is sent to."""
+    """A network of one hidden layer from unit vectors to parts, how many parts a query is sent to, and what share of the neighbours that finds among vectors not trained on."""
 
     w1: np.ndarray
     b1: np.ndarray
     w2: np.ndarray
     b2: np.ndarray
     probes: int = 1
+    recall: float = 1.0
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
@@ -130,7 +138,7 @@ def fitted(x: np.ndarray, k: int = 5, recall: float = RECALL) -> Router:
     """A router learned from the rows of x; a tenth of them, left out of the training, tell how many parts to probe."""
     x = unit(x)
     n = len(x)
-    n_parts = int(max(1, min(MAX_PARTS, n // PART_ROWS)))
+    n_parts = int(max(1, n // PART_ROWS))
     if n_parts == 1:
         return Router(np.zeros((x.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
     test = np.arange(n) % 10 == 0
@@ -147,6 +155,7 @@ def fitted(x: np.ndarray, k: int = 5, recall: float = RECALL) -> Router:
     needs = np.take_along_axis(place, filed[near], 1)
     shares = np.cumsum(np.bincount(needs.ravel(), minlength=n_parts)) / needs.size
     router.probes = int(np.argmax(shares >= recall)) + 1
+    router.recall = float(shares[router.probes - 1])
     return router
 
 
@@ -161,88 +170,130 @@ def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return dot / (np.sqrt(qq)[:, None] * np.sqrt(xx)[None, :])
 
 
-def _search(held, k):
-    """For each task the k best rows it has for each query, among the parts that the query is sent to (all, if none are given)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q, sent = held.value
-        best_s, best_i = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
-        for batch in batches:
-            x, keep = matrix(batch.column(1), q.shape[1])
-            vec_ids, parts = batch.column(0).to_numpy()[keep], batch.column(2).to_numpy()[keep]
-            for p in np.unique(parts).tolist():
-                to = np.arange(len(q)) if sent is None else np.flatnonzero(sent[:, p])
-                rows = np.flatnonzero(parts == p)
-                for a in range(0, len(to), 512):
-                    some = to[a : a + 512]
-                    for r in range(0, len(rows), 2048):
-                        i = vec_ids[rows[r : r + 2048]]
-                        s = cosines(q[some], x[rows[r : r + 2048]])
-                        s[ids[some, None] == i[None, :]] = -np.inf
-                        least = np.sort(s, 1)[:, -k:][:, :1]  # the kth of these, or the worst
-                        y, z = np.nonzero((s >= np.maximum(least, best_s[some, -1:])) & (s > -np.inf))
-                        score, of = np.concatenate([s[y, z], best_s[some].ravel()]), np.concatenate([y, np.repeat(np.arange(len(some)), k)])
-                        vec = np.concatenate([i[z], best_i[some].ravel()])
-                        order = np.lexsort((vec, -score, of))
-                        first = np.searchsorted(of[order], np.arange(len(some)))
-                        pick = order[first[:, None] + np.arange(k)]
-                        best_s[some], best_i[some] = score[pick], vec[pick]
-        y, z = np.nonzero(best_s > -np.inf)
-        yield pa.record_batch([pa.array(ids[y]), pa.array(best_i[y, z]), pa.array(best_s[y, z])], names=["query_id", "vec_id", "score"])
+FOUND = "query_id long, vec_id long, score double"
+
+
+def best(ids: np.ndarray, q: np.ndarray, vec_ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cosines and ids of the k rows nearest to each query, those of the query's own id aside, ties to smaller ids; -inf where there are fewer."""
+    best_s, best_i = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+    for a in range(0, len(q), 512):
+        some = slice(a, min(a + 512, len(q)))
+        n = some.stop - a
+        for r in range(0, len(x), 2048):
+            i = vec_ids[r : r + 2048]
+            s = cosines(q[some], x[r : r + 2048])
+            s[ids[some, None] == i[None, :]] = -np.inf
+            least = np.sort(s, 1)[:, -k:][:, :1]  # the kth of these, or the worst
+            y, z = np.nonzero((s >= np.maximum(least, best_s[some, -1:])) & (s > -np.inf))
+            score, of = np.concatenate([s[y, z], best_s[some].ravel()]), np.concatenate([y, np.repeat(np.arange(n), k)])
+            vec = np.concatenate([i[z], best_i[some].ravel()])
+            order = np.lexsort((vec, -score, of))
+            first = np.searchsorted(of[order], np.arange(n))
+            pick = order[first[:, None] + np.arange(k)]
+            best_s[some], best_i[some] = score[pick], vec[pick]
+    return best_s, best_i
+
+
+def _compared(dim: int, k: int):
+    """The k best of a piece of a part for each query of a piece of its queries."""
+
+    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        ids, vec_ids = queries.column("query_id").to_numpy(), rows.column("vec_id").to_numpy()
+        if not len(ids) or not len(vec_ids):
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        (x, _), (q, _) = (matrix(t.column("embedding").combine_chunks(), dim) for t in (rows, queries))
+        s, i = best(ids, q, vec_ids, x, k)
+        y, z = np.nonzero(s > -np.inf)
+        return pa.table({"query_id": ids[y], "vec_id": i[y, z], "score": s[y, z]})
 
     return run
 
 
+def _by_part(values: list[int]) -> Column:
+    """A part's value."""
+    return F.get(F.lit(values), F.col("part"))
+
+
+def _piece(key: str, pieces: list[int]) -> Column:
+    return F.pmod(F.xxhash64(key), _by_part(pieces)).cast("int")
+
+
+def _every(pieces: list[int]) -> Column:
+    """A row for each piece of the part."""
+    return F.explode(F.sequence(F.lit(0), _by_part(pieces) - 1))
+
+
+def _met(index: DataFrame, sent: DataFrame, row_pieces: list[int], dim: int, k: int) -> DataFrame:
+    """FOUND of the queries in sent (query_id, embedding, part) among the index's rows of these parts."""
+    n = {r.part: r["count"] for r in sent.groupBy("part").count().collect()}
+    query_pieces = [-(-n.get(p, 0) // PIECE_QUERIES) for p in range(len(row_pieces))]
+    # Only parts with queries are read.
+    rows = index.where(F.col("part").isin(sorted(n))).select("part", "piece", _every(query_pieces).alias("of"), "vec_id", "embedding")
+    queries = sent.select("part", _every(row_pieces).alias("piece"), _piece("query_id", query_pieces).alias("of"), "query_id", "embedding")
+    key = ("part", "piece", "of")
+    return rows.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(_compared(dim, k), FOUND)
+
+
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(vectors: DataFrame, k: int = 5, divisor: int = 50, sample_rows: int = SAMPLE_ROWS, block: int = BLOCK_QUERIES, recall: float = RECALL) -> DataFrame:
-    """query_id, rank, vec_id, score, parts, probes: up to k near rows by cosine for each query, nearest first, ties to smaller ids; of how many parts the index has how many each query is sent to.
+def nearest(vectors: DataFrame, k: int = 5, divisor: int = 50, sample_rows: int = SAMPLE_ROWS, recall: float = RECALL) -> DataFrame:
+    """query_id, rank, vec_id, score, parts, probes, recall: up to k near rows by cosine for each query, nearest first, ties to smaller ids; of how many parts the index has how many each query is sent to, and what share of the neighbours of sampled vectors this found.
 
     vectors: vec_id, embedding; other columns are ignored. Queries are the rows
-    whose id is divisible by divisor. The router is fitted on a sample of about
-    sample_rows rows, chosen by a hash of the id; all rows are filed and can be
-    found. Rows without an id, and vectors that are null, empty, zero, hold
-    null or non-finite components or are of another than the commonest
-    dimension take no part. Of rows with one id, each can be found by other
-    queries, and the smallest is the query. Queries whose parts hold fewer than
-    k rows are compared with all rows. No rows: an empty result.
+    whose id is divisible by divisor. The router is fitted on a sample of at
+    most about sample_rows different vectors, chosen by their hash; all rows
+    are filed and can be found. Rows without an id, and vectors that are null,
+    empty, zero, hold null or non-finite components or are of another than the
+    commonest dimension take no part. Of rows with one id, each can be found by
+    other queries, and the smallest is the query. Queries whose parts hold
+    fewer than k rows are compared with all rows. No rows: an empty result.
     """
     spark = vectors.sparkSession
     rows = finite(vectors).where(F.exists("embedding", lambda x: x != 0))
     dim = dimension(rows)
-    kind = "query_id long, rank int, vec_id long, score double"
     if not dim:
-        return spark.createDataFrame([], f"{kind}, parts int, probes int")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, parts int, probes int, recall double")
     rows = rows.where(F.size("embedding") == dim)
     n = rows.count()
-    share = min(1.0, sample_rows / n)
-    chosen = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).collect()
-    router = fitted(np.array([v for _, v in sorted(map(tuple, chosen))], np.float64).reshape(-1, dim), k, recall) if chosen else fitted(np.ones((1, dim)))
+    share = min(1.0, min(sample_rows, max(SAMPLE_LEAST, SAMPLE_PER_ROOT * math.isqrt(n))) / n)
+    # Copies have one hash: they are drawn together, and count once.
+    chosen = rows.where(F.pmod(F.xxhash64("embedding"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("embedding").distinct().collect()
+    router = fitted(np.array(sorted(r.embedding for r in chosen), np.float64).reshape(-1, dim), k, recall) if chosen else fitted(np.ones((1, dim)))
+    parts, held = router.b2.size, spark.sparkContext.broadcast(router)
+    array = rows.schema["embedding"].dataType.simpleString()
 
     def file_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, _ = matrix(batch.column(1), dim)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(router.scores(unit(x)).argmax(1).astype(np.int32))], names=["vec_id", "embedding", "part"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(held.value.scores(unit(x)).argmax(1).astype(np.int32))], names=["vec_id", "embedding", "part"])
 
-    # The index: rows sorted by part within files, so that a task compares long runs of one part. They stay where they are: a part with a third of all rows lies in many tasks.
-    array = rows.schema["embedding"].dataType.simpleString()
-    index = staged(rows.mapInArrow(file_rows, f"vec_id long, embedding {array}, part int").sortWithinPartitions("part", "vec_id"), "vector_index")
-    blocks = []
-    for ids, q in query_blocks(rows.where(F.col("vec_id") % divisor == 0), dim, block):
-        z = router.scores(unit(q))
-        sent = np.zeros(z.shape, bool)
-        np.put_along_axis(sent, np.argsort(-z, 1, kind="stable")[:, : router.probes], True, 1)
-        near = staged(_ranked(index.mapInArrow(_search(spark.sparkContext.broadcast((ids, q, sent)), k), "query_id long, vec_id long, score double"), k), "neighbours")
-        full = {r.query_id for r in near.groupBy("query_id").count().where(F.col("count") >= min(k, n - 1)).collect()}
-        short = np.array([i not in full for i in ids.tolist()])
-        if short.any():
-            rest = index.mapInArrow(_search(spark.sparkContext.broadcast((ids[short], q[short], None)), k), "query_id long, vec_id long, score double")
-            near = near.join(F.broadcast(spark.createDataFrame([(i,) for i in ids[short].tolist()], "query_id long")), "query_id", "left_anti").unionByName(_ranked(rest, k))
-        # A block's result is written before the next one starts, so plans don't grow with the number of blocks.
-        blocks.append(scratch(spark, "neighbours"))
-        near.write.parquet(blocks[-1])
-    found = spark.read.schema(kind).parquet(*blocks) if blocks else spark.createDataFrame([], kind)
-    return found.withColumn("parts", F.lit(router.b2.size)).withColumn("probes", F.lit(router.probes))
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, _ = matrix(batch.column(1), dim)
+            to = np.argsort(-held.value.scores(unit(x)), 1, kind="stable")[:, : held.value.probes]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(list(to.astype(np.int32)), pa.list_(pa.int32()))], names=["query_id", "embedding", "parts"])
+
+    filed = staged(rows.mapInArrow(file_rows, f"vec_id long, embedding {array}, part int"), "filed_vectors")
+    size = {r.part: r["count"] for r in filed.groupBy("part").count().collect()}
+    piece_rows = max(PIECE_LEAST, min(PIECE_ROWS, n // parts))
+    row_pieces = [-(-size.get(p, 0) // piece_rows) or 1 for p in range(parts)]
+    path = scratch(spark, "vector_index")
+    index = filed.withColumn("piece", _piece("vec_id", row_pieces))
+    index.repartition("part", "piece").write.partitionBy("part").parquet(path)
+    index = spark.read.schema(index.schema).parquet(path)
+
+    queries = rows.where(F.col("vec_id") % divisor == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    queries = queries.select(F.col("vec_id").alias("query_id"), "embedding")
+    sent = queries.mapInArrow(send, f"query_id long, embedding {array}, parts array<int>")
+    sent = staged(sent.select("query_id", "embedding", F.explode("parts").alias("part")), "sent_queries")
+    near = staged(_ranked(_met(index, sent, row_pieces, dim, k), k), "neighbours")
+    full = near.groupBy("query_id").count().where(F.col("count") >= min(k, n - 1)).select("query_id")
+    short = staged(queries.join(full, "query_id", "left_anti"), "short_queries")
+    if not short.isEmpty():
+        everywhere = short.select("query_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+        rest = _ranked(_met(index, everywhere, row_pieces, dim, k), k)
+        near = near.join(short.select("query_id"), "query_id", "left_anti").unionByName(rest).select(*near.columns)
+    return near.withColumn("parts", F.lit(parts)).withColumn("probes", F.lit(router.probes)).withColumn("recall", F.lit(router.recall))

@@ -1,12 +1,14 @@
 """The vector operators against brute force."""
 
 import collections
+import re
 from fractions import Fraction
 
 import numpy as np
 import pytest
 
 from billstream.llm import histogram_topk as h
+from billstream.llm import learned_partitions as lp
 from billstream.llm.learned_partitions import balanced_parts, cosines, fitted, nearest, neighbours, unit
 
 SCHEMA = "vec_id long, embedding array<float>, label int, rank int, part int, score string"
@@ -91,6 +93,38 @@ def test_nearest(spark, table):
     assert len(nearest(table.where("vec_id in (0, 1, 2)")).collect()) == 2
 
 
+def test_nearest_prunes_clustered_vectors(spark):
+    """At least nine tenths of the neighbours from under half the parts; parts without queries aren't read; pieces of any size give the same."""
+    r = np.random.default_rng(11)
+    x = (r.normal(size=(64, 16))[r.integers(0, 64, 6000)] + 0.15 * r.normal(size=(6000, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    rows = nearest(df).collect()
+    want = brute(x.astype(float), np.arange(len(x)), 5, 50)
+    found = {(row.query_id, row.vec_id) for row in rows}
+    right = sum((q, i) in found for q, w in want.items() for i, _ in w)
+    assert right >= 0.9 * 5 * len(want) and len(rows) == 5 * len(want)
+    assert rows[0].probes < rows[0].parts / 2 and rows[0].recall >= 0.9
+
+
+def test_pieces_of_parts_make_no_difference(spark, table, monkeypatch):
+    want = sorted(map(tuple, nearest(table).collect()))
+    monkeypatch.setattr(lp, "PIECE_LEAST", 37)
+    monkeypatch.setattr(lp, "PIECE_ROWS", 37)
+    monkeypatch.setattr(lp, "PIECE_QUERIES", 5)
+    assert sorted(map(tuple, nearest(table).collect())) == want
+
+
+def test_parts_without_queries_are_not_read(spark, tmp_path):
+    rows = spark.createDataFrame([(i, [float(i), 1.0], i % 8, 0) for i in range(64)], "vec_id long, embedding array<double>, part int, piece int")
+    rows.write.partitionBy("part").parquet(str(tmp_path / "index"))
+    index = spark.read.schema(rows.schema).parquet(str(tmp_path / "index"))
+    sent = spark.createDataFrame([(0, [1.0, 1.0], 3), (50, [1.0, 0.0], 5)], "query_id long, embedding array<double>, part int")
+    found = lp._met(index, sent, [1] * 8, 2, 3)
+    assert {r.vec_id % 8 for r in found.where("query_id = 0").collect()} == {3} and found.count() == 6
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*part#\d+ (IN|INSET) \(?3,5", plan)
+
+
 def test_nearest_of_very_large_and_small_components(spark):
     r = np.random.default_rng(7)
     base = r.normal(size=(60, 4))

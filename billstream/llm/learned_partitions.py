@@ -41,7 +41,7 @@ PIECE_LEAST, PIECE_ROWS, PIECE_QUERIES = 512, 1 << 17, 8192
 
 def neighbours(x: np.ndarray, of: np.ndarray, k: int) -> np.ndarray:
     """The k rows of x nearest by angle to each row of x[of], without itself; all unit vectors."""
-    out, step = [], max(1, (1 << 22) // max(1, len(x)))
+    out, step = [], max(1, (1 << 19) // max(1, len(x)))
     for a in range(0, len(of), step):
         s = x[of[a : a + step]] @ x.T
         s[np.arange(len(s)), of[a : a + step]] = -np.inf
@@ -260,8 +260,8 @@ def nearest(vectors: DataFrame, k: int = 5, divisor: int = 50, sample_rows: int
     n = rows.count()
     share = min(1.0, min(sample_rows, max(SAMPLE_LEAST, SAMPLE_PER_ROOT * math.isqrt(n))) / n)
     # Copies have one hash: they are drawn together, and count once.
-    chosen = rows.where(F.pmod(F.xxhash64("embedding"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("embedding").distinct().collect()
-    router = fitted(np.array(sorted(r.embedding for r in chosen), np.float64).reshape(-1, dim), k, recall) if chosen else fitted(np.ones((1, dim)))
+    chosen = rows.where(F.pmod(F.xxhash64("embedding"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("embedding").distinct().toArrow()
+    router = fitted(np.unique(matrix(chosen.column(0).combine_chunks(), dim)[0], axis=0) if len(chosen) else np.ones((1, dim)), k, recall)
     parts, held = router.b2.size, spark.sparkContext.broadcast(router)
     array = rows.schema["embedding"].dataType.simpleString()
 

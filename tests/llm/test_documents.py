@@ -283,6 +283,26 @@ def test_scores(docs, empty):
     assert all(r.train_tokens == 0 and r.n_known == 0 for r in only)
 
 
+def test_held_out_documents_score_better_than_by_words_alone(spark):
+    """Texts in which each word has a few likely successors: the model tells held-out ones by their contexts."""
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(120)]
+    after = {w: r.sample(words, 4) for w in words}
+
+    def text():
+        out = [r.choice(words)]
+        while len(out) < 150:
+            out.append(r.choice(after[out[-1]]) if r.random() < 0.9 else r.choice(words))
+        return " ".join(out)
+
+    rows = lm_scores(spark.createDataFrame([(i, text()) for i in range(900)], "doc_id long, text string").repartition(2)).collect()
+    held = [x for x in rows if x.held_out]
+    n = sum(x.n_tokens for x in held)
+    score, base = (sum(x[c] for x in held) / n for c in ("score", "base_score"))
+    print(score, base)
+    assert len(held) > 120 and score > base + 0.1
+
+
 def test_score_is_the_models(docs, monkeypatch):
     """score against the formula, word by word, with dense sums over all classes and places, and a word list so short that rare words are met too."""
     from billstream.llm import maxent_scores as m

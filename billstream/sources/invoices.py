@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
+from xml.parsers import expat
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,38 +17,100 @@ from billstream.functions.expressions import TEXT_KEPT, blank, gross_amount_in,
 from billstream.schemas import INVOICE, MONEY
 
 
-def _named(*names: str, within: str = "") -> str:
-    path = "".join(f"//*[local-name()='{n}']" for n in names)
-    return f"{within}{path}/text()"
+MARK = "\ufeff"
+DECLARATION = re.compile(r"^\s*<\?xml[^>]*\?>", re.ASCII)
 
 
-#: Where each field stands in the two kinds of XML invoice, the first that is there wins.
-PATHS = {
-    "invoice_number": [_named("ID"), "//*[local-name()='ExchangedDocument']/*[local-name()='ID']/text()"],
-    "issue_date": [_named("IssueDate"), _named("IssueDateTime", "DateTimeString")],
-    "due_date": [_named("DueDate"), _named("SpecifiedTradePaymentTerms", "DateTimeString")],
-    "supplier_name": [_named("AccountingSupplierParty", "RegistrationName"), _named("SellerTradeParty", "Name")],
-    "customer_name": [_named("AccountingCustomerParty", "RegistrationName"), _named("BuyerTradeParty", "Name")],
-    "net_amount": [_named("TaxExclusiveAmount"), _named("TaxBasisTotalAmount")],
-    "vat_amount": [_named("TaxAmount"), _named("TaxTotalAmount")],
-    "gross_amount": [_named("PayableAmount"), _named("GrandTotalAmount")],
-    "currency": [_named("DocumentCurrencyCode"), _named("InvoiceCurrencyCode")],
-}
+class Place(NamedTuple):
+    """Where a value stands: the text of an element of that local name; if within is given, of one below such an element, or (child) right below it."""
 
+    name: str
+    within: str | None = None
+    child: bool = False
 
-def wrapped(xml: Column) -> Column:
-    """The document below one more element, without byte order mark and XML declaration."""
-    bare = F.regexp_replace(F.regexp_replace(xml, "^﻿", ""), r"^\s*<\?xml[^>]*\?>", "")
-    return F.concat(F.lit("<w>"), bare, F.lit("</w>"))
 
+#: Where each field stands in the two kinds of XML invoice, the first that is there wins.
+PLACES = {
+    "invoice_number": [Place("ID"), Place("ID", "ExchangedDocument", child=True)],
+    "issue_date": [Place("IssueDate"), Place("DateTimeString", "IssueDateTime")],
+    "due_date": [Place("DueDate"), Place("DateTimeString", "SpecifiedTradePaymentTerms")],
+    "supplier_name": [Place("RegistrationName", "AccountingSupplierParty"), Place("Name", "SellerTradeParty")],
+    "customer_name": [Place("RegistrationName", "AccountingCustomerParty"), Place("Name", "BuyerTradeParty")],
+    "net_amount": [Place("TaxExclusiveAmount"), Place("TaxBasisTotalAmount")],
+    "vat_amount": [Place("TaxAmount"), Place("TaxTotalAmount")],
+    "gross_amount": [Place("PayableAmount"), Place("GrandTotalAmount")],
+    "currency": [Place("DocumentCurrencyCode"), Place("InvoiceCurrencyCode")],
+}
 
-def well_formed(w: Column) -> Column:
-    """Whether wrapped() text can be read. XPath functions fail the job on what can't, so they are guarded by this."""
-    return F.from_xml(w, T.StructType([T.StructField("ID", T.StringType()), T.StructField("_corrupt_record", T.StringType())]), {"mode": "PERMISSIVE"}).getField("_corrupt_record").isNull() & ~F.contains(w, F.lit("<!DOCTYPE"))
 
+def first_texts(xml: str, places: dict[str, list[tuple[int, Place]]], n: int) -> tuple[str, list[str | None]] | None:
+    """The local name of the document's element, and the first text at each of n places (numbered, by name) without white space around it; None for what isn't one well-formed element.
 
-def _first(w: Column, paths: list[str]) -> Column:
-    return F.coalesce(*(F.regexp_replace(F.get(F.xpath(w, F.lit("/w" + p)), F.lit(0)), r"(?U)^\s+|\s+$", "") for p in paths))
+    One pass over the document, below one more element, without byte order mark
+    and XML declaration. A text ends at any tag, comment or instruction; CDATA
+    belongs to the text around it.
+    """
+    parser, values = expat.ParserCreate(), [None] * n
+    names, wanted, run, roots, beside = [], [], [], [], []
+
+    def close(*_) -> None:
+        if run:
+            text = "".join(run).strip()
+            run.clear()
+            if len(names) == 1:
+                beside.append(text)
+            for i in wanted[-1]:
+                if values[i] is None:
+                    values[i] = text
+
+    def start(name: str, _) -> None:
+        close()
+        name = name[name.find(":") + 1 :]
+        if len(names) == 1:
+            roots.append(name)
+        wanted.append([i for i, p in places.get(name, ()) if p.within is None or (names[-1] == p.within if p.child else p.within in names)])
+        names.append(name)
+
+    def end(_) -> None:
+        close()
+        names.pop()
+        wanted.pop()
+
+    parser.buffer_text = True
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, run.append
+    parser.CommentHandler = parser.ProcessingInstructionHandler = close
+    try:
+        parser.Parse(f"<w>{DECLARATION.sub('', xml.removeprefix(MARK), count=1)}</w>", True)
+    except expat.ExpatError:
+        return None
+    return (roots[0], values) if len(roots) == 1 and not any(beside) else None
+
+
+def xml_fields(xml: Column, legacy_id_order: bool = False) -> Column:
+    """struct(format and the fields of PLACES, as text) of an XML document; null for what isn't one well-formed element, and for document types. Each document is parsed once, in Arrow batches; not evaluated again by a filter on it."""
+    fields = ["format", *PLACES]
+    flat = [(f, p) for f, ps in PLACES.items() for p in ps]
+    places: dict[str, list[tuple[int, Place]]] = {}
+    for i, (_, p) in enumerate(flat):
+        places.setdefault(p.name, []).append((i, p))
+    at = {f: [i for i, (g, _) in enumerate(flat) if g == f] for f in PLACES}
+
+    def record(text: str | None) -> list[str | None] | None:
+        found = None if text is None or "<!DOCTYPE" in text else first_texts(text, places, len(flat))
+        if found is None:
+            return None
+        root, values = found
+        cii = "CrossIndustryInvoice" in root
+        order = at | {"invoice_number": at["invoice_number"][::-1]} if cii and not legacy_id_order else at
+        return ["CII" if cii else "UBL", *(next((values[i] for i in order[f] if values[i] is not None), None) for f in PLACES)]
+
+    @F.arrow_udf(T.StructType([T.StructField(f, T.StringType()) for f in fields]))
+    def run(xml: pa.Array) -> pa.Array:
+        rows = [record(x) for x in xml.to_pylist()]
+        columns = [pa.array([None if r is None else r[i] for r in rows], pa.string()) for i in range(len(fields))]
+        return pa.StructArray.from_arrays(columns, names=fields, mask=pa.array([r is None for r in rows], pa.bool_()))
+
+    return run.asNondeterministic()(xml)
 
 
 def invoice_xml(documents: DataFrame, legacy_id_order: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -55,28 +120,18 @@ def invoice_xml(documents: DataFrame, legacy_id_order: bool = False) -> tuple[Da
     several roots, text, document types. For CII the document's own id is read
     before other ids, or after them if legacy_id_order is set.
     """
-    w = F.col("__w")
-    rows = documents.withColumn("__w", wrapped(F.coalesce("xml", F.lit("")))).withColumn("__ok", well_formed(w))
-    one = (F.xpath_int(w, F.lit("count(/w/*)")) == 1) & blank(F.array_join(F.xpath(w, F.lit("/w/text()")), ""))
-    rows = rows.withColumn("__ok", F.when(F.col("__ok"), one).otherwise(False))
-    if_ok = lambda x: F.when(F.col("__ok"), x)
-    cii = F.contains(F.xpath_string(w, F.lit("local-name(/w/*)")), F.lit("CrossIndustryInvoice"))
-    ids = PATHS["invoice_number"]
-    number = _first(w, ids) if legacy_id_order else F.when(cii, _first(w, ids[::-1])).otherwise(_first(w, ids))
-    amount = lambda f: F.coalesce(_first(w, PATHS[f]).try_cast(MONEY), F.lit(0).cast(MONEY))
-    name = lambda f: F.coalesce(_first(w, PATHS[f]), F.lit(""))
-    null = lambda kind: F.lit(None).cast(kind)
-    fields = {
-        "format": F.when(cii, "CII").otherwise("UBL"), "direction": F.lit("purchase"), "invoice_number": number, "issue_date": _first(w, PATHS["issue_date"]), "due_date": _first(w, PATHS["due_date"]),
-        "currency": F.coalesce(_first(w, PATHS["currency"]), F.lit("EUR")),
-        "supplier": F.struct(name("supplier_name").alias("name"), *(null("string").alias(c) for c in ("siren", "vat_number", "email", "iban"))),
-        "customer": F.struct(name("customer_name").alias("name"), *(null("string").alias(c) for c in ("siren", "vat_number", "email", "address"))),
-        "lines": F.array().cast(INVOICE["lines"].dataType), "raw_text": null("string"), "net_amount": amount("net_amount"), "vat_amount": amount("vat_amount"), "gross_amount": amount("gross_amount"),
-        "needs_manual_extraction": null("boolean"), "supplier_bank_details_changed": null("boolean"), "vat_treatment": null("string"),
-    }
+    rows, f = documents.withColumn("__f", xml_fields(F.col("xml"), legacy_id_order)), F.col("__f")
+    amount = lambda c: F.coalesce(f[c].try_cast(MONEY), F.lit(0).cast(MONEY)).alias(c)
+    name = lambda c: F.coalesce(f[c], F.lit("")).alias("name")
+    null = lambda c, kind="string": F.lit(None).cast(kind).alias(c)
+    fields = (
+        f["format"].alias("format"), F.lit("purchase").alias("direction"), *(f[c].alias(c) for c in ("invoice_number", "issue_date", "due_date")), F.coalesce(f["currency"], F.lit("EUR")).alias("currency"),
+        F.struct(name("supplier_name"), *map(null, ("siren", "vat_number", "email", "iban"))).alias("supplier"), F.struct(name("customer_name"), *map(null, ("siren", "vat_number", "email", "address"))).alias("customer"),
+        F.array().cast(INVOICE["lines"].dataType).alias("lines"), null("raw_text"), amount("net_amount"), amount("vat_amount"), amount("gross_amount"),
+        null("needs_manual_extraction", "boolean"), null("supplier_bank_details_changed", "boolean"), null("vat_treatment"),
+    )
     rest = [c for c in documents.columns if c != "xml"]
-    record = rows.withColumn("__record", if_ok(F.struct(*(c.alias(k) for k, c in fields.items()))))
-    return record.where("__ok").select(*rest, "__record.*"), rows.where(~F.col("__ok")).select(*documents.columns)
+    return rows.where(f.isNotNull()).select(*rest, *fields), rows.where(f.isNull()).select(*documents.columns)
 
 
 #: Byte order marks, and how a document begins that has none of them, in hexadecimal; the longest first.

@@ -1,6 +1,7 @@
 """Readers, writers and the stream."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,3 +134,27 @@ def test_no_scratch_folder_of_one_machine_on_a_cluster(monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch(Session(), "x")
+
+
+def test_each_document_is_parsed_once(spark):
+    """Both the filter and the fields take one parse; there is no XPath, which parses for each expression."""
+    good, bad = invoice_xml(documents(spark, UBL, CII, "x"))
+    for rows in (good, bad, good.groupBy("format").count()):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "xpath" not in plan and len(set(re.findall(r"run\(xml#\d+\)#\d+", plan))) == 1 and plan.count("ArrowEvalPython") == 1
+
+
+@pytest.mark.parametrize(("xml", "number"), [
+    ("<I><ID> <![CDATA[N<1]]> </ID></I>", "N<1"), ("<I><ID/><ID>A<!-- c -->B</ID></I>", "A"), ("<I><ID> </ID><ID>B</ID></I>", ""), ("<x:I><y:ID>A &amp; &#233;</y:ID></x:I>", "A & é"),
+    ("<I><a><ID><b>no</b>X</ID></a></I>", "X"), ("  <?xml version='1.0'?><I><c/></I>", None),
+    ("<CrossIndustryInvoice><ID>g</ID><ExchangedDocument><a><ID>deep</ID></a><ID>own</ID></ExchangedDocument></CrossIndustryInvoice>", "own"),
+])
+def test_first_texts(spark, xml, number):
+    good, bad = invoice_xml(documents(spark, xml))
+    assert [r.invoice_number for r in good.collect()] == [number] and bad.count() == 0
+
+
+@pytest.mark.parametrize("xml", ["<a/></w><w>", "<a/>&#1;", "<a b='1' b='2'/>", "<a/><!-- <!DOCTYPE -->", "<a/><?xml version='1.0'?>", "<a>]]></a>"])
+def test_more_broken_xml(spark, xml):
+    good, bad = invoice_xml(documents(spark, xml))
+    assert good.count() == 0 and bad.count() == 1

@@ -545,9 +545,9 @@ def route_by_extension(spark, sf_dir):
 def write_outbound_xml(spark, sf_dir):
     requests = fixture(spark, sf_dir, "fx_outbound").select("id", "customer_id", "issue_date", "net_amount").withColumn("description", F.lit("Prestation"))
     made, _ = outbound.sales_invoices(requests, customers(spark, sf_dir))
-    xml = outbound.invoice_xml(made)
-    at = lambda p: F.xpath_string("xml", F.lit(p))
-    return xml.select("id", at("/Invoice/ID").alias("number"), at("/Invoice/DueDate").alias("due"), at("/Invoice/BuyerName").alias("buyer"), at("/Invoice/PayableAmount").alias("payable"))
+    names = {"number": "ID", "due": "DueDate", "buyer": "BuyerName", "payable": "PayableAmount"}
+    back = F.from_xml("xml", ", ".join(f"{n} string" for n in names.values()), {"ignoreSurroundingSpaces": "false"})
+    return outbound.invoice_xml(made).select("id", back.alias("x")).select("id", *(F.coalesce(F.col("x")[n], F.lit("")).alias(c) for c, n in names.items()))
 
 
 def _arriving(spark, sf_dir):

@@ -236,3 +236,12 @@ def test_numbers(spark, text, number):
 def test_dates(spark):
     df = spark.createDataFrame([("2026-08-15",), ("20260815",), ("x",), (None,)], "x string")
     assert [r[0] for r in df.select(parsed_date(F.col("x"))).collect()] == [date(2026, 8, 15), date(2026, 8, 15), None, None]
+
+
+def test_written_xml_is_made_and_read_once(spark):
+    """Four fields of a document take one reading of it, not one each."""
+    from billstream.plans.registry import QUERIES
+
+    rows = QUERIES["write_outbound_xml"](spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "xpath" not in plan and plan.count("from_xml") + plan.count("xmltostructs") == 1 and plan.count("to_xml") + plan.count("structstoxml") == 1

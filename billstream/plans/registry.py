@@ -228,8 +228,10 @@ def ledger_balance(spark, sf_dir):
 
 @query
 def ledger_months(spark, sf_dir):
-    """The entries exported by month, of which one is exported again, with another journal."""
-    path, entries = scratch(spark, "ledger"), ledger.ledger_entries(after(spark, sf_dir))
+    """The entries exported by month, of which one is exported again, with another journal. They are stored, so that neither export makes them anew, nor the sample for its ranges."""
+    path, kept, entries = scratch(spark, "ledger"), scratch(spark, "entries"), ledger.ledger_entries(after(spark, sf_dir))
+    entries.write.parquet(kept, compression="zstd")
+    entries = spark.read.schema(entries.schema).parquet(kept)
     ledger.write_ledger_months(entries, path)
     ledger.write_ledger_months(entries.where(F.substring("Date", 1, 7) == AGAIN).withColumn("Journal", F.lit("AC2")), path)
     number = lambda c: F.col(c).cast("double").alias(c)

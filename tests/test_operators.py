@@ -1,5 +1,6 @@
 """Golden cases of the invoice operators."""
 
+import re
 from datetime import date
 from decimal import Decimal
 
@@ -245,3 +246,37 @@ def test_written_xml_is_made_and_read_once(spark):
     rows = QUERIES["write_outbound_xml"](spark, "/root/testdata/sf0.001")
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "xpath" not in plan and plan.count("from_xml") + plan.count("xmltostructs") == 1 and plan.count("to_xml") + plan.count("structstoxml") == 1
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_decided_makes_searched_text_and_findings_once(spark):
+    """The text is one expression for all keywords, lines aren't dealt out where nobody asks for them, and no filter has the findings in it."""
+    from billstream.operators import decide
+    from billstream.plans.registry import records
+
+    decisions = decide.decided(records(spark, "/root/testdata/sf0.001"))
+    for rows in (decide.audit_events(decisions), decide.reviews(decisions), decide.accepted(decisions)):
+        plan = _plan(rows)
+        assert "transform(" not in plan and not [x for x in plan.split("\n") if re.search(r"\bFilter\b.*FOURNISSEURS", x)]
+    top = _plan(decide.audit_events(decisions)).split("Window")[0]
+    assert "lines#" not in top
+
+
+def test_searched_text(spark):
+    from billstream.operators.decide import searched_text
+
+    rows = spark.createDataFrame([(0, [("Ab",), (None,), None, ("É",)], "X"), (1, None, None), (2, [], "y")], "k int, lines array<struct<description:string>>, raw_text string")
+    assert [r.t for r in rows.orderBy("k").select(searched_text().alias("t")).collect()] == ["ab   é x", " ", " y"]
+
+
+def test_ledger_months_reads_stored_entries(spark, monkeypatch):
+    from billstream.operators import ledger
+    from billstream.plans.registry import QUERIES
+
+    seen, write = [], ledger.write_ledger_months
+    monkeypatch.setattr(ledger, "write_ledger_months", lambda entries, path: (seen.append(entries.inputFiles()), write(entries, path))[1])
+    QUERIES["ledger_months"](spark, "/root/testdata/sf0.001")
+    assert len(seen) == 2 and all("/entries-" in f for files in seen for f in files)

@@ -38,8 +38,13 @@ def duplicates_marked(invoices: DataFrame, history: DataFrame | None = None, par
     split over tasks, and what the invoices are made from is read once. Rows are
     dealt out by the fingerprint's bytes, half as long as its digits.
     """
+    return _marked(fingerprinted(invoices), history, parts)
+
+
+def _marked(invoices: DataFrame, history: DataFrame | None = None, parts: int = PARTS) -> DataFrame:
+    """duplicates_marked(), of invoices with fingerprint."""
     part, first = F.col("__part"), F.min("arrival")
-    marked = fingerprinted(invoices).withColumn("__key", F.unhex("fingerprint")).drop("fingerprint").withColumn("__part", F.pmod(F.xxhash64("arrival"), F.lit(parts)))
+    marked = invoices.withColumn("__key", F.unhex("fingerprint")).drop("fingerprint").withColumn("__part", F.pmod(F.xxhash64("arrival"), F.lit(parts)))
     marked = marked.withColumn("__first", first.over(W.partitionBy("__key", "__part")))
     marked = marked.withColumn("__part", F.when(F.col("arrival").eqNullSafe(F.col("__first")), F.lit(-1)).otherwise(part))
     least = first.over(W.partitionBy("__key", "__part"))
@@ -51,6 +56,18 @@ def duplicates_marked(invoices: DataFrame, history: DataFrame | None = None, par
     return marked
 
 
+def duplicates_found(invoices: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """fingerprint, arrival of the duplicates among invoices with fingerprint: duplicates_marked() on narrow rows."""
+    return _marked(invoices.select("fingerprint", "arrival"), history).where("duplicate").select("fingerprint", "arrival").distinct()
+
+
+def _joined(invoices: DataFrame, found: DataFrame) -> DataFrame:
+    """invoices with fingerprint, and duplicate for those in duplicates_found()."""
+    names = found.select(F.col("fingerprint").alias("__f"), F.col("arrival").alias("__a"), F.lit(True).alias("__found"))
+    out = invoices.join(names, (F.col("fingerprint") == F.col("__f")) & F.col("arrival").eqNullSafe(F.col("__a")), "left")
+    return out.withColumn("duplicate", F.coalesce("__found", F.lit(False))).drop("__f", "__a", "__found")
+
+
 def searched_text() -> Column:
     """The text that keyword rules look at: line descriptions and document text, in small letters. No lambda: Spark takes copies of one for different expressions and would make the text anew for each keyword."""
     lines = F.coalesce(F.array_join(F.col("lines").getField("description"), " ", ""), F.lit(""))
@@ -168,9 +185,10 @@ def status() -> Column:
     return F.when(F.col("duplicate"), "DUPLICATE").when(F.exists("findings", lambda x: ~x.ok), "REVIEW_REQUIRED").otherwise("VALIDATED")
 
 
-def decided(invoices: DataFrame, history: DataFrame | None = None, learned_top: DataFrame | None = None, policy: Policy = POLICY, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """invoices with fingerprint, duplicate, proposal, findings, risk_score, status, payment_authorized and human_review_required. Rules come before the shuffles of duplicates_marked(), so that line descriptions and texts are not dealt out unless they are asked for; the rest is a projection."""
-    out = _learned_first(duplicates_marked(proposed(invoices, rules=rules), history), learned_top)
+def decided(invoices: DataFrame, history: DataFrame | None = None, learned_top: DataFrame | None = None, policy: Policy = POLICY, rules: tuple[Rule, ...] = RULES, found: DataFrame | None = None) -> DataFrame:
+    """invoices with fingerprint, duplicate, proposal, findings, risk_score, status, payment_authorized and human_review_required. Rules come before the shuffles of duplicates_marked(), so that line descriptions and texts are not dealt out unless they are asked for; the rest is a projection. found: the result of duplicates_found(), for invoices that are cheap to read twice; then whole rows meet it in a join, for which they need no shuffle if it is sent to them."""
+    ruled = proposed(invoices, rules=rules)
+    out = _learned_first(duplicates_marked(ruled, history) if found is None else _joined(ruled, found), learned_top)
     out = out.withColumn("findings", findings(policy)).withColumn("risk_score", risk()).withColumn("status", status())
     return out.withColumn("payment_authorized", F.lit(False)).withColumn("human_review_required", F.col("status") != "VALIDATED")
 

@@ -58,7 +58,7 @@ def append(rows: DataFrame, table: str, batch: str | int, partition_by: tuple[st
     spark = rows.sparkSession
     if exists(spark, f"{table}/_committed/{batch}"):
         return False
-    rows.write.partitionBy(*partition_by).mode("overwrite").parquet(f"{table}/batch={batch}")
+    rows.write.partitionBy(*partition_by).mode("overwrite").parquet(f"{table}/batch={batch}", compression="zstd")
     _mark(spark, f"{table}/_committed/{batch}")
     return True
 
@@ -106,7 +106,7 @@ def compact(spark: SparkSession, table: str, schema: str | T.StructType, fold: C
         return False
     name = f"{last}-{uuid.uuid4().hex}"
     rows = fold(stored(spark, table, schema, before=last + 1))
-    rows.withColumn("batch", F.lit(last).cast(_schema(spark, schema)["batch"].dataType)).write.partitionBy(*partition_by).parquet(f"{table}/_snapshots/{name}")
+    rows.withColumn("batch", F.lit(last).cast(_schema(spark, schema)["batch"].dataType)).write.partitionBy(*partition_by).parquet(f"{table}/_snapshots/{name}", compression="zstd")
     _mark(spark, f"{table}/_snapshots/_current/{name}")
     return True
 

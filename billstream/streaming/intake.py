@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from billstream.config import POLICY, RULES, Policy, Rule
 from billstream.operators import history
-from billstream.operators.decide import accepted, audit_events, decided, fingerprinted, reviews
+from billstream.operators.decide import accepted, audit_events, decided, duplicates_found, fingerprinted, reviews
 from billstream.operators.learning import top_accounts
 from billstream.operators.matching import bank_matches
 from billstream.operators.parties import delta, of_deltas
@@ -22,6 +22,8 @@ ARRIVING = T.StructType([T.StructField("arrival", T.LongType()), *INVOICE.fields
 MAPPINGS = T.StructType([*LEARNED_MAPPINGS.fields, T.StructField("batch", T.LongType())])
 #: Stored deltas are folded into a snapshot before every so many batches.
 COMPACT_EVERY = 50
+#: So many duplicates of a batch are sent to all tasks (about 10 MB); more are joined by a shuffle.
+SENT_DUPLICATES = 100_000
 #: The files of a batch are numbered in so many parts, below 2^BATCH_BITS.
 PARTS, BATCH_BITS = 4096, 40
 
@@ -58,7 +60,9 @@ def take_in(batch: DataFrame, batch_id: int, target: str, mappings: str | None =
         compact_intake(spark, target, batch_id)
     arrived = fingerprinted(batch).persist()
     learned = top_accounts(stored_mappings(spark, mappings)) if mappings else None
-    decisions = decided(arrived, history.known(arrived, target, batch_id), learned, policy, rules).persist()
+    found = duplicates_found(arrived, history.known(arrived, target, batch_id)).persist()
+    sent = F.broadcast(found) if found.count() <= SENT_DUPLICATES else found
+    decisions = decided(arrived, None, learned, policy, rules, sent).persist()
     try:
         put = lambda df, name: append(df, f"{target}/{name}", batch_id)
         put(decisions.select("arrival", "fingerprint", "status", "risk_score", "proposal"), "decisions")
@@ -70,6 +74,7 @@ def take_in(batch: DataFrame, batch_id: int, target: str, mappings: str | None =
             put(delta(decisions, party), f"{party}s")
     finally:
         decisions.unpersist()
+        found.unpersist()
         arrived.unpersist()
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from billstream.config import RULES, Rule
 from billstream.operators import history, learning, ledger, parties, workflow
-from billstream.operators.decide import CHAIN_KEYWORDS, decided, duplicates_marked, first_rule, rule_proposal
+from billstream.operators.decide import CHAIN_KEYWORDS, decided, duplicates_marked, fingerprinted, first_rule, rule_proposal
 from billstream.plans import registry
 from billstream.plans.fixtures import fixture
 from billstream.plans.registry import records
@@ -356,3 +356,26 @@ def test_months_are_exported_again_alone(spark, tmp_path):
     rows = ledger.read_ledger_months(spark, str(path)).collect()
     assert len(rows) == 36 and {r.Journal for r in rows if r.month == "2026-02"} == {"AC2"} and {r.Libelle for r in rows} == {"S;\"x\"", "TVA déductible"}
     assert b"".join(c for _, c in after["2026-01"]).startswith(b"Date;Journal;Compte;Libelle;Debit;Credit;Piece\r\n")
+
+
+def test_duplicates_found_and_joined_as_marked(spark):
+    """A batch's duplicates by narrow rows, whether sent to the tasks or joined by a shuffle; an arrival may be null or there twice."""
+    from billstream.operators.decide import _joined, duplicates_found
+
+    given = [(1, "a"), (5, "a"), (None, "a"), (2, "b"), (2, "b"), (3, "c"), (None, "d"), (4, "e"), (None, "e"), (9, "f")]
+    rows = spark.createDataFrame([(a, n, {"name": n}) for a, n in given], "arrival long, invoice_number string, supplier struct<name:string,siren:string>")
+    rows = rows.withColumn("issue_date", F.lit("2026-01-01")).withColumn("gross_amount", F.lit(1).cast("decimal(18,2)")).withColumn("currency", F.lit("EUR"))
+    known = fingerprinted(rows).where("invoice_number = 'f'").select("fingerprint")
+    listed = lambda df: sorted(str((r.arrival, r.invoice_number, r.fingerprint, r.duplicate)) for r in df.collect())
+    want = listed(duplicates_marked(rows, known))
+    found = duplicates_found(fingerprinted(rows), known)
+    assert listed(_joined(fingerprinted(rows), found)) == want == listed(_joined(fingerprinted(rows), F.broadcast(found))) and sum("True" in x for x in want) == 4
+
+
+def test_arriving_files_are_compressed_and_stored_tables_too(spark, tmp_path, monkeypatch):
+    from billstream.plans import registry
+
+    monkeypatch.setattr(registry, "records", lambda *_: spark.range(4).selectExpr("id as arrival", "id as k"))
+    assert all(f.endswith(".json.gz") for f in spark.read.json(next(registry._arriving(spark, ""))).inputFiles())
+    append(spark.range(3).toDF("id"), f"{tmp_path}/t", 1)
+    assert all(".zstd." in f for f in spark.read.parquet(f"{tmp_path}/t/batch=1").inputFiles())

@@ -56,9 +56,19 @@ def _marked(invoices: DataFrame, history: DataFrame | None = None, parts: int =
     return marked
 
 
-def duplicates_found(invoices: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """fingerprint, arrival of the duplicates among invoices with fingerprint: duplicates_marked() on narrow rows."""
-    return _marked(invoices.select("fingerprint", "arrival"), history).where("duplicate").select("fingerprint", "arrival").distinct()
+def repeated(invoices: DataFrame) -> DataFrame:
+    """hash: of the fingerprints that are there more than once, and of next to no others. Only these eight bytes and a count are dealt out, of a fingerprint that is there very often once a task."""
+    return invoices.groupBy(F.xxhash64("fingerprint").alias("hash")).agg(F.count("*").alias("n")).where("n > 1").select("hash")
+
+
+def duplicates_found(invoices: DataFrame, history: DataFrame | None = None, again: DataFrame | None = None) -> DataFrame:
+    """fingerprint, arrival of the duplicates among invoices with fingerprint: duplicates_marked() on narrow rows. again: the result of repeated(), so that only what may be there more than once is dealt out."""
+    names = invoices.select("fingerprint", "arrival")
+    several = names if again is None else names.withColumn("hash", F.xxhash64("fingerprint")).join(again, "hash", "left_semi").drop("hash")
+    found = _marked(several).where("duplicate").select("fingerprint", "arrival")
+    if history is not None:
+        found = found.unionByName(names.join(history.select("fingerprint"), "fingerprint", "left_semi"))
+    return found.distinct()
 
 
 def _joined(invoices: DataFrame, found: DataFrame) -> DataFrame:

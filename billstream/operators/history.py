@@ -30,9 +30,14 @@ def _bucketed(rows: DataFrame) -> DataFrame:
 def remember(rows: DataFrame, folder: str, batch: int) -> None:
     """Store the fingerprints of a batch, and their bits."""
     found = _bucketed(rows)
-    append(found.select("fingerprint", "bucket").repartition("bucket"), f"{folder}/fingerprints", batch, ("bucket",))
-    bits = found.groupBy(F.bitmap_bucket_number("place").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
-    append(bits, f"{folder}/fingerprint_filter", batch)
+    dealt = found.select(F.unhex("fingerprint").alias("bytes"), "bucket").repartition("bucket")  # half as long as the digits
+    append(dealt.select(F.lower(F.hex("bytes")).alias("fingerprint"), "bucket"), f"{folder}/fingerprints", batch, ("bucket",))
+    append(_filter(found), f"{folder}/fingerprint_filter", batch)
+
+
+def _filter(bucketed: DataFrame) -> DataFrame:
+    """piece, bits: a bitmap with the bits of these rows."""
+    return bucketed.groupBy(F.bitmap_bucket_number("place").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
 
 
 def _bit(bits: Column, place: Column) -> Column:
@@ -42,11 +47,19 @@ def _bit(bits: Column, place: Column) -> Column:
     return F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1, F.lit(False))
 
 
-def maybe_known(rows: DataFrame, folder: str, before: int) -> DataFrame:
-    """fingerprint, bucket of those rows that an earlier batch may have: all that one has, and few others. The filter has a bounded size and goes to all tasks."""
-    bits = stored(rows.sparkSession, f"{folder}/fingerprint_filter", FILTERS, before).groupBy("piece").agg(F.bitmap_or_agg("bits").alias("bits"))
+def let_through(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """fingerprint, bucket, place of those rows whose bits are set in a filter (piece, bits). The filter has a bounded size and goes to all tasks."""
     asked = _bucketed(rows).withColumn("piece", F.bitmap_bucket_number("place"))
-    return asked.join(F.broadcast(bits), "piece").where(_bit(F.col("bits"), F.col("place"))).select("fingerprint", "bucket").distinct()
+    return asked.join(F.broadcast(bits), "piece").where(_bit(F.col("bits"), F.col("place"))).select("fingerprint", "bucket", "place")
+
+
+def _maybe(rows: DataFrame, folder: str, before: int) -> DataFrame:
+    return let_through(rows, stored(rows.sparkSession, f"{folder}/fingerprint_filter", FILTERS, before).groupBy("piece").agg(F.bitmap_or_agg("bits").alias("bits")))
+
+
+def maybe_known(rows: DataFrame, folder: str, before: int) -> DataFrame:
+    """fingerprint, bucket of those rows that an earlier batch may have: all that one has, and few others."""
+    return _maybe(rows, folder, before).select("fingerprint", "bucket").distinct()
 
 
 def in_buckets(spark: SparkSession, folder: str, before: int, buckets: list[str]) -> DataFrame:
@@ -55,12 +68,13 @@ def in_buckets(spark: SparkSession, folder: str, before: int, buckets: list[str]
 
 
 def known(rows: DataFrame, folder: str, before: int) -> DataFrame:
-    """fingerprint of those rows that an earlier batch has."""
+    """fingerprint of those rows that an earlier batch has. Before the stored ones meet them in a join, they pass a filter of the rows that may be known, so that they are not dealt out whole."""
     if not any(int(b) < before for b in committed(rows.sparkSession, f"{folder}/fingerprint_filter")):
-        return rows.sparkSession.createDataFrame([], "fingerprint string")
-    maybe = maybe_known(rows, folder, before)
+        return rows.select("fingerprint").where(F.lit(False))  # which Spark knows to be empty
+    maybe = _maybe(rows, folder, before)
     buckets = [r.bucket for r in maybe.select("bucket").distinct().collect()]  # 256 at most
-    return in_buckets(rows.sparkSession, folder, before, buckets).join(maybe.select("fingerprint"), "fingerprint", "left_semi")
+    passed = let_through(in_buckets(rows.sparkSession, folder, before, buckets), _filter(maybe)).select("fingerprint")
+    return passed.join(maybe.select("fingerprint").distinct(), "fingerprint")  # no semi-join: Spark would do it before the filter
 
 
 def compact_history(spark: SparkSession, folder: str, before: int) -> None:

@@ -553,11 +553,10 @@ def write_outbound_xml(spark, sf_dir):
 
 
 def _arriving(spark, sf_dir):
-    """A folder of the invoices as compressed JSON files, as many as there are partitions: once with the first half by arrival, then with the other added."""
+    """A folder of the invoices as compressed JSON files, as many as there are partitions: once with the first half by arrival, then with the other added, which is made from the invoices that come again only."""
     path = scratch(spark, "arriving")
-    rows = records(spark, sf_dir).drop("k")
-    for later in (False, True):
-        rows.where((F.col("arrival") >= LATER) == later).write.mode("append").json(path, compression="gzip")
+    for later, view in ((False, "fx_invoice"), (True, "fx_invoice_later")):
+        records(spark, sf_dir, view).drop("k").where((F.col("arrival") >= LATER) == later).write.mode("append").json(path, compression="gzip")
         yield path
 
 

@@ -11,7 +11,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,22 @@ def _mark(spark: SparkSession, path: str) -> None:
     store.createNewFile(at)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    store, at = _store(spark, path)
+    store.delete(at, True)
+
+
+@contextmanager
+def kept(rows: DataFrame, path: str) -> Iterator[DataFrame]:
+    """rows, written to a folder once and read from there in this block; then the folder goes. For wide rows that several jobs read: a cache would build their columns in memory, ten thousand rows at a time, and spill them as they are; here a job reads the columns it needs, compressed. What a broken try left is replaced."""
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").parquet(path, compression="zstd")
+    try:
+        yield spark.read.schema(rows.schema).parquet(path)
+    finally:
+        _delete(spark, path)
+
+
 def append(rows: DataFrame, table: str, batch: str | int, partition_by: tuple[str, ...] = ()) -> bool:
     """Append rows to the table in a folder as one batch. A batch that was committed is not written again (False), so a retry adds nothing and loses nothing; what a broken try left is replaced."""
     spark = rows.sparkSession
@@ -123,6 +140,5 @@ def drop_folded(spark: SparkSession, table: str) -> list[str]:
         store.delete(at, False)
     gone = [p for p in [*gone, *(f"{table}/_snapshots/{n}" for n in old)] if exists(spark, p)]
     for path in gone:
-        store, at = _store(spark, path)
-        store.delete(at, True)
+        _delete(spark, path)
     return gone

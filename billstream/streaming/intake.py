@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,12 +13,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from billstream.config import POLICY, RULES, Policy, Rule
 from billstream.operators import history
-from billstream.operators.decide import accepted, audit_events, decided, duplicates_found, fingerprinted, reviews
+from billstream.operators.decide import accepted, audit_events, decided, duplicates_found, fingerprinted, first_arrivals, repeated, reviews
 from billstream.operators.learning import top_accounts
 from billstream.operators.matching import bank_matches
 from billstream.operators.parties import delta, of_deltas
 from billstream.schemas import CUSTOMER_PARTY, INVOICE, LEARNED_MAPPINGS, SUPPLIER_PARTY
-from billstream.session import append, committed, compact, exists, stored
+from billstream.session import append, committed, compact, exists, kept, stored
 from billstream.sources.invoices import ingested
 
 ARRIVING = T.StructType([T.StructField("arrival", T.LongType()), *INVOICE.fields])
@@ -24,6 +27,8 @@ MAPPINGS = T.StructType([*LEARNED_MAPPINGS.fields, T.StructField("batch", T.Long
 COMPACT_EVERY = 50
 #: So many duplicates of a batch are sent to all tasks (about 10 MB); more are joined by a shuffle.
 SENT_DUPLICATES = 100_000
+#: So many suppliers with a learned account are sent to all tasks (about 50 MB); more are joined by a shuffle.
+SENT_ACCOUNTS = 500_000
 #: The files of a batch are numbered in so many parts, below 2^BATCH_BITS.
 PARTS, BATCH_BITS = 4096, 40
 
@@ -54,28 +59,58 @@ def intake(spark: SparkSession, source: str, target: str, checkpoint: str, files
 
 
 def take_in(batch: DataFrame, batch_id: int, target: str, mappings: str | None = None, policy: Policy = POLICY, rules: tuple[Rule, ...] = RULES, compact_every: int | None = COMPACT_EVERY) -> None:
-    """Decide one batch of invoices (the columns of ARRIVING) and store what comes of it."""
+    """Decide one batch of invoices (the columns of ARRIVING) and store what comes of it. The batch is read twice, for its duplicates and to be decided; decided rows are written once, and all tables made from there."""
     spark = batch.sparkSession
     if compact_every and batch_id and batch_id % compact_every == 0:
         compact_intake(spark, target, batch_id)
-    arrived = fingerprinted(batch).persist()
-    learned = top_accounts(stored_mappings(spark, mappings)) if mappings else None
-    found = duplicates_found(arrived, history.known(arrived, target, batch_id)).persist()
-    sent = F.broadcast(found) if found.count() <= SENT_DUPLICATES else found
-    decisions = decided(arrived, None, learned, policy, rules, sent).persist()
-    try:
+    arrived = fingerprinted(batch)
+    known = lambda names: history.known(names, target, batch_id)
+    with duplicates_sent(arrived, known) as found, accounts_sent(spark, mappings) as learned, kept(decided(arrived, None, learned, policy, rules, found), f"{target}/_decided/{batch_id}") as decisions:
         put = lambda df, name: append(df, f"{target}/{name}", batch_id)
         put(decisions.select("arrival", "fingerprint", "status", "risk_score", "proposal"), "decisions")
         put(accepted(decisions), "invoices")
         put(audit_events(decisions), "audit_events")
         put(reviews(decisions), "reviews")
-        history.remember(decisions.where("status <> 'DUPLICATE'"), target, batch_id)
+        history.remember(first_arrivals(decisions), target, batch_id)
         for party in DELTAS:
             put(delta(decisions, party), f"{party}s")
+
+
+def _sent(rows: DataFrame, most: int) -> DataFrame:
+    """Cached rows, to be sent to all tasks if they are so many at most."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
+@contextmanager
+def duplicates_sent(arrived: DataFrame, known: Callable[[DataFrame], DataFrame] | None = None) -> Iterator[DataFrame]:
+    """duplicates_found() among invoices with fingerprint, for decided(). known: gives the stored fingerprints among such rows. Only fingerprints and arrivals are cached."""
+    cached = []
+
+    def cache(rows: DataFrame) -> DataFrame:
+        cached.append(rows.persist())
+        return rows
+
+    try:
+        names = cache(arrived.select("fingerprint", "arrival"))
+        before = _sent(cache(known(names)), SENT_DUPLICATES) if known else None
+        found = cache(duplicates_found(names, before, _sent(cache(repeated(names)), SENT_DUPLICATES)))
+        yield _sent(found, SENT_DUPLICATES)
+    finally:
+        for rows in reversed(cached):
+            rows.unpersist()
+
+
+@contextmanager
+def accounts_sent(spark: SparkSession, mappings: str | None) -> Iterator[DataFrame | None]:
+    """The learned account of each supplier, for decided(); None without a folder of mappings."""
+    if not mappings:
+        yield None
+        return
+    top = top_accounts(stored_mappings(spark, mappings)).persist()
+    try:
+        yield _sent(top, SENT_ACCOUNTS)
     finally:
-        decisions.unpersist()
-        found.unpersist()
-        arrived.unpersist()
+        top.unpersist()
 
 
 def arrivals(files: DataFrame, batch_id: int) -> DataFrame:
@@ -105,13 +140,10 @@ def intake_files(spark: SparkSession, folder: str, target: str, checkpoint: str,
     def process(batch: DataFrame, batch_id: int) -> None:
         files = batch.select("content", F.regexp_extract("path", "([^/]*)$", 1).alias("source_file"), F.col("path").alias("source_path"))
         found = ingested(files)
-        records = found.records.persist()
-        try:
+        with kept(found.records, f"{target}/_records/{batch_id}") as records:
             take_in(arrivals(records, batch_id).select(*ARRIVING.names), batch_id, target, mappings, policy, rules, compact_every)
-            append(found.rejects, f"{target}/rejected", batch_id)
-            append(found.waiting, f"{target}/waiting", batch_id)
-        finally:
-            records.unpersist()
+        append(found.rejects, f"{target}/rejected", batch_id)
+        append(found.waiting, f"{target}/waiting", batch_id)
 
     return stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

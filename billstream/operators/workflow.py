@@ -60,11 +60,25 @@ def reviews_in_state(reviews: DataFrame, states: DataFrame) -> DataFrame:
     return out.withColumn("resolved", F.col("first").isNotNull()).withColumn("resolution", resolution).withColumn("resolved_by", F.col("first.username")).drop("first")
 
 
+def met(invoices: DataFrame, decisions: DataFrame) -> DataFrame:
+    """decisions with known, supplier_name and proposed_account of their invoice; known is null where there is none. One join for unknown decisions, approvals and states."""
+    return decisions.join(invoices.select(F.col("id").alias("invoice_id"), "supplier_name", "proposed_account", F.lit(True).alias("known")), "invoice_id", "left")
+
+
 def approvals(invoices: DataFrame, decisions: DataFrame) -> DataFrame:
     """Every approval of a known invoice: invoice_id, seq, username, supplier_name, account (the decision's, else the proposed one)."""
     known = invoices.select(F.col("id").alias("invoice_id"), "supplier_name", "proposed_account")
+    return _approved(decisions.where("action = 'approve'").join(known, "invoice_id"))
+
+
+def approvals_met(rows: DataFrame) -> DataFrame:
+    """approvals(), from rows of met()."""
+    return _approved(rows.where("known and action = 'approve'"))
+
+
+def _approved(rows: DataFrame) -> DataFrame:
     account = F.coalesce(F.when(F.col("account") != "", F.col("account")), F.col("proposed_account"))
-    return decisions.where("action = 'approve'").join(known, "invoice_id").select("invoice_id", "seq", "username", "supplier_name", account.alias("account"))
+    return rows.select("invoice_id", "seq", "username", "supplier_name", account.alias("account"))
 
 
 def approval_events(approved: DataFrame) -> DataFrame:

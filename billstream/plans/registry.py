@@ -12,7 +12,7 @@ from billstream.config import POLICY, RULES, load_policy, load_rules
 from billstream.functions.expressions import gross_amount_in, invoice_number_in, normalized_amount
 from billstream.operators import decide, history, learning, ledger, matching, outbound, parties, reminders, reports, workflow
 from billstream.plans.fixtures import AGAIN, AS_OF, LATER, fixture, many_rules
-from billstream.session import append, committed, compact, drop_folded, scratch
+from billstream.session import append, committed, compact, drop_folded, kept, scratch
 from billstream.session import stored as stored_rows
 from billstream.sources import bank, invoices as documents
 from billstream.streaming import approvals as approving
@@ -595,11 +595,12 @@ def _first_taken_in(spark, sf_dir) -> str:
 
 
 def _decided_on(spark, sf_dir, target: str) -> None:
-    """Decisions on the stored invoices in two waves, rejections first."""
-    path, checkpoint = scratch(spark, "decisions"), scratch(spark, "stream")
-    for action in ("reject", "approve"):
-        fixture(spark, sf_dir, "fx_decision").where(F.col("action") == action).write.mode("append").json(path)
-        approving.decide(spark, path, target, checkpoint, files_per_batch=None).awaitTermination()
+    """Decisions on the stored invoices in two waves, rejections first; made once and stored."""
+    path, checkpoint, made = scratch(spark, "decisions"), scratch(spark, "stream"), scratch(spark, "made")
+    with kept(fixture(spark, sf_dir, "fx_decision"), made) as given:
+        for action in ("reject", "approve"):
+            given.where(F.col("action") == action).write.mode("append").json(path, compression="gzip")
+            approving.decide(spark, path, target, checkpoint, files_per_batch=None).awaitTermination()
 
 
 @query

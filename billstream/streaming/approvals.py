@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from billstream.operators import workflow
 from billstream.operators.learning import learned
 from billstream.schemas import DECISIONS, INVOICES, REVIEWS
-from billstream.session import append, compact, stored
+from billstream.session import append, compact, kept, stored
 from billstream.streaming.intake import COMPACT_EVERY, MAPPINGS
 
 BATCH = T.StructField("batch", T.LongType())
@@ -25,8 +25,8 @@ def decide(spark: SparkSession, source: str, target: str, checkpoint: str, files
     that approvals teach (mappings), an audit event for each approval
     (approval_events) and what names no stored invoice (decisions_unknown).
     States and counts of all batches are folded when read, by states_of() and
-    intake.stored_mappings(). Of the stored invoices, files are skipped whose
-    ids are all below or above the batch's.
+    intake.stored_mappings(). Decisions meet the stored invoices in one join; of
+    these, files are skipped whose ids are all below or above the batch's.
     """
     reader = spark.readStream.schema(DECISIONS)
     stream = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).json(source)
@@ -34,20 +34,15 @@ def decide(spark: SparkSession, source: str, target: str, checkpoint: str, files
     def process(batch: DataFrame, batch_id: int) -> None:
         if compact_every and batch_id and batch_id % compact_every == 0:
             compact_decisions(spark, target, batch_id)
-        given = batch.persist()
-        try:
-            low, high = given.agg(F.min("invoice_id"), F.max("invoice_id")).first()
-            invoices = stored_invoices(spark, target).where(F.col("id").between(F.lit(low), F.lit(high))).select("id", "supplier_name", "proposed_account")
-            unknown = workflow.unknown_decisions(invoices, given)
-            known = given.join(invoices.select(F.col("id").alias("invoice_id")), "invoice_id", "left_semi")
-            approved = workflow.approvals(invoices, given)
+        low, high = batch.agg(F.min("invoice_id"), F.max("invoice_id")).first()
+        invoices = stored_invoices(spark, target).where(F.col("id").between(F.lit(low), F.lit(high)))
+        with kept(workflow.met(invoices, batch), f"{target}/_met/{batch_id}") as given:
+            approved = workflow.approvals_met(given)
             put = lambda df, name: append(df, f"{target}/{name}", batch_id)
-            put(workflow.folded(known), "decision_states")
+            put(workflow.folded(given.where("known")), "decision_states")
             put(learned(approved), "mappings")
             put(workflow.approval_events(approved), "approval_events")
-            put(unknown.select(*DECISIONS.names), "decisions_unknown")
-        finally:
-            given.unpersist()
+            put(given.where("known is null").select(*DECISIONS.names), "decisions_unknown")
 
     return stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

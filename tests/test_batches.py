@@ -6,11 +6,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from billstream.operators import history
+from billstream.operators import history, learning, workflow
 from billstream.operators.decide import duplicates_marked, fingerprinted
-from billstream.plans.fixtures import LATER
+from billstream.plans.fixtures import LATER, fixture
 from billstream.plans.registry import records
 from billstream.session import kept
+from billstream.streaming import approvals
 from billstream.streaming.intake import intake
 
 SF = "/root/testdata/sf0.001"
@@ -92,3 +93,29 @@ def test_later_arrivals_are_made_of_few_lines(spark):
     later = records(spark, SF, "fx_invoice_later")
     assert of(later) == of(records(spark, SF)) != []
     assert "% 17" in [x for x in later._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x and "l_orderkey" in x][0]
+
+
+def test_decisions_meet_the_invoices_once(spark, tmp_path, monkeypatch):
+    """One job of a batch reads the stored invoices; what becomes of the decisions is made from its rows, and the folder of these goes."""
+    invoices = spark.createDataFrame([(i, f"S{i % 2}", "60") for i in range(6)], "id long, supplier_name string, proposed_account string")
+    frame, joins = type(invoices), []
+    join = frame.join
+    monkeypatch.setattr(frame, "join", lambda self, *a, **k: joins.append(a[-1]) or join(self, *a, **k))
+    monkeypatch.setattr(approvals, "stored_invoices", lambda *_: invoices)
+    given = [(1, 1, "approve", "61", "u", None), (1, 2, "reject", None, "v", "r"), (2, 3, "approve", "", "u", None), (77, 4, "approve", None, "u", None), (None, 5, "reject", None, "u", None)]
+    decisions = spark.createDataFrame(given, "invoice_id long, seq long, action string, account string, username string, reason string")
+    decisions.coalesce(1).write.json(f"{tmp_path}/in")
+    approvals.decide(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+    assert len(joins) == 1 and not list((tmp_path / "out" / "_met").iterdir())
+    of = lambda df: sorted(map(str, df.drop("batch").collect()))
+    read = lambda t: spark.read.parquet(f"{tmp_path}/out/{t}")
+    taught = workflow.approvals(invoices, decisions)
+    assert of(read("decision_states")) == of(workflow.folded(decisions.where("invoice_id < 6")))
+    assert of(read("approval_events")) == of(workflow.approval_events(taught))
+    assert of(read("mappings")) == of(learning.learned(taught))
+    assert of(read("decisions_unknown")) == of(workflow.unknown_decisions(invoices, decisions).select(*decisions.columns)) and read("decisions_unknown").count() == 2
+
+
+def test_decisions_are_made_of_even_invoices(spark):
+    plan = fixture(spark, SF, "fx_decision")._jdf.queryExecution().optimizedPlan().toString()
+    assert any("l_orderkey" in x and "% 2) = 0" in x for x in plan.splitlines() if "Filter" in x)

@@ -99,6 +99,11 @@ from fx_invoice0 lateral view explode(if(k % 6 = 0, array(0, 1), if(k % 2 = 0, a
 }
 
 
+def decisions_on(invoices: DataFrame) -> DataFrame:
+    """fx_decision, of the invoices of fx_invoice0 (k, and others) that are there already."""
+    return invoices.sparkSession.sql(SPARK_DECISIONS["fx_decision"].replace("fx_invoice0", "{invoices}"), invoices=invoices)
+
+
 def with_views(query: str, more: dict[str, str] | None = None) -> str:
     """query below the views, and more views, that it needs."""
     known = VIEWS | (more or {})

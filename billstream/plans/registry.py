@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from billstream.config import POLICY, RULES, load_policy, load_rules
 from billstream.functions.expressions import gross_amount_in, invoice_number_in, normalized_amount
 from billstream.operators import decide, history, learning, ledger, matching, outbound, parties, reminders, reports, workflow
-from billstream.plans.fixtures import AGAIN, AS_OF, LATER, fixture, many_rules
+from billstream.plans.fixtures import AGAIN, AS_OF, LATER, decisions_on, fixture, many_rules
 from billstream.session import append, committed, compact, drop_folded, kept, scratch
 from billstream.session import stored as stored_rows
 from billstream.sources import bank, invoices as documents
@@ -552,11 +552,11 @@ def write_outbound_xml(spark, sf_dir):
     return outbound.invoice_xml(made).select("id", back.alias("x")).select("id", *(F.coalesce(F.col("x")[n], F.lit("")).alias(c) for c, n in names.items()))
 
 
-def _arriving(spark, sf_dir):
-    """A folder of the invoices as compressed JSON files, as many as there are partitions: once with the first half by arrival, then with the other added, which is made from the invoices that come again only."""
+def _arriving(spark, sf_dir, rows=None):
+    """A folder of the invoices as compressed JSON files, as many as there are partitions: once with the first half by arrival, then with the other added, which is made from the invoices that come again only. rows: records() that are stored already."""
     path = scratch(spark, "arriving")
     for later, view in ((False, "fx_invoice"), (True, "fx_invoice_later")):
-        records(spark, sf_dir, view).drop("k").where((F.col("arrival") >= LATER) == later).write.mode("append").json(path, compression="gzip")
+        (records(spark, sf_dir, view) if rows is None else rows).drop("k").where((F.col("arrival") >= LATER) == later).write.mode("append").json(path, compression="gzip")
         yield path
 
 
@@ -570,11 +570,15 @@ def stream_intake(spark, sf_dir):
 
 @query
 def stream_intake_learned(spark, sf_dir):
-    """Intake with the mappings that approvals taught, which come before the rules."""
+    """Intake with the mappings that approvals taught, which come before the rules. The invoices are made once and stored, for the approvals and for both waves."""
     target, checkpoint, mappings = scratch(spark, "intake"), scratch(spark, "stream"), scratch(spark, "mappings")
-    learned_mappings(spark, sf_dir).write.parquet(mappings)
-    for path in _arriving(spark, sf_dir):
-        intake.intake(spark, path, target, checkpoint, files_per_batch=None, mappings=mappings).awaitTermination()
+    with kept(records(spark, sf_dir), scratch(spark, "invoices")) as rows:
+        first = decide.fingerprinted(rows.where("arrival = k"))
+        with intake.duplicates_sent(first) as found:
+            taught = workflow.approvals(decide.accepted(decide.decided(first, found=found)), decisions_on(first))
+            learning.learned(taught).write.parquet(mappings)
+        for path in _arriving(spark, sf_dir, rows):
+            intake.intake(spark, path, target, checkpoint, files_per_batch=None, mappings=mappings).awaitTermination()
     return plain(spark.read.parquet(f"{target}/decisions").select("arrival", "proposal.*"))
 
 

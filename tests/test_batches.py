@@ -4,11 +4,13 @@ import hashlib
 import random
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from billstream.operators import history, learning, workflow
 from billstream.operators.decide import duplicates_marked, fingerprinted
-from billstream.plans.fixtures import LATER, fixture
+from billstream.plans import registry
+from billstream.plans.fixtures import LATER, decisions_on, fixture
 from billstream.plans.registry import records
 from billstream.session import kept
 from billstream.streaming import approvals
@@ -119,3 +121,17 @@ def test_decisions_meet_the_invoices_once(spark, tmp_path, monkeypatch):
 def test_decisions_are_made_of_even_invoices(spark):
     plan = fixture(spark, SF, "fx_decision")._jdf.queryExecution().optimizedPlan().toString()
     assert any("l_orderkey" in x and "% 2) = 0" in x for x in plan.splitlines() if "Filter" in x)
+
+
+def test_invoices_are_made_once_for_learned_intake(spark, monkeypatch):
+    """The tables are read for one view of the invoices; decisions on what is stored are those of the fixture."""
+    views = []
+    make = registry.fixture
+    monkeypatch.setattr(registry, "fixture", lambda s, d, view, **k: views.append(view) or make(s, d, view, **k))
+    monkeypatch.setattr(registry.intake, "intake", lambda *a, **k: views.append("intake") or type("Done", (), {"awaitTermination": lambda self: None})())
+    monkeypatch.setattr(registry, "plain", lambda df: df)
+    with pytest.raises(AnalysisException):  # as nothing is taken in
+        registry.stream_intake_learned(spark, SF)
+    assert views == ["fx_invoice", "intake", "intake"]
+    of = lambda df: sorted(map(str, df.collect()))
+    assert of(decisions_on(records(spark, SF, "fx_invoice0"))) == of(fixture(spark, SF, "fx_decision"))
